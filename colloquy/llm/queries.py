@@ -9,6 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.llm.common import read_table
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.secrets import digest_spans, secret_spans
+
+    return digest_spans(secret_spans(read_table(spark, sf_dir, "documents")))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.merkle import neighbour_prints
+
+    return neighbour_prints(read_table(spark, sf_dir, "documents"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.mpeg import media_digests, to_media
+
+    return media_digests(to_media(read_table(spark, sf_dir, "documents")))
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.mixing import taken_words
+
+    return taken_words(read_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm.packing import best_fit_pack
 
