@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.llm.common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.superkmers import drop_repeats
+
+    return drop_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm.secrets import digest_spans, secret_spans
 
