@@ -33,6 +33,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(to_media(read_table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.parsing import drop_repeated_bytes
+
+    return drop_repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm.mixing import taken_words
 
