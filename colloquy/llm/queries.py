@@ -45,6 +45,12 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(read_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.urls import judge_urls
+
+    return judge_urls(read_table(spark, sf_dir, "pages")).drop("score")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm.packing import best_fit_pack
 
@@ -56,4 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from colloquy.llm import urls
+
+    return {"op9_url_filters": urls.oracle_sql()}
