@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_schema, map_rows, partitions, texts_of, typed
-from colloquy.llm.runs import FOUND, HOT, find_repeats, least, mixed
-from colloquy.llm.superkmers import BASE, chunks
+from colloquy.llm.runs import BASE, FOUND, HOT, find_repeats, least, mixed
+from colloquy.llm.superkmers import chunks
 
 WINDOW = 200
 TRIGGER = 32

@@ -45,6 +45,12 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.importance import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colloquy.llm.urls import judge_urls
 

@@ -26,6 +26,8 @@ HOT = 20_000
 #: Fixed odd multipliers of the mixers below.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FOUND = "dk long, run long, at array<int>"
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,6 +47,44 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+class Powers:
+    """Powers of a number modulo 2**64, as many as were asked for so far."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.known = base, np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.known) < n:
+            self.known = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 2 * len(self.known)), self.base))])
+        return self.known[:n]
+
+
+POWERS, INVERSES = Powers(BASE), Powers(INVERSE)
+
+
+def hash_words(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of a text in which single spaces part them, and nothing else does."""
+    if not plain:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    letters = np.frombuffer(plain, np.uint8)
+    gaps = np.flatnonzero(letters == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(letters)]])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(LETTERS[letters] * POWERS.upto(len(letters)))])
+    return starts, ends, mixed((sums[ends] - sums[starts]) * INVERSES.upto(len(letters) + 1)[starts])
+
+
+def word_grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive word hashes."""
+    size = max(0, len(words) - n + 1)
+    grams = np.zeros(size, np.uint64)
+    for j in range(n):
+        grams = grams * BASE + words[j : size + j]
+    return mixed(grams)
+
+
 def find_repeats(
     docs: DataFrame,
     occurrences: Callable[[DataFrame], DataFrame],

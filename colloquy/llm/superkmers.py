@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_schema, map_rows, partitions, texts_of, typed
-from colloquy.llm.runs import FOUND, HOT, find_repeats, least, mixed
+from colloquy.llm.runs import FOUND, HOT, find_repeats, hash_words, least, word_grams
 
 WINDOW = 50
 SEED = 10
@@ -25,25 +25,6 @@ SEED = 10
 LONGEST = 256
 #: Bytes of text that are cut at a time.
 CHUNK = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
-
-
-class Powers:
-    """Powers of a number modulo 2**64, as many as were asked for so far."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.known = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.known) < n:
-            self.known = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 2 * len(self.known)), self.base))])
-        return self.known[:n]
-
-
-POWERS, INVERSES = Powers(BASE), Powers(INVERSE)
-
 
 class Cut:
     """Super-k-mers of a few texts: for each its text's number, minimiser, first word, windows, digest and bytes."""
@@ -59,16 +40,9 @@ class Cut:
         if n < window:
             self.starts = self.ends = np.zeros(0, np.int64)
             return
-        letters = np.frombuffer(self.plain, np.uint8)
-        gaps = np.flatnonzero(letters == 32)
-        self.starts, self.ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(letters)]])
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(LETTERS[letters] * POWERS.upto(len(letters)))])
-        word = mixed((sums[self.ends] - sums[self.starts]) * INVERSES.upto(len(letters) + 1)[self.starts])
+        self.starts, self.ends, word = hash_words(self.plain)
         seed = min(SEED, window)
-        grams = np.zeros(n - seed + 1, np.uint64)
-        for j in range(seed):
-            grams = grams * BASE + word[j : n - seed + 1 + j]
-        key = least(mixed(grams), window - seed + 1)
+        key = least(word_grams(word, seed), window - seed + 1)
         doc = np.repeat(np.arange(len(texts)), self.counts)
         inside = doc[: n - window + 1] == doc[window - 1 :]
         at = np.flatnonzero(inside)
