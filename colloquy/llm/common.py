@@ -37,8 +37,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def typed(docs: DataFrame, **kinds: str) -> DataFrame:
-    """Only the named columns, cast; whatever else the table carries is left out and cannot clash."""
-    return docs.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()])
+    """Only the named columns, cast; whatever else the table carries is left out and cannot clash.
+
+    A column that is of its kind stays as it is: an alias more would keep equal exchanges apart.
+    """
+    same_kind = {"long": "bigint"}
+    own = dict(docs.dtypes)
+    return docs.select(*[F.col(f"`{name}`") if own[name] == same_kind.get(kind, kind) else F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()])
 
 
 def map_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list] | None], setup: Callable | None = None) -> DataFrame:

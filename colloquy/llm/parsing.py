@@ -229,9 +229,9 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, trigger: int = TR
     place of its own, whatever its doc_id, so repeated rows remove each other; null doc_ids take part.
     """
     # a document's key only brings results to it; what they say depends on content alone
-    rows = typed(docs, doc_id="long", text="string").withColumn("dk", F.coalesce("doc_id", F.xxhash64("text")))
-    found = repeated_strings(rows.select("dk", "text"), window, trigger, hot).withColumnRenamed("dk", "f")
-    joined = rows.join(found, rows["dk"] == F.col("f"), "left").select("doc_id", "text", "found")
+    rows = typed(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.xxhash64("text")).alias("dk"), F.col("doc_id").isNull().alias("nameless"), "text")
+    found = repeated_strings(rows, window, trigger, hot).withColumnRenamed("dk", "f")
+    joined = rows.join(found, rows["dk"] == F.col("f"), "left").select(F.when(~F.col("nameless"), F.col("dk")).alias("doc_id"), "text", "found")
 
     def apply(columns):
         out = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")}

@@ -112,7 +112,8 @@ def find_repeats(
     many = stats.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
     wanted = stats.join(many, stats["key"] == F.col("k")).select(F.col("first").alias("w"), F.struct("run", "total", (F.col("n") > hot).alias("hot")).alias("run"))
     wanted = wanted.groupBy("w").agg(F.collect_list("run").alias("wanted"))  # as many as the document has runs
-    packed = send(docs.join(wanted, docs["dk"] == F.col("w")).select("dk", "text", "wanted"))
+    # with all its columns, so that the exchange of texts can serve the caller's last join too
+    packed = send(docs.join(wanted, docs["dk"] == F.col("w")).select(*docs.columns, "wanted"))
     cold = compare(packed.where("not hot"))
     windows = explode(packed.where("hot"))
     counts = windows.groupBy("w1", "w2").agg(F.min("dk").alias("first"), F.sum("total").alias("all")).where("all > 1")
