@@ -6,7 +6,7 @@ have equal keys wherever they are. Three facts keep the work small and free of h
 * A run that occurs again as a whole needs no window compared: its occurrences are counted by digest, with
   partial sums before the shuffle.
 * Of runs that share a key but differ, one representative each is sent, packed, to the key's bucket.
-* Keys with over HOT different runs are not gathered: their windows are counted by digest, in sums that
+* Keys with over HOT runs are not gathered: their windows are counted by digest, in sums that
   every task begins on its own and joins that can be split.
 
 What comes back for a document is a list of (run digest, windows in it, null for all); whoever applies it
@@ -21,7 +21,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More different runs of one key than this are never gathered in one task.
+from colloquy.llm.common import settle
+
+#: More runs of one key than this are never gathered in one task.
 HOT = 20_000
 #: Fixed odd multipliers of the mixers below.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -104,13 +106,16 @@ def find_repeats(
     total) says if a window counts, as again() does for runs.
     """
     stats = occurrences(docs).groupBy("key", "run").agg(F.min("dk").alias("first"), F.sum("n").alias("total"))
-    repeated = stats.where(F.col("total") > 1).select(F.col("key").alias("k"), F.col("run").alias("r"), "first", "total")
+    keys = occurrences(docs).groupBy(F.col("key").alias("k")).agg(F.min("run").alias("low"), F.max("run").alias("high"), F.sum("n").alias("n"))
+    keys = keys.where("n > 1").select("k", (F.col("low") != F.col("high")).alias("differ"), (F.col("n") > hot).alias("hot"))
+    # of all runs only those that can share a window with another place
+    shared = settle(stats.join(keys, stats["key"] == F.col("k")).where(F.col("differ") | (F.col("total") > 1)).drop("k"))
+    repeated = shared.where("total > 1").select(F.col("key").alias("k"), F.col("run").alias("r"), "first", "total")
     seen = occurrences(docs)
     whole = seen.join(repeated, (seen["key"] == F.col("k")) & (seen["run"] == F.col("r"))).where(again(F.col("first"), F.col("total")))
     whole = whole.select("dk", "run", F.lit(None).cast("array<int>").alias("at"))
 
-    many = stats.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
-    wanted = stats.join(many, stats["key"] == F.col("k")).select(F.col("first").alias("w"), F.struct("run", "total", (F.col("n") > hot).alias("hot")).alias("run"))
+    wanted = shared.where("differ").select(F.col("first").alias("w"), F.struct("run", "total", "hot").alias("run"))
     wanted = wanted.groupBy("w").agg(F.collect_list("run").alias("wanted"))  # as many as the document has runs
     # with all its columns, so that the exchange of texts can serve the caller's last join too
     packed = send(docs.join(wanted, docs["dk"] == F.col("w")).select(*docs.columns, "wanted"))
