@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_schema, map_rows, partitions, texts_of, typed
-from colloquy.llm.runs import BASE, FOUND, HOT, find_repeats, least, mixed
+from colloquy.llm.runs import FOUND, HOT, LETTERS, POWERS, find_repeats, least, mixed, once_a_text, run_digests
 from colloquy.llm.superkmers import chunks
 
 WINDOW = 200
 TRIGGER = 32
-CHUNK = 1 << 20
+#: Bytes of text that are cut at a time: the arrays of a cut fit in a processor's cache.
+CHUNK = 1 << 17
 #: A longer text is cut in stretches; windows do not depend on where these end.
 STRETCH = 1 << 23
 #: Records of whole buckets that are ordered together, about.
@@ -36,18 +37,23 @@ TOGETHER = 20_000
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every width consecutive bytes, built by doubling: hash(xy) follows from hash(x) and hash(y)."""
-    parts, have, size, at = mixed(data.astype(np.uint64) + np.uint64(1)), None, 1, 0
+    """A hash of every width consecutive bytes, built by doubling: hash(xy) = hash(x)·b^|y| + hash(y), mixed at the end."""
+    parts, out, at, size = LETTERS[data], None, 0, 1
     while True:
         if width & size:
-            have = parts if have is None else mixed(have[: len(data) - at - size + 1] * BASE + parts[at : at + len(data) - at - size + 1])
+            n = len(data) - at - size + 1
+            out = parts.copy() if out is None else out[:n] * power(size) + parts[at : at + n]
             at += size
         if 2 * size > width:
-            return have
-        parts = mixed(parts[:-size] * BASE + parts[size:])
+            return mixed(out)
+        parts = parts[:-size] * power(size) + parts[size:]
         size *= 2
 
 
+def power(n: int) -> np.uint64:
+    return POWERS.upto(n + 1)[n]
+
+
 class Parse:
     """Phrases of a few texts. For each trigger that a window selects: text, its key, where it is, first and last such window."""
 
@@ -57,26 +63,27 @@ class Parse:
         self.data, self.window = b"".join(texts), window
         self.doc = self.key = self.at = self.low = self.high = np.zeros(0, np.int64)
         n = len(self.data)
-        if n < window:
-            return
-        doc = np.repeat(np.arange(len(texts)), self.sizes)
-        parts = [self.cut(doc, a, min(n, a + STRETCH + window - 1), min(trigger, window)) for a in range(0, n - window + 1, STRETCH)]
-        self.doc, self.key, self.at, self.low, self.high = (np.concatenate(x) for x in zip(*parts))
+        if n >= window:
+            parts = [self.cut(a, min(n, a + STRETCH + window - 1), min(trigger, window)) for a in range(0, n - window + 1, STRETCH)]
+            self.doc, self.key, self.at, self.low, self.high = (np.concatenate(x) for x in zip(*parts))
 
-    def cut(self, doc: np.ndarray, start: int, end: int, trigger: int) -> tuple[np.ndarray, ...]:
+    def cut(self, start: int, end: int, trigger: int) -> tuple[np.ndarray, ...]:
         """The triggers of the windows in bytes start to end. Places fit in 24 bits there."""
         hashes = rolling(np.frombuffer(self.data, np.uint8, end - start, start), trigger)
         # the place breaks ties of the hash's upper 40 bits, the leftmost wins
-        ranked = (hashes & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(hashes), dtype=np.uint64)
-        chosen = (least(ranked, self.window - trigger + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
-        doc = doc[start:end]
-        at = np.flatnonzero(doc[: end - start - self.window + 1] == doc[self.window - 1 :])
-        chosen = chosen[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (np.diff(at) != 1) | (doc[at[1:]] != doc[at[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1 if len(at) else first
-        return doc[at[first]], hashes[chosen[first]].view(np.int64), start + chosen[first], start + at[first], start + at[last]
+        ranked = hashes & np.uint64(0xFFFFFFFFFF000000)
+        ranked |= np.arange(len(hashes), dtype=np.uint64)
+        chosen = least(ranked, self.window - trigger + 1)
+        # windows where the trigger changes, and the first of each text; those over a text's end are none
+        begin = np.flatnonzero(chosen[1:] != chosen[:-1]) + 1
+        begin = np.unique(np.concatenate([[0], begin, self.firsts[(self.firsts > start) & (self.firsts < start + len(chosen))] - start]))
+        doc = np.searchsorted(self.firsts, start + begin, "right") - 1
+        last = np.append(begin[1:], len(chosen)) - 1
+        last = np.minimum(last, self.firsts[doc + 1] - self.window - start)
+        good = last >= begin
+        begin, doc, last = begin[good], doc[good], last[good]
+        at = (chosen[begin] & np.uint64(0xFFFFFF)).astype(np.int64)
+        return doc, hashes[at].view(np.int64), start + at, start + begin, start + last
 
     def record(self, i: int) -> tuple[bytes, bytes]:
         """What stands before the trigger in its windows, and what stands from it on."""
@@ -88,8 +95,7 @@ class Parse:
         if not len(self.at):
             return np.zeros(0, np.int64)
         before = (self.at - self.low).tolist()
-        whole = b"".join([hashlib.blake2b(self.data[a:b], digest_size=6, salt=x.to_bytes(8, "big")).digest() + b"\0\0" for a, b, x in zip(self.low.tolist(), (self.high + self.window).tolist(), before)])
-        return np.frombuffer(whole, np.int64)
+        return run_digests(self.data, self.low.tolist(), (self.high + self.window).tolist(), before)
 
 
 def common(a: list[bytes], limit: int) -> np.ndarray:
@@ -155,8 +161,9 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGG
         for base, texts in chunks(texts_of(columns["text"]), CHUNK):
             cut = Parse(texts, window, trigger)
             if len(cut.at):
-                rows, counts = np.unique(np.column_stack([cut.doc, cut.key, cut.run_digests()]), axis=0, return_counts=True)
-                for name, value in zip(out, (rows[:, 1], rows[:, 2], ids[base + rows[:, 0]], counts)):
+                runs = cut.run_digests()
+                one, counts = once_a_text(cut.doc, runs)
+                for name, value in zip(out, (cut.key[one], runs[one], ids[base + cut.doc[one]], counts)):
                     out[name].append(value)
         return {n: np.concatenate(v) for n, v in out.items()} if out["key"] else None
 

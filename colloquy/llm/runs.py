@@ -20,6 +20,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from colloquy.llm.common import settle
 
@@ -87,6 +88,18 @@ def word_grams(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(grams)
 
 
+def run_digests(data: bytes, starts: list[int], ends: list[int], salts: list[int] | None = None) -> np.ndarray:
+    """48 bits of a hash of each run. With the 64 bits of its key, which hash other bytes of it, they name it."""
+    salts = salts or [0] * len(starts)
+    found = np.array([xxh3_64_intdigest(data[a:b], s) for a, b, s in zip(starts, ends, salts)], np.uint64)
+    return (found >> np.uint64(16)).view(np.int64)
+
+
+def once_a_text(doc: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different run of each of at most 65,536 texts, and how often it occurs there."""
+    return np.unique((doc.astype(np.uint64) << np.uint64(48)) | runs.view(np.uint64), return_index=True, return_counts=True)[1:]
+
+
 def find_repeats(
     docs: DataFrame,
     occurrences: Callable[[DataFrame], DataFrame],

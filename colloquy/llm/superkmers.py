@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_schema, map_rows, partitions, texts_of, typed
-from colloquy.llm.runs import FOUND, HOT, find_repeats, hash_words, least, word_grams
+from colloquy.llm.runs import FOUND, HOT, find_repeats, hash_words, least, once_a_text, run_digests, word_grams
 
 WINDOW = 50
 SEED = 10
 #: Windows of one super-k-mer at most; a longer run goes as several.
 LONGEST = 256
-#: Bytes of text that are cut at a time.
-CHUNK = 1 << 20
+#: Bytes and texts that are cut at a time: the arrays of a cut fit in a processor's cache.
+CHUNK, TEXTS = 1 << 17, 1 << 12
 
 class Cut:
     """Super-k-mers of a few texts: for each its text's number, minimiser, first word, windows, digest and bytes."""
@@ -64,8 +64,7 @@ class Cut:
     def run_digests(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, np.int64)
-        whole = b"".join([hashlib.blake2b(self.plain[a:b], digest_size=6).digest() + b"\0\0" for a, b in zip(self.froms, self.tos)])
-        return np.frombuffer(whole, np.int64)
+        return run_digests(self.plain, self.froms, self.tos)
 
     def packed(self, i: int) -> bytes:
         return self.plain[self.froms[i] : self.tos[i]]
@@ -76,7 +75,7 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
     at = 0
     while at < len(texts):
         end, total = at, 0
-        while end < len(texts) and (end == at or total + len(texts[end]) <= size):
+        while end < len(texts) and end < at + TEXTS and (end == at or total + len(texts[end]) <= size):
             total += len(texts[end])
             end += 1
         yield at, texts[at:end]
@@ -98,10 +97,11 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
         for base, texts in chunks(texts_of(columns["text"])):
             cut = Cut(texts, window)
             if len(cut.start):
-                rows = np.unique(np.column_stack([cut.doc, cut.key, cut.run_digests()]), axis=0)
-                keys.append(rows[:, 1])
-                runs.append(rows[:, 2])
-                dks.append(ids[base + rows[:, 0]])
+                digests = cut.run_digests()
+                one, _ = once_a_text(cut.doc, digests)
+                keys.append(cut.key[one])
+                runs.append(digests[one])
+                dks.append(ids[base + cut.doc[one]])
         if not keys:
             return None
         return {"key": np.concatenate(keys), "run": np.concatenate(runs), "dk": np.concatenate(dks), "n": np.ones(sum(map(len, keys)), np.int64)}
