@@ -1,0 +1 @@
+"""Analytics of two-party calls on Spark: segments, interval algebra, features, scoring."""
