@@ -52,19 +52,31 @@ def quiet_talker(p: Column, wait: Column, rms_cv: Column, turns: Column, wait_mi
     return F.when(fits, F.when(1 - p < 0.5, 1 - p).otherwise(0.499)).otherwise(p)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def score(features: DataFrame, model: dict) -> DataFrame:
-    """features with p_acoustic, p_behavioral, p, is_synthetic, confidence and views."""
-    heads = features.withColumns({"p_acoustic": logistic(model["acoustic"]), "p_behavioral": logistic(model["behavioral"])})
-    if model.get("fusion_type", "stacked") == "stacked" and model.get("fusion"):
-        p = settle_disagreement(logistic(model["fusion"]), F.col("p_acoustic"), F.col("p_behavioral"), model.get("disagree_unsure", UNSURE))
-    elif model.get("concatenated"):
-        p = logistic(model["concatenated"])
-    else:
+    """features with p_acoustic, p_behavioral, p, is_synthetic, confidence and views.
+
+    The heads are bound once for all rules; without that the expression would double with every rule.
+    """
+    stacked = model.get("fusion_type", "stacked") == "stacked" and model.get("fusion")
+    if not stacked and not model.get("concatenated"):
         raise ValueError("the model has neither a fusion nor a concatenated part")
     gate = QUIET | model.get("quiet_patient", {})
-    fused = heads.withColumn("p", p)
-    gated = fused.withColumn("p", quiet_talker(F.col("p"), or_zero(F.col("caller_response_latency_pos_median_s")), or_zero(F.col("caller_rms_cv")), or_zero(F.col("caller_segment_count")), **gate))
-    return verdict(gated).withColumn("views", F.create_map(F.lit("acoustic"), F.col("p_acoustic"), F.lit("behavioral"), F.col("p_behavioral")))
+    seen = [or_zero(F.col(n)) for n in ("caller_response_latency_pos_median_s", "caller_rms_cv", "caller_segment_count")]
+
+    def fused(a: Column, b: Column) -> Column:
+        if not stacked:
+            return logistic(model["concatenated"])
+        return let(logistic(model["fusion"], dict(zip(FUSION_HEAD, (a, b)))), lambda p: settle_disagreement(p, a, b, model.get("disagree_unsure", UNSURE)))
+
+    both = lambda h: let(fused(h["p_acoustic"], h["p_behavioral"]), lambda p: F.struct(h["p_acoustic"].alias("p_acoustic"), h["p_behavioral"].alias("p_behavioral"), quiet_talker(p, *seen, **gate).alias("p")))
+    heads = F.struct(logistic(model["acoustic"]).alias("p_acoustic"), logistic(model["behavioral"]).alias("p_behavioral"))
+    scored = features.withColumn("scored_", let(heads, both)).select(*features.columns, "scored_.*")
+    return verdict(scored).withColumn("views", F.create_map(F.lit("acoustic"), F.col("p_acoustic"), F.lit("behavioral"), F.col("p_behavioral")))
 
 
 def verdict(scored: DataFrame, p: str = "p") -> DataFrame:
