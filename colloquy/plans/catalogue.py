@@ -307,11 +307,11 @@ def mask_resample(spark, sf_dir):
     return ledger.resample_mask(mask, 25, 40, frames).select("call_id", "idx", "active")
 
 
-@query(f"""WITH {LEVELS}, has AS (SELECT DISTINCT call_id FROM mk WHERE active AND call_id % 3 <> 0) SELECT call_id, count(*) AS n, max(src) AS source FROM (SELECT call_id, 'energy' AS src FROM mk WHERE active AND call_id % 3 <> 0 UNION ALL SELECT call_id, 'fallback' FROM lv WHERE call_id NOT IN (SELECT call_id FROM has)) q GROUP BY call_id""")
+@query(f"""WITH {LEVELS}, loud AS (SELECT lv.call_id FROM lv JOIN fl ON fl.call_id = lv.call_id WHERE db > q + 36.0) SELECT call_id, count(*) AS n, max(src) AS source FROM (SELECT call_id, 'energy' AS src FROM loud UNION ALL SELECT call_id, 'fallback' FROM lv WHERE NOT EXISTS (SELECT 1 FROM loud WHERE loud.call_id = lv.call_id)) q GROUP BY call_id""")
 def hybrid_fallback(spark, sf_dir):
-    """Where a detector found nothing in a channel (here: every third call), all of another's rows stand in."""
+    """Where a strict detector found nothing in a channel, all of another's rows stand in."""
     levels = _levels(spark, sf_dir)
-    found = ledger.energy_mask(levels).where(F.col("active") & (F.col("call_id") % 3 != 0)).select("call_id", "channel", F.lit("energy").alias("source"))
+    found = ledger.energy_mask(levels, margin=36.0).where("active").select("call_id", "channel", F.lit("energy").alias("source"))
     other = levels.select("call_id", "channel", F.lit("fallback").alias("source")).join(found.select("call_id", "channel").distinct(), ["call_id", "channel"], "left_anti")
     return found.unionByName(other).groupBy("call_id").agg(F.count("*").alias("n"), F.max("source").alias("source"))
 
@@ -433,11 +433,11 @@ def digit_runs(spark, sf_dir):
 
 def _digits_said(spark, sf_dir):
     """Each user's events as agent turns that say their number: neighbours differ in one digit or more."""
-    events = derived.table(spark, sf_dir, "events").where("user_id < 60")
+    events = derived.table(spark, sf_dir, "events")
     return events.select(F.col("user_id").alias("call_id"), F.col("event_id").alias("seq"), F.lit(1).alias("channel"), F.col("event_id").cast("double").alias("start"), F.col("event_id").cast("double").alias("end"), F.concat(F.lit("your number is "), F.col("event_id") + 100000).alias("text"))
 
 
-@query("""WITH n AS (SELECT user_id AS call_id, event_id AS e, CAST(event_id + 100000 AS VARCHAR) AS t FROM events WHERE user_id < 60), p AS (SELECT a.call_id, a.t AS original, b.t AS mutated FROM n a JOIN n b ON a.call_id = b.call_id AND a.e < b.e),
+@query("""WITH n AS (SELECT user_id AS call_id, event_id AS e, CAST(event_id + 100000 AS VARCHAR) AS t FROM events), p AS (SELECT a.call_id, a.t AS original, b.t AS mutated FROM n a JOIN n b ON a.call_id = b.call_id AND a.e < b.e),
 h AS (SELECT *, (CASE WHEN substr(original, 1, 1) <> substr(mutated, 1, 1) THEN 1 ELSE 0 END + CASE WHEN substr(original, 2, 1) <> substr(mutated, 2, 1) THEN 1 ELSE 0 END + CASE WHEN substr(original, 3, 1) <> substr(mutated, 3, 1) THEN 1 ELSE 0 END + CASE WHEN substr(original, 4, 1) <> substr(mutated, 4, 1) THEN 1 ELSE 0 END + CASE WHEN substr(original, 5, 1) <> substr(mutated, 5, 1) THEN 1 ELSE 0 END + CASE WHEN substr(original, 6, 1) <> substr(mutated, 6, 1) THEN 1 ELSE 0 END) AS h FROM p)
 SELECT call_id, original, mutated FROM h WHERE h = 1""")
 def digit_trap_pairs(spark, sf_dir):
@@ -493,8 +493,7 @@ def stable_features(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    rows = derived.feature_rows(spark, sf_dir).where("split = 'val'")
-    return rounded(ranking.bootstrap(rows, derived.FEATURES, scoring.is_positive(), "call_id", runs=50))
+    return rounded(ranking.bootstrap(derived.feature_rows(spark, sf_dir), derived.FEATURES, scoring.is_positive(), "call_id", runs=50))
 
 
 #: Made-up heads over the derived features, to score with.
