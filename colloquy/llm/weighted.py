@@ -6,8 +6,9 @@ so that two documents pick alike with probability equal to their weighted Jaccar
 that agree in a whole band are candidates; only pairs whose exact weighted Jaccard similarity reaches
 LEAST are links; classes are the connected components.
 
-Candidates of a band are first compared with their bucket's least member, then, where that left a bucket in
-several components, across components, so no bucket's pairs are listed for members already joined, and at
+Candidates of a band are first compared with their bucket's least member. Buckets that this leaves in several
+components form groups by shared members; a group is compared across components in one task, a very large one
+by a join of its buckets. So no pairs are listed of members already joined, and at
 the end every two members of a bucket are in one class or have been compared. Texts of equal words are one
 node throughout. Nothing about all documents comes to the driver but the table of document frequencies,
 which has a fixed size.
@@ -35,6 +36,12 @@ VARIATES = 1 << 15
 #: Slots of hashed document frequencies, and how many of them go in one row of partial sums.
 SLOTS, SLICE = 1 << 20, 1 << 12
 SALTS = 32
+#: Buckets that the first round leaves open are joined into groups; one of at most so many texts is compared in one task.
+TOGETHER = 4000
+#: In such a group pairs are weighed whose samples agree this often; at similarity 0.8 that leaves out one in 5,000.
+BAR = 0.68
+#: Added to a document frequency, as a share of all documents, so that a group of near copies does not lose its weight to its own size.
+DAMPING = 0.2
 #: Pairs that may be broadcast; more are joined by shuffle.
 BROADCAST = 200_000
 SEED = 8
@@ -66,8 +73,8 @@ class Sampler:
         self.c = np.log(draw.gamma(2.0, 1.0, shape)).astype(np.float32)
         self.b = draw.random(shape, np.float32)
 
-    def bands(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A number for each band: the shingles and levels that its samples picked."""
+    def bands(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """A number for each band, of the shingles and levels that its samples picked, and 16 bits of every sample."""
         best = pick = level = None
         logs = np.log(weights).astype(np.float32)
         for at in range(0, len(hashes), 2048):
@@ -87,7 +94,7 @@ class Sampler:
         out = np.arange(1, BANDS + 1, dtype=np.uint64)
         for column in sample.reshape(BANDS, ROWS).T:
             out = mixed(out ^ column)
-        return out.view(np.int64)
+        return out.view(np.int64), sample.astype(np.uint16).tobytes()
 
 
 def weights_of(plain: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +187,41 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, shared, least: float)
     return map_rows(both, "a long, b long", compare, dict).distinct()
 
 
-def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def linked_together(docs: DataFrame, nodes: DataFrame, inside: DataFrame, shared, least: float) -> DataFrame:
+    """Links between components within groups of bucket members, each group compared in one task."""
+    members = settle(inside.select("node", "rep", "root", "group").distinct().join(nodes.select(F.col("node").alias("n"), "sketch"), F.col("node") == F.col("n")).drop("n"))
+    rows = docs.join(checked(members, members.count()), docs["doc_id"] == F.col("rep")).select("node", "root", "group", "sketch", "text")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        plain = [plain_words((t or "").encode()) for t in rows["text"]]
+        keep = [i for i, (p, n) in enumerate(zip(plain, rows["node"])) if name_of(p) == n]  # a doc_id may have other texts
+        rows, plain = rows.iloc[keep].reset_index(drop=True), [plain[i] for i in keep]
+        sides = [weights_of(p, shared.value) for p in plain]
+        samples = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
+        part = np.unique(rows["root"], return_inverse=True)[1]
+        found = []
+        for i in range(len(rows) - 1):
+            alike = (samples[i + 1 :] == samples[i]).mean(axis=1)
+            for j in (np.flatnonzero((alike >= BAR) & (part[i + 1 :] != part[i])) + i + 1).tolist():
+                if part[i] != part[j] and similarity(sides[i], sides[j]) >= least:
+                    found.append((rows["node"][i], rows["node"][j]))
+                    part[part == part[j]] = part[i]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return rows.groupBy("group").applyInPandas(compare, "a long, b long")
+
+
+def linked_across(docs: DataFrame, inside: DataFrame, shared, least: float) -> DataFrame:
+    """Links between components within the buckets of groups too large for a task: pairs of a bucket by a join."""
+    x, y = inside.alias("x"), inside.alias("y")
+    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))
+    new = (F.col("x.node") != F.col("x.head")) & (F.col("y.node") != F.col("y.head"))
+    pairs = x.join(y, apart & new).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.rep").alias("a_doc"), F.col("y.rep").alias("b_doc")).distinct()
+    pairs = settle(pairs)
+    return verified(docs, pairs, pairs.count(), shared, least)
+
+
+def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text; other columns are ignored).
 
     class_id is the least doc_id of the class; a document like no other is its own. Texts of equal words,
@@ -189,20 +230,22 @@ def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """
     rows = typed(docs, doc_id="long", text="string")
     frequencies, total = document_frequencies(rows)
-    idf = np.log1p(total / np.maximum(frequencies, 1)).astype(np.float64)
+    idf = np.log1p(total / np.maximum(frequencies + DAMPING * total, 1.0))
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def sample(columns, sampler):
-        nodes, bands = [], []
+        nodes, bands, sketches = [], [], []
         for text in texts_of(columns["text"]):
             plain = plain_words(text)
+            keys, sketch = sampler.bands(*weights_of(plain, sampler.idf)) if plain else (np.zeros(0, np.int64), b"")
             nodes.append(name_of(plain))
-            bands.append(sampler.bands(*weights_of(plain, sampler.idf)).tolist() if plain else [])
-        return {"doc_id": columns["doc_id"], "node": nodes, "bands": bands}
+            bands.append(keys.tolist())
+            sketches.append(sketch)
+        return {"doc_id": columns["doc_id"], "node": nodes, "bands": bands, "sketch": sketches}
 
     named = rows.where("doc_id is not null")
-    sampled = settle(map_rows(named, "doc_id long, node long, bands array<long>", sample, lambda: Sampler(shared.value)))
-    nodes = settle(sampled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    sampled = settle(map_rows(named, "doc_id long, node long, bands array<long>, sketch binary", sample, lambda: Sampler(shared.value)))
+    nodes = settle(sampled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sketch")).alias("own")).select("node", "rep", "own.*"))
     members = nodes.select(F.explode("bands").alias("band"), "node", "rep")
     heads = members.groupBy("band").agg(F.min(F.struct("node", "rep")).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("k"), "head", "n")
     shared_bands = settle(members.join(heads, members["band"] == F.col("k")).select("band", "node", "rep", "head", "n"))
@@ -214,14 +257,14 @@ def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # buckets that are still in several components: what has not been compared there is compared now
     rooted = shared_bands.where("n > 2").join(roots, shared_bands["node"] == roots["node"], "left").select("band", shared_bands["node"], "rep", F.coalesce("root", shared_bands["node"]).alias("root"), F.col("head.node").alias("head"))
     open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("head").alias("h")).where("low <> high").select(F.col("band").alias("k"))
-    inside = settle(rooted.join(open_, rooted["band"] == F.col("k")).where(F.col("node") != F.col("head")).select("band", "node", "rep", "root"))
-    x, y = inside.alias("x"), inside.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.rep").alias("a_doc"), F.col("y.rep").alias("b_doc")).distinct()
-    rest = settle(rest)
-    if size := rest.count():
-        more = settle(verified(named, rest, size, shared, least))
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    inside = settle(rooted.join(open_, rooted["band"] == F.col("k")).select("band", "node", "rep", "root", "head"))
+    groups = components(inside.where(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("root", "group")
+    sizes = groups.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("size"))
+    grouped = groups.join(sizes, groups["group"] == F.col("g")).select(F.col("node").alias("m"), "group", (F.col("size") > together).alias("large"))
+    inside = settle(inside.join(grouped, inside["node"] == F.col("m")).drop("m"))
+    more = settle(linked_together(named, nodes, inside.where("not large"), shared, least).unionByName(linked_across(named, inside.where("large"), shared, least)))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     placed = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     by_node = placed.select(F.col("node").alias("m"), F.col("root").alias("g")).join(classes, F.col("g") == F.col("root")).select("m", "class_id")
