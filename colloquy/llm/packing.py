@@ -10,6 +10,7 @@ length can make one group large; a group leaves a few sequences part-filled, a s
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -53,10 +54,10 @@ class WordCache(dict):
             self.clear()
             new = list(chunks)
         words = {c[:-1] if c[-1:] in TAILS else c for c in new}
-        self.words([w for w in words if w not in self and w.isalpha()])
+        self.words([w for w in words if w not in self and is_word(w)])
         rest = []
         for chunk in new:
-            if chunk[-1:] in TAILS and chunk[:-1] in self and chunk[:-1].isalpha():
+            if chunk[-1:] in TAILS and chunk[:-1] in self and is_word(chunk[:-1]):
                 self[chunk] = self[chunk[:-1]] + self.tail[chunk[-1]]
             elif chunk not in self:
                 rest.append(chunk)
@@ -83,6 +84,11 @@ class WordCache(dict):
                 yield b"".join(map(self.__getitem__, chunks))
 
 
+def is_word(chunk: str) -> bool:
+    """Letters alone, and still so when composed and lower-cased, as the vocabulary's normaliser does."""
+    return chunk.isalpha() and (chunk.isascii() or unicodedata.normalize("NFC", chunk).lower().isalpha())
+
+
 def chunks_of(text: str) -> list[str]:
     """Lower-cased where that cannot change the ids, so that fewer different chunks are encoded.
 
