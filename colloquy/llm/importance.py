@@ -22,8 +22,8 @@ from colloquy.llm.runs import hash_words, word_grams
 SLOTS = 1 << 13
 #: At most so many labelled documents, the least by hash, fit and calibrate the target model.
 LABELLED = 20_000
-#: Pseudo-counts a slot, spread as the raw model; so much target text must speak before a ratio does.
-SMOOTHING = 50.0
+#: Share of the raw model in the target model: what target text never shows is that much less likely there, no less.
+SMOOTHING = 0.25
 #: Share of held-out good documents that may weigh less than the limit, and how much noise is allowed for below it.
 LOST, MARGIN = 0.002, 3.0
 SEED = 7
@@ -80,8 +80,12 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
     if not target.any():
         return Model(np.zeros(SLOTS, np.float32), -np.inf)
     share = (raw + 1.0 / SLOTS) / (raw.sum() + 1.0)
-    aimed = (target + SMOOTHING * SLOTS * share) / (target.sum() + SMOOTHING * SLOTS)
-    model = Model((np.log(aimed) - np.log(share)).astype(np.float32), -np.inf)
+    aimed = (1 - SMOOTHING) * target / target.sum() + SMOOTHING * share
+    ratios = np.log(aimed) - np.log(share)
+    # counts of little target text make its log probabilities too low on average: held-out good text shows by how much
+    held = slot_counts(known.where("held"))
+    ratios += max(0.0, -float(held @ ratios) / held.sum()) if held.any() else 0.0
+    model = Model(ratios.astype(np.float32), -np.inf)
     weights = weighed(known.where("held").select(F.lit(None).cast("long").alias("doc_id"), "text"), model).agg(F.percentile("log_weight", LOST).alias("low")).first()["low"]
     return Model(model.ratios, -np.inf if weights is None else min(0.0, float(weights)) - MARGIN)
 
