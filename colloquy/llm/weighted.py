@@ -34,7 +34,7 @@ BANDS, ROWS = 24, 6
 #: Rows of the table of random variates; shingles are dealt to them by hash.
 VARIATES = 1 << 15
 #: Slots of hashed document frequencies, and how many of them go in one row of partial sums.
-SLOTS, SLICE = 1 << 20, 1 << 12
+SLOTS, SLICE = 1 << 18, 1 << 12
 SALTS = 32
 #: Buckets that the first round leaves open are joined into groups; one of at most so many texts is compared in one task.
 TOGETHER = 4000
@@ -42,7 +42,7 @@ TOGETHER = 4000
 BAR = 0.68
 #: Added to a document frequency, as a share of all documents, so that a group of near copies does not lose its weight to its own size.
 DAMPING = 0.2
-#: Pairs that may be broadcast; more are joined by shuffle.
+#: Ids of documents to compare that may be broadcast, 8 bytes each; with more, all texts are shuffled.
 BROADCAST = 200_000
 SEED = 8
 
@@ -155,15 +155,18 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def checked(small: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(small) if size <= BROADCAST else small
+def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with the doc_ids of ids (one column), before anything of them is shuffled; all of docs where ids are too many to broadcast."""
+    ids = settle(ids.toDF("wanted_").distinct())
+    return docs.join(F.broadcast(ids), docs["doc_id"] == F.col("wanted_"), "left_semi") if ids.count() <= BROADCAST else docs
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, shared, least: float) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, shared, least: float) -> DataFrame:
     """Of pairs (a, b, a_doc, b_doc) those whose similarity reaches least. A doc_id only leads to its text."""
-    left = docs.join(checked(pairs, size), docs["doc_id"] == F.col("a_doc")).select("a", "b", "b_doc", F.col("text").alias("a_text"))
+    docs = texts_for(docs, pairs.select("a_doc").union(pairs.select("b_doc")))
+    left = docs.join(pairs, docs["doc_id"] == F.col("a_doc")).select("a", "b", "b_doc", F.col("text").alias("a_text"))
     right = pairs.select(F.col("b").alias("of"), F.col("b_doc").alias("of_doc")).distinct()
-    heads = docs.join(checked(right, size), docs["doc_id"] == F.col("of_doc")).select("of", "of_doc", F.col("text").alias("b_text"))
+    heads = docs.join(right, docs["doc_id"] == F.col("of_doc")).select("of", "of_doc", F.col("text").alias("b_text"))
     both = left.join(heads, (F.col("b") == F.col("of")) & (F.col("b_doc") == F.col("of_doc"))).select("a", "b", "a_text", "b_text")
 
     def compare(columns, cache):
@@ -190,7 +193,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, shared, least: float)
 def linked_together(docs: DataFrame, nodes: DataFrame, inside: DataFrame, shared, least: float) -> DataFrame:
     """Links between components within groups of bucket members, each group compared in one task."""
     members = settle(inside.select("node", "rep", "root", "group").distinct().join(nodes.select(F.col("node").alias("n"), "sketch"), F.col("node") == F.col("n")).drop("n"))
-    rows = docs.join(checked(members, members.count()), docs["doc_id"] == F.col("rep")).select("node", "root", "group", "sketch", "text")
+    rows = texts_for(docs, members.select("rep")).join(members, F.col("doc_id") == F.col("rep")).select("node", "root", "group", "sketch", "text")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         plain = [plain_words((t or "").encode()) for t in rows["text"]]
@@ -218,7 +221,7 @@ def linked_across(docs: DataFrame, inside: DataFrame, shared, least: float) -> D
     new = (F.col("x.node") != F.col("x.head")) & (F.col("y.node") != F.col("y.head"))
     pairs = x.join(y, apart & new).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.rep").alias("a_doc"), F.col("y.rep").alias("b_doc")).distinct()
     pairs = settle(pairs)
-    return verified(docs, pairs, pairs.count(), shared, least)
+    return verified(docs, pairs, shared, least)
 
 
 def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER) -> DataFrame:
@@ -251,7 +254,7 @@ def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER
     shared_bands = settle(members.join(heads, members["band"] == F.col("k")).select("band", "node", "rep", "head", "n"))
     pairs = shared_bands.where(F.col("node") != F.col("head.node")).select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("rep").alias("a_doc"), F.col("head.rep").alias("b_doc")).distinct()
     pairs = settle(pairs)
-    links = settle(verified(named, pairs, pairs.count(), shared, least))
+    links = settle(verified(named, pairs, shared, least))
     roots = components(links)
 
     # buckets that are still in several components: what has not been compared there is compared now
