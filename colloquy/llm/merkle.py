@@ -15,6 +15,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,25 +139,34 @@ def neighbour_prints(docs: DataFrame) -> DataFrame:
     """
     rows = typed(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     wanted = 4 * partitions(docs.sparkSession)
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.25 / wanted)))  # one number a range
-    # larger ids come first, so range 0 is above the last cut
-    ranges = F.lit(len(cuts)) - F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
-        F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c >= F.col("doc_id"))))
-    rows = rows.withColumn("range", ranges.cast("int"))
+    cuts = np.array(sorted(set(rows.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.25 / wanted))), np.float64)  # one number a range
+
+    # looked up by bisection, so that thousands of ranges cost no more; only the ids go to Python
+    @F.pandas_udf("int")
+    def range_of(doc: pd.Series) -> pd.Series:
+        # larger ids come first: range 0 is above the last cut, and ids that are null have the last one
+        return pd.Series(np.where(doc.isna(), len(cuts) + 1, len(cuts) - np.searchsorted(cuts, doc.fillna(0).to_numpy(np.float64), "left"))).astype("int32")
+
+    rows = rows.withColumn("range", range_of("doc_id"))
     tops = {r["range"]: r["top"] for r in rows.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # one row a range
     if not tops:
         return docs.sparkSession.createDataFrame([], PRINTS)
     order = sorted(tops)
     # the document that heads a range also follows the last of the range before it, the first of all follows the last of all
     before = {r: order[i - 1] for i, r in enumerate(order)}
-    table = F.create_map(*[F.lit(x) for r in order for x in (r, before[r])])
-    head = F.create_map(*[x for r in order for x in (F.lit(r), F.lit(tops[r]).cast("long"))])
-    heads = rows.where(F.col("doc_id").eqNullSafe(head[F.col("range")]))
+    heads_of = {(r, t): before[r] for r, t in tops.items() if t is not None}
+
+    @F.pandas_udf("int")
+    def copied_to(range_: pd.Series, doc: pd.Series) -> pd.Series:
+        return pd.Series([heads_of.get((r, None if pd.isna(d) else int(d)), -1) for r, d in zip(range_, doc)], dtype="int32")
+
+    heads = rows.where("doc_id is not null").withColumn("to", copied_to("range", "doc_id")).where("to >= 0")
+    copies = heads.select("doc_id", "text", F.col("to").alias("range"))
     if any(t is None for t in tops.values()):
-        # of a whole range without ids only the first text is needed
-        lone = heads.where("doc_id is null").agg(F.min("text").alias("text")).where("text is not null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(order[-1]).alias("range"))
-        heads = heads.where("doc_id is not null").unionByName(lone)
-    copies = heads.withColumn("range", table[F.col("range")]).withColumn("copy", F.lit(1))
+        # of the range without ids only the first text is needed
+        lone = rows.where("doc_id is null").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(before[order[-1]]).alias("range"))
+        copies = copies.unionByName(lone)
+    copies = copies.withColumn("copy", F.lit(1))
     dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies).repartition(partitions(docs.sparkSession), "range")
     dealt = dealt.sortWithinPartitions("range", "copy", F.col("doc_id").desc_nulls_last(), "text")
     schema = arrow_schema(docs.sparkSession, PRINTS)
