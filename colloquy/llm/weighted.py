@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import map_rows, settle, texts_of, typed
+from colloquy.llm.common import map_rows, settle, texts_of, tidy, typed
 from colloquy.llm.runs import hash_words, mixed, word_grams
 
 SHINGLE = 5
@@ -133,6 +133,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     found = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in parts.collect()}  # SLOTS numbers
     if not found:
         return np.zeros(SLOTS, np.int64), 0
+    tidy(rows.sparkSession)
     return np.concatenate([found[i] for i in range(SLOTS // SLICE)]), int(found[-1][0])
 
 
@@ -151,6 +152,7 @@ def components(edges: DataFrame) -> DataFrame:
         stepped = taken.join(up, taken["new"] == up["n"], "left").select("node", "old", F.least("new", F.coalesce("above", "new")).alias("root"))
         stepped = settle(stepped)
         roots = stepped.select("node", "root")
+        tidy(edges.sparkSession)
         if stepped.where("old <> root").isEmpty():
             return roots
 
@@ -254,6 +256,7 @@ def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER
     shared_bands = settle(members.join(heads, members["band"] == F.col("k")).select("band", "node", "rep", "head", "n"))
     pairs = shared_bands.where(F.col("node") != F.col("head.node")).select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("rep").alias("a_doc"), F.col("head.rep").alias("b_doc")).distinct()
     pairs = settle(pairs)
+    tidy(docs.sparkSession)
     links = settle(verified(named, pairs, shared, least))
     roots = components(links)
 
@@ -265,6 +268,7 @@ def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER
     sizes = groups.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("size"))
     grouped = groups.join(sizes, groups["group"] == F.col("g")).select(F.col("node").alias("m"), "group", (F.col("size") > together).alias("large"))
     inside = settle(inside.join(grouped, inside["node"] == F.col("m")).drop("m"))
+    tidy(docs.sparkSession)
     more = settle(linked_together(named, nodes, inside.where("not large"), shared, least).unionByName(linked_across(named, inside.where("large"), shared, least)))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
