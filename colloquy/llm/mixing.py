@@ -9,7 +9,6 @@ each length of a source, never the documents, so its cost follows the number of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np

@@ -36,7 +36,7 @@ def test_base_rules_against_regular_expressions(bits):
 
 def test_other_kinds():
     text = "x ghp_" + "a1" * 20 + " -----BEGIN RSA PRIVATE KEY----- xoxb-" + "1" * 20
-    assert [k for _, _, k in SCANNER.spans([text.encode()])[0]] == ["github", "private_key", "hex", "slack"] or [k for _, _, k in SCANNER.spans([text.encode()])[0]].count("github") == 1
+    assert [k for _, _, k in SCANNER.spans([text.encode()])[0]] == ["github", "hex", "private_key", "slack", "hex"]
 
 
 def test_automaton_is_minimal_and_right():
