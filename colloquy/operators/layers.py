@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import signal as dsp
-from colloquy.functions.stats import or_zero, summary
+from colloquy.functions.stats import summary
 from colloquy.operators.intervals import channel, complement, difference, starts_inside
 from colloquy.operators.ledger import energy_mask, mask_segments
 from colloquy.operators.timing import caller_gaps, with_zeros
