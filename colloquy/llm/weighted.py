@@ -160,6 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
 def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs with the doc_ids of ids (one column), before anything of them is shuffled; all of docs where ids are too many to broadcast."""
     ids = settle(ids.toDF("wanted_").distinct())
+    tidy(docs.sparkSession)
     return docs.join(F.broadcast(ids), docs["doc_id"] == F.col("wanted_"), "left_semi") if ids.count() <= BROADCAST else docs
 
 
@@ -250,6 +251,7 @@ def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER
 
     named = rows.where("doc_id is not null")
     sampled = settle(map_rows(named, "doc_id long, node long, bands array<long>, sketch binary", sample, lambda: Sampler(shared.value)))
+    tidy(docs.sparkSession)
     nodes = settle(sampled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sketch")).alias("own")).select("node", "rep", "own.*"))
     members = nodes.select(F.explode("bands").alias("band"), "node", "rep")
     heads = members.groupBy("band").agg(F.min(F.struct("node", "rep")).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("k"), "head", "n")
@@ -272,6 +274,7 @@ def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER
     more = settle(linked_together(named, nodes, inside.where("not large"), shared, least).unionByName(linked_across(named, inside.where("large"), shared, least)))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
+    tidy(docs.sparkSession)
     placed = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     by_node = placed.select(F.col("node").alias("m"), F.col("root").alias("g")).join(classes, F.col("g") == F.col("root")).select("m", "class_id")
@@ -282,7 +285,8 @@ def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs without near copies: of each class the least doc_id stays, once. Rows without doc_id all stay."""
     classes = near_classes(docs, least)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_")).distinct()
+    gone = settle(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_")).distinct())
+    tidy(docs.sparkSession)
     left = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_"), "left_anti")
     named = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     return named.unionByName(left.where(F.col("doc_id").isNull()))
