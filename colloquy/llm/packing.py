@@ -26,7 +26,7 @@ END_ID = 0
 #: Pieces of a packing group, about. It bounds the memory of a packing task.
 GROUP = 25_000
 #: Word pieces that a worker keeps encoded; the memory it takes is bounded by this.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
