@@ -2,14 +2,16 @@
 
 Two generative models over SLOTS hashed word unigrams and bigrams: one of target text (documents labelled
 good), one of the raw corpus, all of it. A document's log importance weight is the log ratio of its n-grams
-under the two. Adding seeded Gumbel noise and taking the k largest draws k documents without replacement in
-proportion to their weights. k is how many documents weigh at least as much as all but a small share of
-the labelled good ones that the models were not fitted on.
+under the two, taken by length: a sum of n log ratios is held against the mean of good text and divided by
+(n + FEW)^POWER, so that one limit judges short and long documents alike. Adding seeded Gumbel noise and taking
+the k largest draws k documents without replacement in proportion to their weights. k is how many documents
+weigh at least as much as all but a small share of the labelled good ones that the models were not fitted on.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,12 +22,16 @@ from colloquy.llm.common import map_rows, settle, texts_of, typed
 from colloquy.llm.runs import hash_words, word_grams
 
 SLOTS = 1 << 13
-#: At most so many labelled documents, the least by hash, fit and calibrate the target model.
+#: At most so many labelled documents of each kind, the least by hash, fit and calibrate the models.
 LABELLED = 20_000
 #: Share of the raw model in the target model: what target text never shows is that much less likely there, no less.
 SMOOTHING = 0.25
-#: Share of held-out good documents that may weigh less than the limit, and how much noise is allowed for below it.
-LOST, MARGIN = 0.002, 3.0
+#: Share of held-out good documents that may score less than the limit.
+LOST = 0.005
+#: A sum of n log ratios is divided by (n + FEW)^POWER: between a mean (1), by which the shortest good text would go, and a deviation (1/2).
+FEW, POWER = 20, 0.75
+#: Log weight of one standard deviation of good text: the noise of the draw moves a document by a fraction of one.
+STEEP = 10.0
 SEED = 7
 #: Salts of partial sums, so that a sum never meets one row of every task.
 SALTS = 64
@@ -57,37 +63,71 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """ratios: log of target over raw probability by slot. limit: the least log weight that counts as good."""
+    """ratios: log of target over raw probability by slot. mean: that of good text. least, spread: the least score that counts as good, and a deviation of good ones. limit: the least log weight."""
 
     ratios: np.ndarray
-    limit: float
+    mean: float = 0.0
+    least: float = 0.0
+    spread: float = 1.0
+    limit: float = -np.inf
+
+    def score(self, text: bytes) -> float:
+        """How far the text's log ratios are above those of good text, by length."""
+        found = self.ratios[slots(text).astype(np.int64)]
+        return float((found.sum(dtype=np.float64) - self.mean * len(found)) / (len(found) + FEW) ** POWER)
 
     def weigh(self, text: bytes) -> float:
-        return float(self.ratios[slots(text).astype(np.int64)].sum(dtype=np.float64))
+        return STEEP * (self.score(text) - self.least) / self.spread
+
+
+def least_score(good: np.ndarray, bad: np.ndarray) -> float:
+    """What all but the share LOST of good scores reach; midway to the bad ones where these stay below."""
+    low = float(np.quantile(good, LOST))
+    high = float(np.quantile(bad, 1 - LOST)) if len(bad) else low
+    return (low + high) / 2 if high < low else low
+
+
+def chosen_labels(labels: DataFrame, labelled: int, **kinds: str) -> DataFrame:
+    """(l, h, a flag for each of kinds) of at most so many labelled documents of each kind, the least by hash; a condition that is null does not hold."""
+    flags = labels.select(F.col("doc_id").cast("long").alias("l"), *[F.coalesce(F.expr(c), F.lit(False)).alias(k) for k, c in kinds.items()]).where("l is not null")
+    flags = flags.groupBy("l").agg(*[F.max(k).alias(k) for k in kinds]).withColumn("h", F.xxhash64(F.lit(SEED), "l"))
+    parts = [flags.where(k).orderBy("h", "l").limit(labelled) for k in kinds]
+    return functools.reduce(DataFrame.union, parts).distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic = 0", labelled: int = LABELLED) -> Model:
-    """Models from docs (doc_id, text) and labels (doc_id and what good names; a condition that is null is not good).
+def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic = 0", bad: str = "quality = 0", labelled: int = LABELLED) -> Model:
+    """Models from docs (doc_id, text) and labels (doc_id and what good and bad name; a condition that is null does not hold).
 
-    Half of the labelled good documents, by hash, fit the target model, the other half set the limit. With
-    no labelled document there is no target: all ratios are 0 and everything is good.
+    Half of the labelled good documents, by hash, fit the target model; the other half and the bad ones set the
+    limit. With no labelled good document there is no target: all ratios are 0 and everything is good.
     """
-    chosen = labels.where(F.expr(good)).select(F.col("doc_id").cast("long").alias("l")).where("l is not null").distinct()
-    chosen = chosen.withColumn("h", F.xxhash64(F.lit(SEED), "l")).orderBy("h", "l").limit(labelled)
+    chosen = chosen_labels(labels, labelled, good=good, bad=bad)
     rows = typed(docs, doc_id="long", text="string")
-    known = settle(rows.join(F.broadcast(chosen), rows["doc_id"] == F.col("l")).select("text", (F.col("h") % 2 == 0).alias("held")))
-    target, raw = slot_counts(known.where("not held")), slot_counts(rows)
+    known = settle(rows.join(F.broadcast(chosen), rows["doc_id"] == F.col("l")).select("text", "good", "bad", (F.col("h") % 2 == 0).alias("held")))
+    target, raw = slot_counts(known.where("good and not held")), slot_counts(rows)
     if not target.any():
-        return Model(np.zeros(SLOTS, np.float32), -np.inf)
+        return Model(np.zeros(SLOTS, np.float32))
     share = (raw + 1.0 / SLOTS) / (raw.sum() + 1.0)
     aimed = (1 - SMOOTHING) * target / target.sum() + SMOOTHING * share
     ratios = np.log(aimed) - np.log(share)
     # counts of little target text make its log probabilities too low on average: held-out good text shows by how much
-    held = slot_counts(known.where("held"))
-    ratios += max(0.0, -float(held @ ratios) / held.sum()) if held.any() else 0.0
-    model = Model(ratios.astype(np.float32), -np.inf)
-    weights = weighed(known.where("held").select(F.lit(None).cast("long").alias("doc_id"), "text"), model).agg(F.percentile("log_weight", LOST).alias("low")).first()["low"]
-    return Model(model.ratios, -np.inf if weights is None else min(0.0, float(weights)) - MARGIN)
+    held = slot_counts(known.where("good and held"))
+    mean = float(held @ ratios) / held.sum() if held.any() else 0.0
+    return calibrated(Model(ratios.astype(np.float32), mean), known.where("held"))
+
+
+def calibrated(model: Model, held: DataFrame) -> Model:
+    """The model with limits from held (text, good, bad), which it was not fitted on."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def measure(columns):
+        return {"good": columns["good"], "bad": columns["bad"], "score": [shared.value.score(t) for t in texts_of(columns["text"])]}
+
+    found = map_rows(held, "good boolean, bad boolean, score double", measure).toArrow()  # at most LABELLED of each kind
+    isgood, isbad, score = (found[n].to_numpy() for n in ("good", "bad", "score"))
+    if not isgood.any():
+        return model
+    return replace(model, least=min(0.0, least_score(score[isgood], score[isbad])), spread=max(float(score[isgood].std()), 1e-6), limit=0.0)
 
 
 def weighed(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
@@ -141,7 +181,7 @@ def selected(docs: DataFrame, labels: DataFrame, **options) -> tuple[Model, floa
 def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, log_weight, key) of the documents drawn from docs.
 
-    A document without words, null text included, weighs 0. Repeated rows draw the same noise, so they
+    A document without words, null text included, is as good as the mean of good text. Repeated rows draw the same noise, so they
     stay or go together; rows of equal keys at the bound all stay. Null doc_ids take part. An empty table
     gives no rows.
     """

@@ -184,3 +184,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in held["mixing sources"].collect()}
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def test_short_junk_is_judged_like_long_junk(spark):
+    draw = random.Random(3)
+    rows = []
+    for i in range(450):  # good text has up to half of its words in common with junk, which moves long sums far
+        share = 1 if i % 5 == 0 else draw.random() / 2
+        rows.append((i, " ".join(draw.choice("qrstuvwxyz" if draw.random() < share else "abcdefghij") * 2 for _ in range((80, 150, 1500)[i % 3]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 450, 2)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"] for r in importance.resample(docs, labels).collect()}
+    for size in range(3):
+        junk, clean = ({i for i in range(size, 450, 3) if (i % 5 == 0) == bad} for bad in (True, False))
+        assert len(junk & got) <= 0.1 * len(junk) and len(clean & got) >= 0.95 * len(clean)
