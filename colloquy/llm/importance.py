@@ -6,6 +6,9 @@ under the two, taken by length: a sum of n log ratios is held against the mean o
 (n + FEW)^POWER, so that one limit judges short and long documents alike. Adding seeded Gumbel noise and taking
 the k largest draws k documents without replacement in proportion to their weights. k is how many documents
 weigh at least as much as all but a small share of the labelled good ones that the models were not fitted on.
+
+A third model, of text labelled toxic, is scored where it peaks: by the words of a document that tell most for
+toxic against good text, not by a sum over all. A document weighs what the worse of the two scores says.
 """
 
 from __future__ import annotations
@@ -32,6 +35,12 @@ LOST = 0.005
 FEW, POWER = 20, 0.75
 #: Log weight of one standard deviation of good text: the noise of the draw moves a document by a fraction of one.
 STEEP = 10.0
+#: Slots of words in the toxic model, and how many documents are added to each of its counts.
+WORD_SLOTS, ADDED = 1 << 18, 0.5
+#: A document's toxic peaks are the sums of its so many most telling words: a short one may hold just one.
+PEAKS = (1, 2, 3)
+#: Punctuation, which does not make another word.
+GAPS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SEED = 7
 #: Salts of partial sums, so that a sum never meets one row of every task.
 SALTS = 64
@@ -43,6 +52,11 @@ def slots(text: bytes) -> np.ndarray:
     return np.concatenate([words, word_grams(words, 2)]) % np.uint64(SLOTS) if len(words) else words
 
 
+def word_slots(text: bytes) -> np.ndarray:
+    """Slots of a text's distinct lower-cased words without punctuation."""
+    return np.unique(hash_words(b" ".join(text.lower().translate(GAPS).split()))[2] % np.uint64(WORD_SLOTS)).astype(np.int64)
+
+
 def slot_counts(docs: DataFrame) -> np.ndarray:
     """How often each slot occurs in docs (text): one vector a task, summed in two steps."""
 
@@ -63,21 +77,30 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """ratios: log of target over raw probability by slot. mean: that of good text. least, spread: the least score that counts as good, and a deviation of good ones. limit: the least log weight."""
+    """ratios: log of target over raw probability by slot. mean: that of good text. toxic: log of toxic over good share of documents by slot of a word, at least 0.
+
+    least, spread: the least scores that count as good, and deviations of good ones. limit: the least log weight.
+    """
 
     ratios: np.ndarray
     mean: float = 0.0
-    least: float = 0.0
-    spread: float = 1.0
+    toxic: np.ndarray | None = None
+    least: tuple[float, ...] = (0.0,) * (1 + len(PEAKS))
+    spread: tuple[float, ...] = (1.0,) * (1 + len(PEAKS))
     limit: float = -np.inf
 
-    def score(self, text: bytes) -> float:
-        """How far the text's log ratios are above those of good text, by length."""
+    def scores(self, text: bytes) -> list[float]:
+        """How far the text's log ratios are above those of good text, by length; then its toxic peaks, less than 0."""
         found = self.ratios[slots(text).astype(np.int64)]
-        return float((found.sum(dtype=np.float64) - self.mean * len(found)) / (len(found) + FEW) ** POWER)
+        score = float((found.sum(dtype=np.float64) - self.mean * len(found)) / (len(found) + FEW) ** POWER)
+        if self.toxic is None:
+            return [score] + [0.0] * len(PEAKS)
+        telling = self.toxic[word_slots(text)].astype(np.float64)
+        telling = np.sort(telling[telling > 0])[::-1]
+        return [score, *(-float(telling[:k].sum()) for k in PEAKS)]
 
     def weigh(self, text: bytes) -> float:
-        return STEEP * (self.score(text) - self.least) / self.spread
+        return STEEP * min((x - low) / unit for x, low, unit in zip(self.scores(text), self.least, self.spread))
 
 
 def least_score(good: np.ndarray, bad: np.ndarray) -> float:
@@ -95,15 +118,37 @@ def chosen_labels(labels: DataFrame, labelled: int, **kinds: str) -> DataFrame:
     return functools.reduce(DataFrame.union, parts).distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic = 0", bad: str = "quality = 0", labelled: int = LABELLED) -> Model:
-    """Models from docs (doc_id, text) and labels (doc_id and what good and bad name; a condition that is null does not hold).
+def toxic_ratios(known: DataFrame) -> np.ndarray | None:
+    """Log ratios of toxic over good documents by slot of a word, from known (text, good, toxic); what tells for good is 0."""
 
-    Half of the labelled good documents, by hash, fit the target model; the other half and the bad ones set the
-    limit. With no labelled good document there is no target: all ratios are 0 and everything is good.
+    def run(batches):
+        counts = np.zeros((2, WORD_SLOTS), np.int64)
+        for batch in batches:
+            for text, toxic in zip(batch["text"].fillna(""), batch["toxic"]):
+                counts[int(toxic), word_slots(text.encode("utf-8"))] += 1
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pd.DataFrame({"slot": at, "clean": counts[0, at], "toxic": counts[1, at]})
+
+    told = known.where("good <> toxic").select("text", "toxic")
+    sizes = told.agg(F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic")).first()
+    if not sizes["clean"] or not sizes["toxic"]:
+        return None
+    counts = told.mapInPandas(run, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic > 0").toArrow()
+    slot, clean, toxic = (counts[n].to_numpy() for n in ("slot", "clean", "toxic"))  # at most WORD_SLOTS rows
+    out = np.zeros(WORD_SLOTS, np.float32)
+    out[slot] = np.maximum(0.0, np.log((toxic + ADDED) / (sizes["toxic"] + 2 * ADDED)) - np.log((clean + ADDED) / (sizes["clean"] + 2 * ADDED)))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic = 0", bad: str = "quality = 0", toxic: str = "toxic = 1", labelled: int = LABELLED) -> Model:
+    """Models from docs (doc_id, text) and labels (doc_id and what good, bad and toxic name; a condition that is null does not hold).
+
+    Half of the labelled documents, by hash, fit the target and the toxic model; the other half set the
+    limits. With no labelled good document there is no target: all ratios are 0 and everything is good.
     """
-    chosen = chosen_labels(labels, labelled, good=good, bad=bad)
+    chosen = chosen_labels(labels, labelled, good=good, bad=bad, toxic=toxic)
     rows = typed(docs, doc_id="long", text="string")
-    known = settle(rows.join(F.broadcast(chosen), rows["doc_id"] == F.col("l")).select("text", "good", "bad", (F.col("h") % 2 == 0).alias("held")))
+    known = settle(rows.join(F.broadcast(chosen), rows["doc_id"] == F.col("l")).select("text", "good", "bad", "toxic", (F.col("h") % 2 == 0).alias("held")))
     target, raw = slot_counts(known.where("good and not held")), slot_counts(rows)
     if not target.any():
         return Model(np.zeros(SLOTS, np.float32))
@@ -113,21 +158,25 @@ def fit(docs: DataFrame, labels: DataFrame, good: str = "quality = 1 and toxic =
     # counts of little target text make its log probabilities too low on average: held-out good text shows by how much
     held = slot_counts(known.where("good and held"))
     mean = float(held @ ratios) / held.sum() if held.any() else 0.0
-    return calibrated(Model(ratios.astype(np.float32), mean), known.where("held"))
+    return calibrated(Model(ratios.astype(np.float32), mean, toxic_ratios(known.where("not held"))), known.where("held"))
 
 
 def calibrated(model: Model, held: DataFrame) -> Model:
-    """The model with limits from held (text, good, bad), which it was not fitted on."""
+    """The model with limits from held (text, good, bad, toxic), which it was not fitted on."""
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def measure(columns):
-        return {"good": columns["good"], "bad": columns["bad"], "score": [shared.value.score(t) for t in texts_of(columns["text"])]}
+        return {n: columns[n] for n in ("good", "bad", "toxic")} | {"scores": [shared.value.scores(t) for t in texts_of(columns["text"])]}
 
-    found = map_rows(held, "good boolean, bad boolean, score double", measure).toArrow()  # at most LABELLED of each kind
-    isgood, isbad, score = (found[n].to_numpy() for n in ("good", "bad", "score"))
-    if not isgood.any():
+    found = map_rows(held.select("text", "good", "bad", "toxic"), "good boolean, bad boolean, toxic boolean, scores array<double>", measure).toArrow()  # at most LABELLED of each kind
+    good, bad, toxic = (found[n].to_numpy() for n in ("good", "bad", "toxic"))
+    if not good.any():
         return model
-    return replace(model, least=min(0.0, least_score(score[isgood], score[isbad])), spread=max(float(score[isgood].std()), 1e-6), limit=0.0)
+    scores = np.array(found["scores"].to_pylist())
+    against = [bad] + [toxic] * len(PEAKS)
+    least = [least_score(x[good], x[rejected]) for x, rejected in zip(scores.T, against)]
+    least = [min(0.0, least[0])] + [low if model.toxic is not None else -1.0 for low in least[1:]]
+    return replace(model, least=tuple(least), spread=tuple(max(float(x), 1e-6) for x in scores[good].std(axis=0)), limit=0.0)
 
 
 def weighed(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:

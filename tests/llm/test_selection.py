@@ -198,3 +198,18 @@ def test_short_junk_is_judged_like_long_junk(spark):
     for size in range(3):
         junk, clean = ({i for i in range(size, 450, 3) if (i % 5 == 0) == bad} for bad in (True, False))
         assert len(junk & got) <= 0.1 * len(junk) and len(clean & got) >= 0.95 * len(clean)
+
+
+def test_toxic_text_goes(spark):
+    draw = random.Random(4)
+    insults, rows = ["zounds", "knave", "churl", "wretch"], []
+    for i in range(400):
+        text = words(draw, draw.choice([15, 60, 400])).split()
+        for _ in range(draw.randint(1, 3) if i % 8 == 0 else 0):
+            text.insert(draw.randrange(len(text)), draw.choice(insults) + draw.choice(["", ".", ","]))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(400) if i % 16 < 11], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"] for r in importance.resample(docs, labels).collect()}
+    toxic, clean = {i for i in range(400) if i % 8 == 0}, {i for i in range(400) if i % 8}
+    assert len(toxic & got) <= 0.1 * len(toxic) and len(clean & got) >= 0.97 * len(clean)
