@@ -38,7 +38,7 @@ SLOTS, SLICE = 1 << 18, 1 << 12
 SALTS = 32
 #: Buckets that the first round leaves open are joined into groups; one of at most so many texts is compared in one task.
 TOGETHER = 4000
-#: In such a group pairs are weighed whose samples agree this often; at similarity 0.8 that leaves out one in 5,000.
+#: In such a group, besides all pairs that share a bucket, pairs are weighed whose samples agree this often: more than a larger group has.
 BAR = 0.68
 #: Added to a document frequency, as a share of all documents, so that a group of near copies does not lose its weight to its own size.
 DAMPING = 0.2
@@ -193,22 +193,27 @@ def verified(docs: DataFrame, pairs: DataFrame, shared, least: float) -> DataFra
     return map_rows(both, "a long, b long", compare, dict).distinct()
 
 
+def worth_weighing(i: int, bands: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """Which of the documents after the i-th are to be compared with it: all that share a bucket, and those whose samples agree often."""
+    return (bands[i + 1 :] == bands[i]).any(axis=1) | ((samples[i + 1 :] == samples[i]).mean(axis=1) >= BAR)
+
+
 def linked_together(docs: DataFrame, nodes: DataFrame, inside: DataFrame, shared, least: float) -> DataFrame:
     """Links between components within groups of bucket members, each group compared in one task."""
-    members = settle(inside.select("node", "rep", "root", "group").distinct().join(nodes.select(F.col("node").alias("n"), "sketch"), F.col("node") == F.col("n")).drop("n"))
-    rows = texts_for(docs, members.select("rep")).join(members, F.col("doc_id") == F.col("rep")).select("node", "root", "group", "sketch", "text")
+    members = settle(inside.select("node", "rep", "root", "group").distinct().join(nodes.select(F.col("node").alias("n"), "bands", "sketch"), F.col("node") == F.col("n")).drop("n"))
+    rows = texts_for(docs, members.select("rep")).join(members, F.col("doc_id") == F.col("rep")).select("node", "root", "group", "bands", "sketch", "text")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         plain = [plain_words((t or "").encode()) for t in rows["text"]]
         keep = [i for i, (p, n) in enumerate(zip(plain, rows["node"])) if name_of(p) == n]  # a doc_id may have other texts
         rows, plain = rows.iloc[keep].reset_index(drop=True), [plain[i] for i in keep]
         sides = [weights_of(p, shared.value) for p in plain]
+        bands = np.array(rows["bands"].tolist(), np.int64).reshape(len(rows), -1)
         samples = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
         part = np.unique(rows["root"], return_inverse=True)[1]
         found = []
         for i in range(len(rows) - 1):
-            alike = (samples[i + 1 :] == samples[i]).mean(axis=1)
-            for j in (np.flatnonzero((alike >= BAR) & (part[i + 1 :] != part[i])) + i + 1).tolist():
+            for j in (np.flatnonzero(worth_weighing(i, bands, samples) & (part[i + 1 :] != part[i])) + i + 1).tolist():
                 if part[i] != part[j] and similarity(sides[i], sides[j]) >= least:
                     found.append((rows["node"][i], rows["node"][j]))
                     part[part == part[j]] = part[i]

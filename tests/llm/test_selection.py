@@ -213,3 +213,11 @@ def test_toxic_text_goes(spark):
     got = {r["doc_id"] for r in importance.resample(docs, labels).collect()}
     toxic, clean = {i for i in range(400) if i % 8 == 0}, {i for i in range(400) if i % 8}
     assert len(toxic & got) <= 0.1 * len(toxic) and len(clean & got) >= 0.97 * len(clean)
+
+
+def test_all_pairs_of_a_bucket_are_weighed():
+    bands = np.arange(4 * weighted.BANDS).reshape(4, -1)
+    samples = np.arange(4 * weighted.BANDS * weighted.ROWS, dtype=np.uint16).reshape(4, -1)
+    bands[1, 3], samples[1, 18:24] = bands[0, 3], samples[0, 18:24]  # one band alike, and few samples
+    samples[2, :120] = samples[0, :120]
+    assert weighted.worth_weighing(0, bands, samples).tolist() == [True, True, False]
