@@ -239,6 +239,11 @@ def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER
     the empty one too (null is empty), are copies. Texts of fewer than five words are alike only as copies.
     Repeated rows come out as often; a null doc_id belongs to no class and has a null class_id.
     """
+    return classed(docs, least, together).select("doc_id", "class_id")
+
+
+def classed(docs: DataFrame, least: float, together: int) -> DataFrame:
+    """near_classes() with the node of each row's text and the root of its class."""
     rows = typed(docs, doc_id="long", text="string")
     frequencies, total = document_frequencies(rows)
     idf = np.log1p(total / np.maximum(frequencies + DAMPING * total, 1.0))
@@ -282,16 +287,32 @@ def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER
     tidy(docs.sparkSession)
     placed = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_node = placed.select(F.col("node").alias("m"), F.col("root").alias("g")).join(classes, F.col("g") == F.col("root")).select("m", "class_id")
-    out = sampled.select("doc_id", "node").join(by_node, F.col("node") == F.col("m")).select("doc_id", "class_id")
-    return out.unionByName(rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    by_node = placed.select(F.col("node").alias("m"), F.col("root").alias("g")).join(classes, F.col("g") == F.col("root")).select("m", "root", "class_id")
+    out = sampled.select("doc_id", "node").join(by_node, F.col("node") == F.col("m")).select("doc_id", "node", "root", "class_id")
+    return out.unionByName(rows.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(n) for n in ("node", "root", "class_id")]))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs without near copies: of each class the least doc_id stays, once. Rows without doc_id all stay."""
-    classes = near_classes(docs, least)
-    gone = settle(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_")).distinct())
+    """The rows of docs without near copies: of each class the least doc_id stays, once. Rows without doc_id all stay.
+
+    Where a doc_id is repeated with texts of several classes, each of its rows goes by its own text.
+    """
+    named = settle(classed(docs, least, TOGETHER).where("doc_id is not null"))
+    ids = named.groupBy("doc_id").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("class_id").alias("class_id"))
+    apart = F.col("low") != F.col("high")
+    listed = settle(ids.where(apart | (F.col("doc_id") != F.col("class_id"))).select(F.col("doc_id").alias("listed_"), apart.alias("apart_")))
     tidy(docs.sparkSession)
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_"), "left_anti")
-    named = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(left.where(F.col("doc_id").isNull()))
+    left = docs.join(listed, docs["doc_id"].cast("long") == F.col("listed_"), "left_anti")
+    out = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
+    several = listed.where("apart_").select("listed_")
+    if several.isEmpty():
+        return out
+    rows = docs.join(several, docs["doc_id"].cast("long") == F.col("listed_"), "left_semi").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def name(columns):
+        return {"row": columns["row"], "doc_id": columns["doc_id"], "node": [name_of(plain_words(t)) for t in texts_of(columns["text"])]}
+
+    rows = map_rows(rows, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node long", name)
+    stay = named.where("doc_id = class_id").join(several, F.col("doc_id") == F.col("listed_"), "left_semi").select(F.col("doc_id").alias("d"), F.col("node").alias("n"), "root").distinct()
+    own = rows.join(stay, (F.col("doc_id") == F.col("d")) & (F.col("node") == F.col("n"))).dropDuplicates(["doc_id", "root"])
+    return out.unionByName(own.select("row.*"))

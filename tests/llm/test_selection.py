@@ -221,3 +221,11 @@ def test_all_pairs_of_a_bucket_are_weighed():
     bands[1, 3], samples[1, 18:24] = bands[0, 3], samples[0, 18:24]  # one band alike, and few samples
     samples[2, :120] = samples[0, :120]
     assert weighted.worth_weighing(0, bands, samples).tolist() == [True, True, False]
+
+
+def test_rows_of_a_repeated_doc_id_go_by_their_own_text(spark):
+    draw = random.Random(5)
+    a, b, c = (words(draw, 40) for _ in range(3))
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (2, b, 4), (3, c, 5), (3, a, 6), (4, b, 7)]
+    kept = [(r["doc_id"], r["text"]) for r in weighted.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()]
+    assert sorted(kept) == sorted([(1, a), (2, b), (3, c)])
