@@ -1,7 +1,8 @@
 """MPEG audio in a column: write payloads as Layer III streams, and read any Layer I-III stream.
 
 Reading finds frame headers again after foreign bytes, parses ID3 tags and the tables of variable-bitrate
-streams (Xing, Info, VBRI), checks the frames' checksums and gives the exact duration as samples over
+streams (Xing, Info, VBRI), checks the checksums of Layer III frames (those of Layers I and II are not
+checked, so a corrupt frame there looks sound) and gives the exact duration as samples over
 sample rate and the byte offset of every frame. Writing stores a payload in the ancillary bytes of silent,
 checksummed frames behind an ID3 tag and an Info frame, so that any player can walk the stream and the
 bytes come back unchanged.
