@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +42,23 @@ def bootstrap(rows: DataFrame, features: Sequence[str], positive: Column, order:
     """(feature, low, high) of the effect size over resamples with replacement; samples of one class are skipped.
 
     All features share the resamples. The draw is a table of counts (run, row, n) made from numpy's
-    generator; its size is runs times the rows, which are calls of an experiment and few.
+    generator on the executors; its size is runs times the rows.
     """
     spark = rows.sparkSession
     numbered = rows.withColumn("at_", F.row_number().over(Window.orderBy(order)) - 1).withColumn("positive_", positive)
-    n, draw, table = numbered.count(), np.random.default_rng(seed), []
-    for run in range(runs):
-        picks, counts = np.unique(draw.integers(0, n, n), return_counts=True)
-        table += [(run, int(p), int(c)) for p, c in zip(picks, counts)]
-    counted = spark.createDataFrame(table, "run int, at_ int, n int")
+    n = numbered.count()
+
+    def resamples(batches):
+        for batch in batches:
+            draw, done = np.random.default_rng(seed), 0
+            for run in sorted(batch["id"]):
+                for _ in range(done, run):
+                    draw.integers(0, n, n)  # those of other tasks
+                picks, counts = np.unique(draw.integers(0, n, n), return_counts=True)
+                done = run + 1
+                yield pd.DataFrame({"run": np.int32(run), "at_": picks.astype(np.int32), "n": counts.astype(np.int32)})
+
+    counted = spark.range(runs).mapInPandas(resamples, "run int, at_ int, n int")
     sampled = numbered.join(counted, "at_").withColumn("copy_", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
     sizes = long_form(sampled, features, ["run", "positive_"]).groupBy("run", "idx", "feature").agg(effect_size(F.col("value"), F.col("positive_")).alias("d"), F.bool_or("positive_").alias("some"), F.bool_and("positive_").alias("all"))
     kept = sizes.where(F.col("some") & ~F.col("all"))

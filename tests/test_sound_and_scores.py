@@ -230,3 +230,14 @@ def test_streams(spark, tmp_path):
     query = sessions(stream).writeStream.outputMode("complete").format("memory").queryName("found").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r["frames"] for r in spark.table("found").collect()) == [2, 3]
+
+
+def test_bootstrap_query_takes_all_runs(spark, monkeypatch):
+    from colloquy.plans import catalogue
+    from tests.conftest import SF
+
+    taken = []
+    monkeypatch.setattr(ranking, "bootstrap", lambda rows, features, positive, order, runs=200, **_: taken.append(runs) or rows.select("call_id"))
+    monkeypatch.setattr(catalogue, "rounded", lambda df: df)
+    catalogue.QUERIES["bootstrap_ci"](spark, SF)
+    assert taken == [200]
