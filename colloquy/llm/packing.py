@@ -9,6 +9,7 @@ length can make one group large; a group leaves a few sequences part-filled, a s
 
 from __future__ import annotations
 
+import functools
 import math
 import unicodedata
 import zlib
@@ -25,8 +26,10 @@ SEQUENCE = 2048
 END_ID = 0
 #: Pieces of a packing group, about. It bounds the memory of a packing task.
 GROUP = 25_000
-#: Word pieces that a worker keeps encoded; the memory it takes is bounded by this.
-KEPT_WORDS = 700_000
+#: Bytes that a worker's encoded words take, about; with more it forgets them. A chunk of over LONG characters is not kept.
+KEPT_BYTES, LONG = 80 << 20, 256
+#: What a kept word takes besides its characters and ids: two objects' heads and its place in the table.
+OVERHEAD = 190
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,6 +43,7 @@ class WordCache(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.size = 0
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,23 +52,34 @@ class WordCache(dict):
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.tail = {t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in TAILS}
 
-    def learn(self, chunks: set[str]) -> None:
+    def keep(self, chunk: str, ids: bytes) -> None:
+        self[chunk] = ids
+        self.size += OVERHEAD + len(chunk) + len(ids)
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks too long to be kept; those of all others are kept."""
         new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > KEPT_WORDS:
+        if self.size > KEPT_BYTES:
             self.clear()
+            self.size = 0
             new = list(chunks)
-        words = {c[:-1] if c[-1:] in TAILS else c for c in new}
+        lowered = {c: lower(c) for c in new if len(c) <= LONG}
+        words = {c[:-1] if c[-1:] in TAILS else c for c in lowered.values()}
         self.words([w for w in words if w not in self and is_word(w)])
-        rest = []
-        for chunk in new:
-            if chunk[-1:] in TAILS and chunk[:-1] in self and is_word(chunk[:-1]):
-                self[chunk] = self[chunk[:-1]] + self.tail[chunk[-1]]
-            elif chunk not in self:
-                rest.append(chunk)
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[chunk] = np.array(got.ids, "<u4").tobytes()
+        rest = set()
+        for chunk in lowered.values():
+            if chunk not in self:
+                if chunk[-1:] in TAILS and chunk[:-1] in self and is_word(chunk[:-1]):
+                    self.keep(chunk, self[chunk[:-1]] + self.tail[chunk[-1]])
+                else:
+                    rest.add(chunk)
+        part = list(rest)
+        for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            self.keep(chunk, np.array(got.ids, "<u4").tobytes())
+        for chunk, small in lowered.items():
+            if chunk not in self:
+                self.keep(chunk, self[small])
+        return {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in new if len(c) > LONG}
 
     def words(self, new: list[str]) -> None:
         """Chunks of letters alone are one word each; its last token, and no other, ends a word."""
@@ -74,14 +89,17 @@ class WordCache(dict):
             ends = np.flatnonzero(self.last[ids]) + 1
             whole, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
             for word, a, b in zip(part, starts[:-1], starts[1:], strict=True):
-                self[word] = whole[a:b]
+                self.keep(word, whole[a:b])
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
             split = [chunks_of(t) for t in texts[at : at + 500]]
-            self.learn(set().union(*split))
-            for chunks in split:
-                yield b"".join(map(self.__getitem__, chunks))
+            if long := self.learn(set().union(*split)):
+                for chunks in split:
+                    yield b"".join([long[c] if c in long else self[c] for c in chunks])
+            else:
+                for chunks in split:
+                    yield b"".join(map(self.__getitem__, chunks))
 
 
 def is_word(chunk: str) -> bool:
@@ -89,16 +107,24 @@ def is_word(chunk: str) -> bool:
     return chunk.isalpha() and (chunk.isascii() or unicodedata.normalize("NFC", chunk).lower().isalpha())
 
 
-def chunks_of(text: str) -> list[str]:
+def lower(chunk: str) -> str:
     """Lower-cased where that cannot change the ids, so that fewer different chunks are encoded.
 
-    Characters whose lower case depends on their surroundings, and marks of special tokens, stay.
+    The normaliser composes before it lower-cases, so other letters than ASCII's, and marks of special tokens, stay.
     """
-    if "<|" not in text and "Σ" not in text and "İ" not in text:
-        text = text.lower()
+    return chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk
+
+
+def chunks_of(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+@functools.lru_cache(maxsize=1)
+def word_cache(path: str) -> "WordCache":
+    """One for each worker, whatever number of tasks it runs."""
+    return WordCache(path)
+
+
 #: Marks that end many words; each is a token of its own after a letter.
 TAILS = (",", ".")
 
@@ -123,7 +149,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
                     out[name].append(value)
         return out
 
-    return map_rows(typed(docs, doc_id="long", text="string"), PIECES, cut, lambda: WordCache(path))
+    return map_rows(typed(docs, doc_id="long", text="string"), PIECES, cut, lambda: word_cache(path))
 
 
 def sum_of_squares(lengths: list[int] | np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -138,11 +138,24 @@ def test_packing_round_trip(spark, group):
 
 
 def test_words_are_forgotten_in_time(monkeypatch):
-    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    monkeypatch.setattr(packing, "KEPT_BYTES", 2000)
     cache = packing.WordCache(packing.tokenizer_path())
-    texts = [f"alpha{chr(97 + i)} beta{chr(97 + i)}, gamma." for i in range(26)] * 40
+    texts = [f"alpha{chr(97 + i)} beta{chr(97 + i)}, gamma. {'long' * 90}" for i in range(26)] * 40
+    most = 0
     for text, ids in zip(texts, cache.ids(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
+        most = max(most, cache.size)
+    assert len(cache) < 200 and most < 40_000 and not any(len(c) > packing.LONG for c in cache)
+
+
+def test_ids_of_odd_texts():
+    """Marks that combine, case that depends on neighbours, other scripts, spaces and special tokens, side by side."""
+    draw = random.Random(11)
+    bits = list("JjHhTtWwYyAaIiSs kK.,'!0") + ["\u030c", "\u0331", "\u0308", "\u030a", "\u0301", "\u0307", "Σ", "ς", "İ", "ı", "ß", "ẞ", "ﬁ", "Å", "é", "É", "漢", "ก็", "🎉", "\u200d", "\u00a0", "\u2003", "\x0b", "\x1c", "\x85", "\t", "\n", "<|endoftext|>", "<|", "n't", "'S", "½", "Ǆ", "ǆ", "\u1e96", "\u0345", "\x00"]
+    texts = ["".join(draw.choices(bits, k=draw.randint(1, 12))) for _ in range(10_000)]
+    cache = packing.WordCache(packing.tokenizer_path())
+    for text, ids, want in zip(texts, cache.ids(texts), cache.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
 
 
 def test_nothing_to_pack(spark):
