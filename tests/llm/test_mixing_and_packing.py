@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,13 +83,29 @@ def test_mix(spark, monkeypatch, ranked):
         assert abs(sum(taken) - target) <= 1.5
 
 
-def test_mixed_documents(spark):
+@pytest.mark.parametrize("ranked", [20_000, 5])
+def test_mixed_documents(spark, monkeypatch, ranked):
+    monkeypatch.setattr(mixing, "RANKED", ranked)
+    draw = random.Random(8)
     rows = some_docs()
-    docs = corpus(spark, rows)
-    mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns
-    taken = sum(r["taken"] for r in mixing.taken_words(docs).collect())
-    assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == taken
+    rows += [(i, draw.choice("ab"), "v " * draw.randint(1, 9)) for i in range(500, 520) for _ in range(2)]  # ids of two sources
+    rows += [(None, s, "u " * draw.randint(1, 9)) for s in "ab" * 20] + [(600, "a", "z z z z")] * 30
+    docs = corpus(spark, rows).withColumnsRenamed({"slot": "times", "size": "row"})
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    got = [(r["doc_id"], r["source"], r["text"]) for r in got.collect()]
+    granted = {}
+    for r in mixing.taken_words(docs).collect():
+        granted.setdefault((r["source_size"], round(r["target"], 6)), []).append(r["taken"])
+    names = {n for _, n, _ in rows}
+    for name in names:
+        size = sum(len((t or "").split()) for _, s, t in rows if s == name)
+        mixed = sum(len((t or "").split()) for _, s, t in got if s == name)
+        assert mixed in {sum(t) for (s, _), t in granted.items() if s == size}
+    had, has = Counter(rows), Counter(got)
+    assert set(has) <= set(had) and all(has[r] <= 3 * had[r] for r in has)
+    assert all(has[r] == had[r] for r in had if not (r[2] or "").split())
+    assert mixing.mix(docs.limit(0)).collect() == []
 
 
 def test_no_documents(spark):
