@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space that parts words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` without arguments splits on exactly these six.
 WORD_GAPS = "\x20\x09-\x0d"
+#: Rows that a worker handles at a time.
+ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,20 +25,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    folder of this machine is chosen.
+    The folder is the session's ``spark.checkpoint.dir``; only a session of this machine alone (tests, a laptop)
+    may leave that unset and gets a folder here.
     """
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let the driver collect its garbage now: shuffles and checkpoints that nothing refers to are deleted, and its heap shrinks.
+    """Let the driver drop what nothing refers to: shuffles and checkpoints of steps that are over, and its own garbage.
 
-    For operators of many rounds; Spark itself only does so when the driver's memory is full.
+    For operators of many steps; by itself Spark only does so when the driver's memory is full.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -56,18 +60,25 @@ def typed(docs: DataFrame, **kinds: str) -> DataFrame:
     return docs.select(*[F.col(f"`{name}`") if own[name] == same_kind.get(kind, kind) else F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows: a worker then makes Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def map_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list] | None], setup: Callable | None = None) -> DataFrame:
-    """mapInArrow over column dictionaries; setup() runs once a task and is handed to work as its second argument."""
+    """mapInArrow over column dictionaries; setup() runs once a task and is handed to work as its second argument; what is dear to set up it keeps for its worker."""
     kinds = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
-            if batch.num_rows:
-                columns = {n: c for n, c in zip(batch.schema.names, batch.columns)}
-                out = work(columns, state) if setup else work(columns)
-                if out is not None and len(next(iter(out.values()))):
-                    yield pa.record_batch([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name] for f in kinds], schema=kinds)
+        for batch in sliced(batches):
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns)}
+            out = work(columns, state) if setup else work(columns)
+            if out is not None and len(next(iter(out.values()))):
+                yield pa.record_batch([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name] for f in kinds], schema=kinds)
 
     return df.mapInArrow(run, schema)
 

@@ -18,10 +18,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import map_rows, settle, texts_of, typed
+from colloquy.llm.common import map_rows, settle, sliced, texts_of, typed
 from colloquy.llm.runs import hash_words, word_grams
 
 SLOTS = 1 << 13
@@ -62,16 +63,17 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for frame in batch["text"].fillna("").str.encode("utf-8").map(slots):
-                np.add.at(total, frame.astype(np.int64), 1)
+        for batch in sliced(batches):
+            for text in texts_of(batch.column("text")):
+                total += np.bincount(slots(text).astype(np.int64), minlength=SLOTS)
         if total.any():
-            yield pd.DataFrame({"salt": [int(np.random.default_rng(int(total.sum())).integers(SALTS))], "counts": [total.tobytes()]})
+            salt = int(np.random.default_rng(int(total.sum())).integers(SALTS))
+            yield pa.record_batch({"salt": pa.array([salt], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"counts": [sum(np.frombuffer(c, np.int64) for c in rows["counts"]).tobytes()]})
 
-    parts = docs.select("text").mapInPandas(run, "salt int, counts binary").groupBy("salt").applyInPandas(add, "counts binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "salt int, counts binary").groupBy("salt").applyInPandas(add, "counts binary")
     return sum((np.frombuffer(r["counts"], np.int64) for r in parts.collect()), np.zeros(SLOTS, np.int64))  # at most SALTS vectors
 
 

@@ -6,41 +6,43 @@ so that two documents pick alike with probability equal to their weighted Jaccar
 that agree in a whole band are candidates; only pairs whose exact weighted Jaccard similarity reaches
 LEAST are links; classes are the connected components.
 
-Candidates of a band are first compared with their bucket's least member. Buckets that this leaves in several
-components form groups by shared members; a group is compared across components in one task, a very large one
-by a join of its buckets. So no pairs are listed of members already joined, and at
-the end every two members of a bucket are in one class or have been compared. Texts of equal words are one
-node throughout. Nothing about all documents comes to the driver but the table of document frequencies,
-which has a fixed size.
+Members of a bucket are first compared with its head, the member that meets most others. In buckets that this
+leaves in several components, every two members of different ones are compared, in groups of a bounded number
+of texts, behind an exact bound. So at the end every two members of a bucket are in one class or have been
+compared, whatever its size, and no pairs are listed of members already joined. Texts of equal words are one
+node throughout. Nothing about all documents comes to the driver but the table of document frequencies, which
+has a fixed size.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import map_rows, settle, texts_of, tidy, typed
+from colloquy.llm.common import arrow_schema, map_rows, settle, sliced, texts_of, tidy, typed
 from colloquy.llm.runs import hash_words, mixed, word_grams
 
 SHINGLE = 5
 LEAST = 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^24 = 0.9993, one at 0.3 with 0.017.
 BANDS, ROWS = 24, 6
-#: Rows of the table of random variates; shingles are dealt to them by hash.
-VARIATES = 1 << 15
+#: Rows of each table of random variates; shingles are dealt to them by hash.
+VARIATES = 1 << 14
 #: Slots of hashed document frequencies, and how many of them go in one row of partial sums.
 SLOTS, SLICE = 1 << 18, 1 << 12
 SALTS = 32
-#: Buckets that the first round leaves open are joined into groups; one of at most so many texts is compared in one task.
-TOGETHER = 4000
-#: In such a group, besides all pairs that share a bucket, pairs are weighed whose samples agree this often: more than a larger group has.
-BAR = 0.68
-#: Added to a document frequency, as a share of all documents, so that a group of near copies does not lose its weight to its own size.
+#: A bucket of more than twice so many members is compared block by block.
+BLOCK = 1000
+#: Smoothing of the idf: added to the share of documents that have a shingle. Without it a group of near copies that is a large part of a
+#: corpus loses the weight of what it shares to its own size, and its members fall under LEAST by the words in which they differ.
 DAMPING = 0.2
 #: Ids of documents to compare that may be broadcast, 8 bytes each; with more, all texts are shuffled.
 BROADCAST = 200_000
@@ -62,39 +64,55 @@ def name_of(plain: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(plain, digest_size=8).digest(), "little", signed=True)
 
 
+@functools.lru_cache(maxsize=1)
+def variates(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three seeded tables for BANDS x ROWS samples, drawn once a worker: r and log c of Gamma(2, 1), b uniform."""
+    draw, shape = np.random.default_rng(seed), (VARIATES, BANDS * ROWS)
+    r = draw.standard_gamma(2.0, shape, np.float32)
+    c = draw.standard_gamma(2.0, shape, np.float32)
+    return r, np.log(c, out=c), draw.random(shape, np.float32)
+
+
 class Sampler:
-    """Consistent weighted samples with one seeded table of variates: r and c are Gamma(2, 1), b uniform."""
+    """Consistent weighted samples of weighted sets."""
 
     def __init__(self, idf: np.ndarray):
-        draw = np.random.default_rng(SEED)
-        shape = (VARIATES, BANDS * ROWS)
         self.idf = idf
-        self.r = draw.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.c = np.log(draw.gamma(2.0, 1.0, shape)).astype(np.float32)
-        self.b = draw.random(shape, np.float32)
+        self.r, self.c, self.b = variates(SEED)
+
+    def samples(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A number for each sample, of the shingle and level that it picked.
 
-    def bands(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """A number for each band, of the shingles and levels that its samples picked, and 16 bits of every sample."""
+        Each table is entered by other bits of a shingle, so that two shingles hardly share all three variates.
+        """
         best = pick = level = None
         logs = np.log(weights).astype(np.float32)
+        lanes = np.arange(BANDS * ROWS)
         for at in range(0, len(hashes), 2048):
-            row = (hashes[at : at + 2048] & np.uint64(VARIATES - 1)).astype(np.int64)
-            r, b = self.r[row], self.b[row]
+            here = hashes[at : at + 2048]
+            r, c, b = (table[((here >> np.uint64(shift)) & np.uint64(VARIATES - 1)).astype(np.int64)] for table, shift in ((self.r, 0), (self.c, 20), (self.b, 40)))
             t = np.floor(logs[at : at + 2048, None] / r + b)
-            score = self.c[row] - r * (t - b) - r
-            here = score.argmin(axis=0)
-            lanes = np.arange(score.shape[1])
-            now = score[here, lanes], hashes[at + here], t[here, lanes]
+            score = c - r * (t - b + np.float32(1))
+            first = score.argmin(axis=0)
+            now = score[first, lanes], here[first], t[first, lanes]
             if best is None:
                 best, pick, level = now
             else:
                 less = now[0] < best
                 best, pick, level = (np.where(less, n, o) for n, o in zip(now, (best, pick, level)))
-        sample = mixed(pick ^ mixed(level.astype(np.int64).view(np.uint64) + np.uint64(1)))
+        return mixed(pick ^ mixed(level.astype(np.int64).view(np.uint64) + np.uint64(1)))
+
+    def bands(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A number for each band, of its samples."""
         out = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for column in sample.reshape(BANDS, ROWS).T:
+        for column in self.samples(hashes, weights).reshape(BANDS, ROWS).T:
             out = mixed(out ^ column)
-        return out.view(np.int64), sample.astype(np.uint16).tobytes()
+        return out.view(np.int64)
+
+
+def idf(frequencies: np.ndarray, total: int) -> np.ndarray:
+    """log(1 + 1 / (share + DAMPING)), where share is that of the documents that have a shingle of the slot."""
+    return np.log1p(total / np.maximum(frequencies + DAMPING * total, 1.0))
 
 
 def weights_of(plain: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,54 +131,61 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Documents by hashed shingle, and all documents with words: sums of one vector a task, in two steps."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SLOTS, np.int64), 0
-        for batch in batches:
-            for text in batch["text"]:
-                if text and (plain := plain_words(text.encode())):
+        for batch in sliced(batches):
+            for text in texts_of(batch.column("text")):
+                if plain := plain_words(text):
                     n += 1
-                    np.add.at(total, np.unique((shingles(plain)[0] >> np.uint64(40)).astype(np.int64) % SLOTS), 1)
+                    total[np.unique((shingles(plain)[0] >> np.uint64(40)).astype(np.int64) % SLOTS)] += 1
         if n:
             salt = int(mixed(np.array([n + int(total[:SLICE].sum())], np.uint64))[0] % np.uint64(SALTS))
-            yield pd.DataFrame({"slice": [-1, *range(SLOTS // SLICE)], "salt": salt, "counts": [np.array([n]).tobytes(), *(part.tobytes() for part in total.reshape(-1, SLICE))]})
+            parts = [np.array([n]).tobytes(), *(part.tobytes() for part in total.reshape(-1, SLICE))]
+            yield pa.record_batch({"slice": pa.array(range(-1, SLOTS // SLICE), pa.int32()), "salt": pa.array([salt] * len(parts), pa.int32()), "counts": pa.array(parts, pa.binary())})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         sums = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
         return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [sums.tobytes()]})
 
-    parts = rows.select("text").mapInPandas(run, "slice int, salt int, counts binary")
+    parts = rows.select("text").mapInArrow(run, "slice int, salt int, counts binary")
     parts = parts.groupBy("slice", "salt").applyInPandas(add, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
     found = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in parts.collect()}  # SLOTS numbers
     if not found:
         return np.zeros(SLOTS, np.int64), 0
-    tidy(rows.sparkSession)
     return np.concatenate([found[i] for i in range(SLOTS // SLICE)]), int(found[-1][0])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b): root is the least node that can be reached.
+    """(node, root) for the nodes of edges (a, b): nodes that can be reached from each other share a root.
 
-    Each round a node takes the least root of its neighbours and then its root's root, so the rounds grow
-    with the logarithm of a component's width. Every round is settled in the checkpoint folder.
+    Nodes have the order of a hash. Each round a node points to its first neighbour before it, and on to what
+    that points to; edges then go between what is pointed to, and those within one node are dropped. So nodes
+    and edges shrink by half or more in a round, however long a chain is, and a star takes two.
     """
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        taken = roots.join(near, roots["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
-        up = roots.select(F.col("node").alias("n"), F.col("root").alias("above"))
-        stepped = taken.join(up, taken["new"] == up["n"], "left").select("node", "old", F.least("new", F.coalesce("above", "new")).alias("root"))
-        stepped = settle(stepped)
-        roots = stepped.select("node", "root")
+    spread = F.col("a") != F.col("b")
+    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(spread).distinct())
+    roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    first, place = True, F.xxhash64
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(F.struct(place("b").alias("place"), F.col("b").alias("to"))).alias("m"))
+        least = least.select(F.col("a").alias("v"), F.when(F.col("m.place") < place("a"), F.col("m.to")).otherwise(F.col("a")).alias("up"))
+        above = least.select(F.col("v").alias("x"), F.col("up").alias("top"))
+        points = settle(least.join(above, least["up"] == above["x"]).select("v", "top"))
+        to_a, to_b = (points.select(F.col("v").alias(n), F.col("top").alias(f"{n}_top")) for n in "ab")
+        moved = edges.join(to_a, "a").join(to_b, "b").select(F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b"))
+        edges = settle(moved.where(spread).distinct())
+        if first:
+            roots, first = points.toDF("node", "root"), False
+        else:
+            roots = roots.join(points, roots["root"] == points["v"], "left").select("node", F.coalesce("top", "root").alias("root"))
         tidy(edges.sparkSession)
-        if stepped.where("old <> root").isEmpty():
-            return roots
+    return roots
 
 
 def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs with the doc_ids of ids (one column), before anything of them is shuffled; all of docs where ids are too many to broadcast."""
     ids = settle(ids.toDF("wanted_").distinct())
-    tidy(docs.sparkSession)
     return docs.join(F.broadcast(ids), docs["doc_id"] == F.col("wanted_"), "left_semi") if ids.count() <= BROADCAST else docs
 
 
@@ -193,126 +218,169 @@ def verified(docs: DataFrame, pairs: DataFrame, shared, least: float) -> DataFra
     return map_rows(both, "a long, b long", compare, dict).distinct()
 
 
-def worth_weighing(i: int, bands: np.ndarray, samples: np.ndarray) -> np.ndarray:
-    """Which of the documents after the i-th are to be compared with it: all that share a bucket, and those whose samples agree often."""
-    return (bands[i + 1 :] == bands[i]).any(axis=1) | ((samples[i + 1 :] == samples[i]).mean(axis=1) >= BAR)
-
-
-def linked_together(docs: DataFrame, nodes: DataFrame, inside: DataFrame, shared, least: float) -> DataFrame:
-    """Links between components within groups of bucket members, each group compared in one task."""
-    members = settle(inside.select("node", "rep", "root", "group").distinct().join(nodes.select(F.col("node").alias("n"), "bands", "sketch"), F.col("node") == F.col("n")).drop("n"))
-    rows = texts_for(docs, members.select("rep")).join(members, F.col("doc_id") == F.col("rep")).select("node", "root", "group", "bands", "sketch", "text")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        plain = [plain_words((t or "").encode()) for t in rows["text"]]
-        keep = [i for i, (p, n) in enumerate(zip(plain, rows["node"])) if name_of(p) == n]  # a doc_id may have other texts
-        rows, plain = rows.iloc[keep].reset_index(drop=True), [plain[i] for i in keep]
-        sides = [weights_of(p, shared.value) for p in plain]
-        bands = np.array(rows["bands"].tolist(), np.int64).reshape(len(rows), -1)
-        samples = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
-        part = np.unique(rows["root"], return_inverse=True)[1]
-        found = []
-        for i in range(len(rows) - 1):
-            for j in (np.flatnonzero(worth_weighing(i, bands, samples) & (part[i + 1 :] != part[i])) + i + 1).tolist():
-                if part[i] != part[j] and similarity(sides[i], sides[j]) >= least:
-                    found.append((rows["node"][i], rows["node"][j]))
-                    part[part == part[j]] = part[i]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return rows.groupBy("group").applyInPandas(compare, "a long, b long")
-
-
-def linked_across(docs: DataFrame, inside: DataFrame, shared, least: float) -> DataFrame:
-    """Links between components within the buckets of groups too large for a task: pairs of a bucket by a join."""
-    x, y = inside.alias("x"), inside.alias("y")
-    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))
-    new = (F.col("x.node") != F.col("x.head")) & (F.col("y.node") != F.col("y.head"))
-    pairs = x.join(y, apart & new).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.rep").alias("a_doc"), F.col("y.rep").alias("b_doc")).distinct()
-    pairs = settle(pairs)
-    return verified(docs, pairs, shared, least)
-
+def links_in(sides: list[tuple[np.ndarray, np.ndarray]], part: np.ndarray, asked: Callable[[int], np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of weighted sets whose similarity reaches least, enough of them to join all parts that such pairs join.
 
-def near_classes(docs: DataFrame, least: float = LEAST, together: int = TOGETHER) -> DataFrame:
+    Asked(i) says for each set if it is to be compared with the i-th; sets of one part need not be. Shingles are
+    ordered by how many of the sets have them. Two sets with a similarity of least or more have so much weight in
+    common that the first shingle of it is among the first of both, before the rest weighs less than least of the
+    whole: only pairs that share one of these are weighed.
+    """
+    sizes = np.array([len(h) for h, _ in sides])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    _, ids, counts = np.unique(np.concatenate([h for h, _ in sides]), return_inverse=True, return_counts=True)
+    weights = np.concatenate([w for _, w in sides])
+    sums = np.array([w.sum() for _, w in sides])
+    early, owner = [], []
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        order = np.lexsort((ids[a:b], counts[ids[a:b]]))
+        n = int(np.searchsorted(np.cumsum(weights[a:b][order]), (1 - least) * sums[i] * (1 + 1e-9), "right")) + 1
+        early.append(ids[a:b][order[:n]])
+        owner.append(np.full(len(early[-1]), i))
+    keys, owners = np.concatenate(early), np.concatenate(owner)
+    order = np.argsort(keys, kind="stable")
+    owners, edges = owners[order], np.searchsorted(keys[order], np.arange(len(counts) + 1))
+    own, found, part = np.zeros(len(counts)), [], part.copy()
+    for i in range(len(sides) - 1):
+        share = np.zeros(len(sides), bool)
+        for k in early[i]:
+            share[owners[edges[k] : edges[k + 1]]] = True
+        share[: i + 1] = False
+        near = np.flatnonzero(share & (part != part[i]) & asked(i) & (np.minimum(sums, sums[i]) >= least * (1 - 1e-9) * np.maximum(sums, sums[i])))
+        if not len(near):
+            continue
+        own[ids[starts[i] : ends[i]]] = weights[starts[i] : ends[i]]
+        at = np.concatenate([np.arange(starts[j], ends[j]) for j in near])
+        both = np.add.reduceat(np.minimum(own[ids[at]], weights[at]), np.cumsum(sizes[near]) - sizes[near])
+        own[ids[starts[i] : ends[i]]] = 0
+        for j in near[both >= least * (sums[near] + sums[i] - both) * (1 - 1e-12)].tolist():
+            if part[i] != part[j]:
+                found.append((i, j))
+                part[part == part[j]] = part[i]
+    return found
+
+
+def linked_inside(docs: DataFrame, inside: DataFrame, shared, least: float, block: int) -> DataFrame:
+    """Links (a, b) between roots, from the pairs of different roots within buckets: inside has (band, n, node, rep, root, bands).
+
+    A bucket of up to twice block members is one group. A larger one is dealt to blocks, each two of which meet in a group.
+    """
+    blocks = F.when(F.col("n") <= 2 * block, 1).otherwise(F.ceil(F.col("n") / block)).cast("int")
+    dealt = inside.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    members = settle(dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "rep", "root", "bands"))
+    rows = texts_for(docs, members.select("rep"))
+    rows = rows.join(members, rows["doc_id"] == members["rep"]).select("band", "low", "high", "own", "node", "root", "bands", "text")
+
+    key, kinds = ("band", "low", "high"), arrow_schema(docs.sparkSession, "a long, b long")
+
+    def compare(band: int, within: bool, rows: list[dict]) -> list[tuple[int, int]]:
+        known, kept, sides = set(), [], []
+        for row in rows:
+            plain = plain_words((row["text"] or "").encode())
+            if name_of(plain) == row["node"] and row["node"] not in known:  # a doc_id may have other texts too, or the same text again
+                known.add(row["node"])
+                kept.append(row)
+                sides.append(weights_of(plain, shared.value))
+        if len({row["root"] for row in kept}) < 2:
+            return []
+        bands, own = np.array([row["bands"] for row in kept], np.int64), np.array([row["own"] for row in kept])
+        lane = int(np.flatnonzero(bands[0] == band)[0])
+
+        def asked(i: int) -> np.ndarray:
+            """In the first bucket that the two share; of two blocks, only across."""
+            return ((bands == bands[i]).argmax(axis=1) == lane) & ((own != own[i]) | within)
+
+        part = np.unique([row["root"] for row in kept], return_inverse=True)[1]
+        return [(kept[i]["root"], kept[j]["root"]) for i, j in links_in(sides, part, asked, least)]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in sliced(batches) for row in batch.to_pylist())
+        for (band, low, high), group in groupby(rows, key=lambda row: tuple(row[k] for k in key)):
+            if found := compare(band, low == high, list(group)):
+                yield pa.record_batch([pa.array(c, type=pa.int64()) for c in zip(*found)], schema=kinds)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(groups, "a long, b long")
+
+
+def near_classes(docs: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text; other columns are ignored).
 
     class_id is the least doc_id of the class; a document like no other is its own. Texts of equal words,
     the empty one too (null is empty), are copies. Texts of fewer than five words are alike only as copies.
-    Repeated rows come out as often; a null doc_id belongs to no class and has a null class_id.
+    Repeated rows come out as often; a null doc_id belongs to no class and has a null class_id. An empty table
+    gives no rows.
     """
-    return classed(docs, least, together).select("doc_id", "class_id")
+    return classed(docs, least, block).select("doc_id", "class_id")
 
 
-def classed(docs: DataFrame, least: float, together: int) -> DataFrame:
+def classed(docs: DataFrame, least: float, block: int) -> DataFrame:
     """near_classes() with the node of each row's text and the root of its class."""
     rows = typed(docs, doc_id="long", text="string")
-    frequencies, total = document_frequencies(rows)
-    idf = np.log1p(total / np.maximum(frequencies + DAMPING * total, 1.0))
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = docs.sparkSession.sparkContext.broadcast(idf(*document_frequencies(rows)))
 
     def sample(columns, sampler):
-        nodes, bands, sketches = [], [], []
+        nodes, bands = [], []
         for text in texts_of(columns["text"]):
             plain = plain_words(text)
-            keys, sketch = sampler.bands(*weights_of(plain, sampler.idf)) if plain else (np.zeros(0, np.int64), b"")
             nodes.append(name_of(plain))
-            bands.append(keys.tolist())
-            sketches.append(sketch)
-        return {"doc_id": columns["doc_id"], "node": nodes, "bands": bands, "sketch": sketches}
+            bands.append(sampler.bands(*weights_of(plain, sampler.idf)).tolist() if plain else [])
+        return {"doc_id": columns["doc_id"], "node": nodes, "bands": bands}
 
     named = rows.where("doc_id is not null")
-    sampled = settle(map_rows(named, "doc_id long, node long, bands array<long>, sketch binary", sample, lambda: Sampler(shared.value)))
+    sampled = settle(map_rows(named, "doc_id long, node long, bands array<long>", sample, lambda: Sampler(shared.value)))
     tidy(docs.sparkSession)
-    nodes = settle(sampled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "sketch")).alias("own")).select("node", "rep", "own.*"))
+    nodes = settle(sampled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+
+    # every member of a bucket against its head: the member that most others meet in their buckets
     members = nodes.select(F.explode("bands").alias("band"), "node", "rep")
-    heads = members.groupBy("band").agg(F.min(F.struct("node", "rep")).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("k"), "head", "n")
-    shared_bands = settle(members.join(heads, members["band"] == F.col("k")).select("band", "node", "rep", "head", "n"))
-    pairs = shared_bands.where(F.col("node") != F.col("head.node")).select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("rep").alias("a_doc"), F.col("head.rep").alias("b_doc")).distinct()
+    sizes = members.groupBy(F.col("band").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    crowd = settle(members.join(sizes, members["band"] == sizes["k"]).select("band", "node", "rep", "n"))
+    met = crowd.groupBy(F.col("node").alias("m")).agg(F.sum("n").alias("met"))
+    heads = crowd.join(met, crowd["node"] == met["m"]).groupBy(F.col("band").alias("k")).agg(F.min(F.struct((-F.col("met")).alias("less"), "node", "rep")).alias("head"))
+    headed = crowd.join(heads, crowd["band"] == heads["k"]).where(F.col("node") != F.col("head.node"))
+    pairs = headed.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("rep").alias("a_doc"), F.col("head.rep").alias("b_doc")).distinct()
     pairs = settle(pairs)
     tidy(docs.sparkSession)
-    links = settle(verified(named, pairs, shared, least))
-    roots = components(links)
-
-    # buckets that are still in several components: what has not been compared there is compared now
-    rooted = shared_bands.where("n > 2").join(roots, shared_bands["node"] == roots["node"], "left").select("band", shared_bands["node"], "rep", F.coalesce("root", shared_bands["node"]).alias("root"), F.col("head.node").alias("head"))
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("head").alias("h")).where("low <> high").select(F.col("band").alias("k"))
-    inside = settle(rooted.join(open_, rooted["band"] == F.col("k")).select("band", "node", "rep", "root", "head"))
-    groups = components(inside.where(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("root", "group")
-    sizes = groups.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("size"))
-    grouped = groups.join(sizes, groups["group"] == F.col("g")).select(F.col("node").alias("m"), "group", (F.col("size") > together).alias("large"))
-    inside = settle(inside.join(grouped, inside["node"] == F.col("m")).drop("m"))
-    tidy(docs.sparkSession)
-    more = settle(linked_together(named, nodes, inside.where("not large"), shared, least).unionByName(linked_across(named, inside.where("large"), shared, least)))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    tidy(docs.sparkSession)
+    roots = settle(components(verified(named, pairs, shared, least)))
+
+    # buckets that are still in several components: all pairs of different ones
+    crowd = crowd.where("n > 2")
+    rooted = crowd.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("band", "n", "node", "rep", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy(F.col("band").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k")
+    inside = rooted.join(split, rooted["band"] == split["k"]).drop("k")
+    inside = inside.join(nodes.select(F.col("node").alias("m"), "bands"), F.col("node") == F.col("m")).drop("m")
+    merged = components(linked_inside(named, inside, shared, least, block)).toDF("part", "whole")
+
     placed = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_node = placed.select(F.col("node").alias("m"), F.col("root").alias("g")).join(classes, F.col("g") == F.col("root")).select("m", "root", "class_id")
+    placed = settle(placed.join(merged, placed["root"] == merged["part"], "left").select("node", "rep", F.coalesce("whole", "root").alias("root")))
+    tidy(docs.sparkSession)
+    classes = placed.groupBy(F.col("root").alias("g")).agg(F.min("rep").alias("class_id"))
+    by_node = placed.join(classes, placed["root"] == classes["g"]).select(F.col("node").alias("m"), "root", "class_id")
     out = sampled.select("doc_id", "node").join(by_node, F.col("node") == F.col("m")).select("doc_id", "node", "root", "class_id")
     return out.unionByName(rows.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(n) for n in ("node", "root", "class_id")]))
 
 
-def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """The rows of docs without near copies: of each class the least doc_id stays, once. Rows without doc_id all stay.
 
-    Where a doc_id is repeated with texts of several classes, each of its rows goes by its own text.
+    Where a doc_id is repeated, each of its rows goes by its own text. Other columns, whatever their names, stay as
+    they are. An empty table stays empty.
     """
-    named = settle(classed(docs, least, TOGETHER).where("doc_id is not null"))
-    ids = named.groupBy("doc_id").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("class_id").alias("class_id"))
-    apart = F.col("low") != F.col("high")
-    listed = settle(ids.where(apart | (F.col("doc_id") != F.col("class_id"))).select(F.col("doc_id").alias("listed_"), apart.alias("apart_")))
-    tidy(docs.sparkSession)
-    left = docs.join(listed, docs["doc_id"].cast("long") == F.col("listed_"), "left_anti")
-    out = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
-    several = listed.where("apart_").select("listed_")
+    named = settle(classed(docs, least, block).where("doc_id is not null"))
+    ids = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"))
+    listed = settle(ids.where((F.col("n") > 1) | (F.col("doc_id") != F.col("class_id"))).select(F.col("doc_id").alias("listed"), (F.col("n") > 1).alias("again")))
+    # the texts that stay are not shuffled: only the ids that do not simply stay are looked up
+    out = docs.join(listed, docs["doc_id"].cast("long") == listed["listed"], "left_anti")
+    several = listed.where("again").select("listed")
     if several.isEmpty():
         return out
-    rows = docs.join(several, docs["doc_id"].cast("long") == F.col("listed_"), "left_semi").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.join(several, docs["doc_id"].cast("long") == several["listed"], "left_semi").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def name(columns):
         return {"row": columns["row"], "doc_id": columns["doc_id"], "node": [name_of(plain_words(t)) for t in texts_of(columns["text"])]}
 
     rows = map_rows(rows, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node long", name)
-    stay = named.where("doc_id = class_id").join(several, F.col("doc_id") == F.col("listed_"), "left_semi").select(F.col("doc_id").alias("d"), F.col("node").alias("n"), "root").distinct()
+    stay = named.where("doc_id = class_id").join(several, F.col("doc_id") == F.col("listed"), "left_semi").select(F.col("doc_id").alias("d"), F.col("node").alias("n"), "root").distinct()
     own = rows.join(stay, (F.col("doc_id") == F.col("d")) & (F.col("node") == F.col("n"))).dropDuplicates(["doc_id", "root"])
     return out.unionByName(own.select("row.*"))

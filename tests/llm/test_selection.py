@@ -1,6 +1,8 @@
 """Importance resampling, near-duplicates, url filters and the pipeline."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,20 +85,24 @@ def near_rows():
     return rows
 
 
-def brute_classes(rows, least=weighted.LEAST):
-    plain = [weighted.plain_words((t or "").encode()) for _, t in rows]
-    df = np.zeros(weighted.SLOTS)
-    for p in plain:
-        if p:
-            df[np.unique((weighted.shingles(p)[0] >> np.uint64(40)).astype(np.int64) % weighted.SLOTS)] += 1
-    n = sum(map(bool, plain))
-    idf = np.log1p(n / np.maximum(df + weighted.DAMPING * n, 1.0))
+def brute_classes(rows, least=0.8):
+    """Classes by all pairs, from word tuples and their exact document frequencies: no code of the operator."""
+    split = [tuple((t or "").split(" ")) for _, t in rows]
+    split = [tuple(w for w in s if w) for s in split]
+    sets = [Counter(s[i : i + 5] for i in range(max(1, len(s) - 4))) if s else Counter() for s in split]
+    n = sum(map(bool, split))
+    df = Counter(x for one in sets for x in one)
+    weighed = [{x: k * math.log(1 + 1 / (df[x] / n + 0.2)) for x, k in one.items()} for one in sets]
+
+    def alike(a, b):
+        both = sum(min(w, b[x]) for x, w in a.items() if x in b)
+        return both >= least * (sum(a.values()) + sum(b.values()) - both)
+
     named = [i for i, (d, _) in enumerate(rows) if d is not None]
     group = {i: i for i in named}
     for i in named:
         for j in named:
-            alike = plain[i] == plain[j] or (plain[i] and plain[j] and weighted.similarity(weighted.weights_of(plain[i], idf), weighted.weights_of(plain[j], idf)) >= least)
-            if i < j and alike and group[i] != group[j]:
+            if i < j and group[i] != group[j] and (split[i] == split[j] or (split[i] and split[j] and alike(weighed[i], weighed[j]))):
                 a, b = group[i], group[j]
                 group = {k: a if g == b else g for k, g in group.items()}
     low = {}
@@ -105,21 +111,57 @@ def brute_classes(rows, least=weighted.LEAST):
     return sorted([(rows[i][0], low[group[i]]) for i in named] + [(None, None) for d, _ in rows if d is None], key=repr)
 
 
-@pytest.mark.parametrize("together", [4000, 0])
-def test_near_classes(spark, together):
+@pytest.mark.parametrize("block", [1000, 8])
+def test_near_classes(spark, block):
     rows = near_rows()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int")
-    got = sorted((tuple(r) for r in weighted.near_classes(docs, together=together).collect()), key=repr)
+    got = sorted((tuple(r) for r in weighted.near_classes(docs, block=block).collect()), key=repr)
     assert got == brute_classes(rows)
 
 
 def test_one_of_each_class_stays(spark):
     rows = near_rows()
-    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int")
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, node int, listed int, again int")
     kept = weighted.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted({c for _, c in brute_classes(rows)}, key=repr)
-    assert weighted.near_classes(docs.limit(0)).collect() == []
+    assert weighted.near_classes(docs.limit(0)).collect() == [] and weighted.keep_one(docs.limit(0)).collect() == []
+
+
+def test_components(spark):
+    draw = random.Random(9)
+    edges = [(draw.randint(0, 150), draw.randint(0, 150)) for _ in range(110)] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(280, 330)] + [(-5, -5)]
+    group = {x: x for e in edges for x in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b and group[a] != group[b]:
+            old, new = group[a], group[b]
+            group = {k: new if g == old else g for k, g in group.items()}
+    got = {r["node"]: r["root"] for r in weighted.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == set(group)
+    assert len({(got[x], group[x]) for x in group}) == len(set(group.values())) == len(set(got.values()))
+    assert weighted.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_links_in_a_group_against_all_pairs():
+    draw = np.random.default_rng(3)
+    for _ in range(40):
+        base = draw.choice(2000, 60, replace=False)
+        sides = []
+        for _ in range(25):
+            own = np.unique(np.where(draw.random(60) < draw.choice([0.02, 0.1, 0.3]), draw.integers(2000, 4000, 60), base))
+            sides.append((own.astype(np.uint64), np.round(1 + draw.random(4000), 3)[own] if draw.random() < 0.1 else 1 + (own % 7) / 3))
+        part = np.arange(25)
+        got = weighted.links_in(sides, part, lambda i: np.ones(25, bool), 0.8)
+        want, have = list(range(25)), list(range(25))
+        for i in range(25):
+            for j in range(i):
+                x, y = (dict(zip(*map(np.ndarray.tolist, sides[k]))) for k in (i, j))
+                both = sum(min(w, y.get(k, 0)) for k, w in x.items())
+                if both >= 0.8 * (sum(x.values()) + sum(y.values()) - both):
+                    want = [want[i] if k == want[j] else k for k in want]
+        for i, j in got:
+            have = [have[i] if k == have[j] else k for k in have]
+        assert len(set(zip(want, have))) == len(set(want)) == len(set(have))
 
 
 def test_samples_agree_as_often_as_sets_are_alike():
@@ -131,7 +173,7 @@ def test_samples_agree_as_often_as_sets_are_alike():
             hashes = np.unique(draw.integers(0, 1 << 63, 400).astype(np.uint64))
             weights, cut = np.exp(draw.random(len(hashes))), int(len(hashes) * (1 - share) / (1 + share))
             a, b = (hashes[:-cut], weights[:-cut]), (hashes[cut:], weights[cut:])
-            alike = np.mean(np.frombuffer(sampler.bands(*a)[1], np.uint16) == np.frombuffer(sampler.bands(*b)[1], np.uint16))
+            alike = np.mean(sampler.samples(*a) == sampler.samples(*b))
             off.append(alike - weighted.similarity(a, b))
         assert abs(np.mean(off)) < 0.03
 
@@ -215,14 +257,6 @@ def test_toxic_text_goes(spark):
     assert len(toxic & got) <= 0.1 * len(toxic) and len(clean & got) >= 0.97 * len(clean)
 
 
-def test_all_pairs_of_a_bucket_are_weighed():
-    bands = np.arange(4 * weighted.BANDS).reshape(4, -1)
-    samples = np.arange(4 * weighted.BANDS * weighted.ROWS, dtype=np.uint16).reshape(4, -1)
-    bands[1, 3], samples[1, 18:24] = bands[0, 3], samples[0, 18:24]  # one band alike, and few samples
-    samples[2, :120] = samples[0, :120]
-    assert weighted.worth_weighing(0, bands, samples).tolist() == [True, True, False]
-
-
 def test_rows_of_a_repeated_doc_id_go_by_their_own_text(spark):
     draw = random.Random(5)
     a, b, c = (words(draw, 40) for _ in range(3))
