@@ -1,6 +1,7 @@
 """Interval algebra, ledgers, timing and recovery on hand-made calls."""
 
 import random
+import statistics
 
 import pytest
 
@@ -8,16 +9,6 @@ from colloquy.operators import intervals, layers, ledger, timing
 from colloquy.schemas import FEATURE_NAMES, SEGMENTS, acoustic_names, behavioural_names
 
 
-def segs(spark, text, call="c"):
-    """``1[0,1] 0[1.5,2.5]`` as segments."""
-    rows = []
-    for i, part in enumerate(text.split()):
-        ch, _, span = part.rstrip("]").partition("[")
-        start, end = span.split(",")
-        rows.append((call, i, int(ch), float(start), float(end)))
-    return spark.createDataFrame(rows, SEGMENTS)
-
-
 def calls(spark, duration, call="c"):
     return spark.createDataFrame([(call, float(duration))], "call_id string, duration double")
 
@@ -31,57 +22,111 @@ def test_feature_groups_part_the_features():
     assert not set(acoustic_names()) & set(behavioural_names())
 
 
-def test_latencies_and_overlap(spark):
-    s = segs(spark, "1[0,1] 0[1.5,2.5] 1[3,4] 0[3.8,5]")
-    f = one(timing.timing_features(s, calls(spark, 5)))
-    assert f["caller_response_latency_pos_mean_s"] == f["caller_response_latency_pos_median_s"] == pytest.approx(0.5)
-    assert f["caller_response_latency_min_s"] == pytest.approx(-0.2) and f["overlap_total_s"] == pytest.approx(0.2) and f["caller_segment_count"] == 2
-
-
-@pytest.mark.parametrize("text,n,mean", [("1[0,1] 0[1.5,2.5] 1[3,4] 0[4.2,5]", 2, 0.35), ("1[0,2] 0[3,4] 1[5,6] 0[6.5,7]", 2, 0.75), ("1[0,1] 0[1,2]", 0, 0.0)])
-def test_recovery(spark, text, n, mean):
-    f = one(timing.recovery_features(segs(spark, text), calls(spark, 8)))
-    assert f["agent_aligned_recovery_count"] == n and f["agent_aligned_recovery_mean_s"] == pytest.approx(mean)
-
-
-def test_barge_in_and_backchannel(spark):
-    f = one(timing.recovery_features(segs(spark, "1[0,5] 0[2,2.8]"), calls(spark, 5)))
-    assert f["caller_barge_in_count"] == f["caller_backchannel_count"] == 1
-
-
-def test_iou(spark):
-    got = {r["channel"]: r["iou"] for r in intervals.iou(segs(spark, "0[0,2] 1[1,3]"), segs(spark, "0[.5,2.5] 1[1,2]")).collect()}
-    assert got == {0: pytest.approx(0.6), 1: pytest.approx(0.5)}
-
-
-def test_difference_and_complement(spark):
-    got = intervals.difference(segs(spark, "0[0,3] 0[5,8] 1[1,6]")).collect()
-    assert [(r["start"], r["end"]) for r in got] == [(3, 5)]
-    free = intervals.complement(segs(spark, "0[1,2] 0[1.5,4]"), calls(spark, 6)).collect()
-    assert sorted((r["start"], r["end"]) for r in free) == [(0, 1), (4, 6)]
-    assert [(r["start"], r["end"]) for r in intervals.complement(segs(spark, "0[1,2]").where("false"), calls(spark, 6)).collect()] == [(0, 6)]
-
-
-def events(spark, text):
-    rows = []
-    for i, part in enumerate(text.split()):
-        name, _, span = part.rstrip("]").partition("[")
-        start, end = span.split(",")
-        rows.append(("c", i, int(name[-1]) if name[-1].isdigit() else None, float(start), float(end), name.rstrip("01")))
-    return spark.createDataFrame(rows, "call_id string, event_idx int, channel int, start double, end double, type string")
-
-
-def test_conversation_metrics(spark):
-    m = one(ledger.conversation_metrics(events(spark, "speech0[0,2] silence[2,2.5] speech1[2.5,5]")))
-    assert (m["caller_talk_s"], m["agent_talk_s"], m["silence_s"], m["overlap_s"]) == (2, 2.5, 0.5, 0)
-    m = one(ledger.conversation_metrics(events(spark, "speech1[0,1] overlap[1,1.4] speech0[1.4,2]")))
-    assert m["overlap_s"] == pytest.approx(0.4) and m["interruption_count"] == 1
-    m = one(ledger.conversation_metrics(events(spark, "speech1[0,1] silence[1,1.8] speech0[1.8,2.5]")))
-    assert m["mean_agent_response_latency_s"] == pytest.approx(0.8)
+def turns(seed, n=14):
+    """Segments of two calls in quarters of a second; those of one channel do not overlap."""
+    draw, rows = random.Random(seed), []
+    for call in "ab":
+        for ch in (0, 1):
+            at = 0.0
+            for _ in range(n):
+                at += draw.randint(1, 14) / 4
+                end = at + draw.randint(1, 12) / 4
+                rows.append([call, 0, ch, at, end])
+                at = end
+    rows.sort(key=lambda r: (r[0], r[3], r[2]))
+    return [tuple([call, i, *rest]) for i, (call, _, *rest) in enumerate(rows)]
+
+
+def spread(values):
+    values = list(values)
+    return (len(values), statistics.fmean(values), statistics.pstdev(values)) if values else (0, 0.0, 0.0)
+
+
+def lengths(a, b):
+    return max(0.0, min(a[4], b[4]) - max(a[3], b[3]))
+
+
+def test_timing_against_loops(spark):
+    rows = turns(11)
+    got = {r["call_id"]: r.asDict() for r in timing.timing_features(spark.createDataFrame(rows, SEGMENTS), spark.createDataFrame([("a", 90.0), ("b", 120.0)], "call_id string, duration double")).collect()}
+    for call, duration in (("a", 90.0), ("b", 120.0)):
+        own = [r for r in rows if r[0] == call]
+        caller, agent = ([r for r in own if r[2] == ch] for ch in (0, 1))
+        gaps = [(b[2], b[3] - a[4]) for a, b in zip(own, own[1:]) if a[2] != b[2]]
+        mine = [g for ch, g in gaps if ch == 0]
+        shared = [x for a in caller for b in agent if (x := lengths(a, b)) > 0]
+        f = got[call]
+        assert f["caller_response_latency_mean_s"] == pytest.approx(statistics.fmean(mine)) and f["caller_response_latency_min_s"] == pytest.approx(min(mine))
+        assert f["caller_response_latency_pos_median_s"] == pytest.approx(statistics.median([g for g in mine if g >= 0] or [0]))
+        assert f["overlap_total_s"] == pytest.approx(sum(shared)) and f["overlap_event_count"] == len(shared) and f["caller_segment_count"] == len(caller)
+        assert f["agent_talk_ratio"] == pytest.approx(sum(r[4] - r[3] for r in agent) / duration)
+        assert f["caller_turns_per_min"] == pytest.approx(len(caller) / duration * 60)
+
+
+def test_recovery_against_loops(spark):
+    rows = turns(12)
+    got = {r["call_id"]: r.asDict() for r in timing.recovery_features(spark.createDataFrame(rows, SEGMENTS), spark.createDataFrame([("a", 90.0), ("b", 120.0)], "call_id string, duration double")).collect()}
+    for call in "ab":
+        caller, agent = ([r for r in rows if r[0] == call and r[2] == ch] for ch in (0, 1))
+        after = lambda at: min((c[3] - at for c in caller if c[3] > at), default=None)
+        waits = [w for a in agent if (w := after(a[4])) is not None]
+        pairs = [(c, a) for c in caller for a in agent if lengths(c, a) > 0]
+        later = [w for _, a in pairs if (w := after(a[4])) is not None]
+        f = got[call]
+        n, mean, std = spread(waits)
+        assert (f["agent_aligned_recovery_count"], f["agent_aligned_recovery_mean_s"], f["agent_aligned_recovery_std_s"]) == (n, pytest.approx(mean), pytest.approx(std))
+        assert f["post_overlap_recovery_count"] == len(later) and f["post_overlap_recovery_mean_s"] == pytest.approx(spread(later)[1])
+        assert f["caller_barge_in_count"] == sum(c[3] >= a[3] for c, a in pairs)
+        assert f["caller_backchannel_count"] == sum(c[4] - c[3] < 1 and any(lengths(c, a) > 0 for a in agent) for c in caller)
+
+
+def quarters(rows, call, ch):
+    return {t for r in rows if r[0] == call and r[2] == ch for t in range(int(r[3] * 4), int(r[4] * 4))}
+
+
+def test_iou_against_sets(spark):
+    predicted, reference = turns(13), turns(14)
+    got = {(r["call_id"], r["channel"]): r["iou"] for r in intervals.iou(*(spark.createDataFrame(r, SEGMENTS) for r in (predicted, reference))).collect()}
+    for call, ch in got:
+        p, r = quarters(predicted, call, ch), quarters(reference, call, ch)
+        assert got[call, ch] == pytest.approx(len(p & r) / len(p | r))
+    assert len(got) == 4
+
+
+def test_difference_and_complement_against_sets(spark):
+    rows = turns(15)
+    s = spark.createDataFrame(rows, SEGMENTS)
+    cells = lambda found, call: {t for r in found if r["call_id"] == call for t in range(int(r["start"] * 4), int(r["end"] * 4))}
+    alone = intervals.difference(s).collect()
+    free = intervals.complement(intervals.channel(s, 0), spark.createDataFrame([("a", 200.0), ("b", 200.0)], "call_id string, duration double")).collect()
+    for call in "ab":
+        assert cells(alone, call) == quarters(rows, call, 1) - quarters(rows, call, 0)
+        assert cells(free, call) == set(range(800)) - quarters(rows, call, 0)
+    assert [(r["start"], r["end"]) for r in intervals.complement(s.where("false"), calls(spark, 7)).collect()] == [(0, 7)]
+
+
+def test_conversation_metrics_against_loops(spark):
+    draw, rows = random.Random(16), []
+    for call in "abc":
+        at = 0.0
+        for i in range(40):
+            kind, ch = draw.choice([("speech", 0), ("speech", 1), ("overlap", None), ("silence", None)])
+            end = at + draw.randint(1, 9) / 4
+            rows.append((call, i, ch, at, end, kind))
+            at = end
+    got = {r["call_id"]: r.asDict() for r in ledger.conversation_metrics(spark.createDataFrame(rows, "call_id string, event_idx int, channel int, start double, end double, type string")).collect()}
+    for call, m in got.items():
+        own = [r for r in rows if r[0] == call]
+        total = lambda kind, ch=None: sum(r[4] - r[3] for r in own if r[5] == kind and (ch is None or r[2] == ch))
+        assert (m["caller_talk_s"], m["agent_talk_s"], m["overlap_s"], m["silence_s"]) == (total("speech", 0), total("speech", 1), total("overlap"), total("silence"))
+        assert m["interruption_count"] == sum(r[5] == "overlap" for r in own)
+        for name, trigger in (("mean_agent_response_latency_s", 1), ("mean_caller_response_latency_s", 0)):
+            waits = [min((r[3] - t[4] for r in own if r[5] == "speech" and r[2] == 1 - trigger and r[3] > t[4]), default=None) for t in own if t[5] == "speech" and t[2] == trigger]
+            assert m[name] == pytest.approx(spread(w for w in waits if w is not None)[1])
 
 
 def test_calls_without_turns_have_zeros(spark):
-    none = segs(spark, "0[0,1]").where("false")
+    none = spark.createDataFrame([], SEGMENTS)
     assert set(one(timing.timing_features(none, calls(spark, 1))).values()) == {"c", 0.0, 1.0}  # all of it is silence
     assert set(one(timing.recovery_features(none, calls(spark, 1))).values()) == {"c", 0.0}
     assert one(layers.pause_entropy(none, calls(spark, 1)))["caller_pause_entropy"] == 0
