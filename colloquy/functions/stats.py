@@ -51,9 +51,3 @@ def entropy(values: Column, low: Column, high: Column, by: list[str], bins: int
     bin_ = F.when(high <= low, 0).otherwise(F.least(F.floor((values - low) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*by))
     return bin_.cast("int"), -(share * F.log2(share))
-
-
-def average_rank(score: Column, *by: str) -> Column:
-    """1-based rank of score within by, equal scores sharing the mean of theirs."""
-    order = Window.partitionBy(*by).orderBy(score)
-    return F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, score)) - 1) / 2.0

@@ -55,20 +55,28 @@ def energy_levels(audio: DataFrame) -> DataFrame:
     return good(audio).select("call_id", "pcm0", "pcm1", "sample_rate").mapInPandas(run, "call_id string, channel int, idx long, db double")
 
 
-def energy_segments(audio: DataFrame) -> DataFrame:
-    """Voice activity by energy: segments (call_id, seq, channel, start, end)."""
-    return mask_segments(energy_mask(energy_levels(audio)), HOP_S, JOIN_S, LEAST_S)
+def energy_segments(audio: DataFrame, least: float = LEAST_S) -> DataFrame:
+    """Voice activity by energy: segments (call_id, seq, channel, start, end) of least seconds or more."""
+    return mask_segments(energy_mask(energy_levels(audio)), HOP_S, JOIN_S, least)
 
 
-def hybrid_segments(audio: DataFrame, fallback=None) -> DataFrame:
+def hybrid_segments(audio: DataFrame, least: float = LEAST_S, fallback=None) -> DataFrame:
     """Energy segments, and for channels where there are none those of fallback(audio), a segment detector."""
-    found = energy_segments(audio)
+    found = energy_segments(audio, least)
     if fallback is None:
         return found
     return found.unionByName(fallback(audio).join(found.select("call_id", "channel").distinct(), ["call_id", "channel"], "left_anti").select(*found.columns))
 
 
-BACKENDS = {"energy": energy_segments, "hybrid": hybrid_segments}
+def voice_activity(audio: DataFrame, backend: str = "hybrid", least: float = LEAST_S, fallback=None) -> DataFrame:
+    """Segments by a named backend: energy, hybrid, or neural, which is fallback(audio) alone."""
+    if backend == "neural":
+        if fallback is None:
+            raise ValueError("the neural backend needs a detector as fallback")
+        return fallback(audio).where(F.col("end") - F.col("start") >= F.lit(least))
+    if backend not in ("energy", "hybrid"):
+        raise ValueError(f"unknown backend: {backend}")
+    return energy_segments(audio, least) if backend == "energy" else hybrid_segments(audio, least, fallback)
 
 
 def segment_shapes(audio: DataFrame, segments: DataFrame) -> DataFrame:

@@ -75,6 +75,15 @@ def mask_segments(mask: DataFrame, frame: float, gap: float, least: float) -> Da
     return merged.where(F.col("end") - F.col("start") >= F.lit(least)).select("call_id", "seq", "channel", "start", "end")
 
 
+def segments_mask(segments: DataFrame, calls: DataFrame, frame: float = FRAME_S) -> DataFrame:
+    """(call_id, channel, idx, active) for every frame of both channels of calls (call_id, duration): active where a segment touches it."""
+    frames = calls.select("call_id", F.greatest(F.ceil(F.col("duration") / F.lit(frame)), F.lit(1)).cast("long").alias("n"))
+    spans = on_grid(segments, frame).join(frames, "call_id").select("call_id", "channel", F.greatest("start", F.lit(0)).alias("low"), (F.least("end", "n") - 1).alias("high")).where("low <= high")
+    hit = spans.select("call_id", "channel", F.explode(F.sequence("low", "high")).alias("idx")).distinct().withColumn("active", F.lit(True))
+    grid = frames.select("call_id", F.explode(F.array(F.lit(CALLER), F.lit(AGENT))).alias("channel"), "n").select("call_id", "channel", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
+    return grid.join(hit, ["call_id", "channel", "idx"], "left").select("call_id", "channel", "idx", F.coalesce("active", F.lit(False)).alias("active"))
+
+
 def resample_mask(mask: DataFrame, source: float, target: float, frames: DataFrame) -> DataFrame:
     """A mask on another grid: a target frame is active if a source frame that it overlaps is.
 

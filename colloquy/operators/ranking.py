@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.stats import average_rank, effect_size, or_zero, ratio
+from colloquy.functions.stats import effect_size, or_zero, ratio
 
 
 def long_form(rows: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -65,12 +65,26 @@ def bootstrap(rows: DataFrame, features: Sequence[str], positive: Column, order:
     return kept.groupBy("feature").agg(F.percentile("d", F.lit(low)).alias("low"), F.percentile("d", F.lit(high)).alias("high"))
 
 
-def auc(rows: DataFrame, score: str, positive: Column, by: Sequence[str] = (), undefined: float | None = 0.5) -> DataFrame:
-    """(by, auc): rank-sum with shared ranks for ties; undefined where one class is missing."""
-    ranked = rows.withColumn("positive_", positive).withColumn("rank_", average_rank(F.col(score), *by))
-    p, n = F.count_if("positive_"), F.count_if(~F.col("positive_"))
-    value = (F.sum(F.when(F.col("positive_"), F.col("rank_"))) - p * (p + 1) / 2.0) / (p * n)
-    return ranked.groupBy(*by).agg(F.when((p > 0) & (n > 0), value).otherwise(F.lit(undefined)).alias("auc"))
+def auc(rows: DataFrame, score: str, positive: Column, by: Sequence[str] = (), undefined: float | None = 0.5, ranges: int = 32) -> DataFrame:
+    """(by, auc): how often a positive row scores above a negative one, half for ties; undefined where one class is missing.
+
+    Rows are counted by score before anything is put in order, and scores are dealt to ranges, each in order by
+    itself, so that no task sees all of them.
+    """
+    counted = rows.select(*by, F.col(score).alias("score_"), positive.alias("positive_")).groupBy(*by, "score_").agg(F.count_if("positive_").alias("p"), F.count_if(~F.col("positive_")).alias("n"))
+    cuts = sorted(set(rows.select(F.col(score).cast("double").alias("score_")).approxQuantile("score_", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))  # at most so many
+    range_ = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("score_"))) if cuts else F.lit(0)
+    counted = counted.withColumn("range_", range_)
+    so_far = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy(*by, "range_").agg(F.sum("n").alias("m"))
+    totals = totals.select(*[F.col(c).alias(f"t_{c}") for c in by], F.col("range_").alias("t_range"), F.coalesce(F.sum("m").over(so_far.partitionBy(*by).orderBy("range_")), F.lit(0)).alias("ahead"))
+    same = F.col("range_") == F.col("t_range")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    below = F.coalesce(F.sum("n").over(so_far.partitionBy(*by, "range_").orderBy("score_")), F.lit(0)) + F.col("ahead")
+    wins = counted.join(totals, same).select(*by, "p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("wins"))
+    p, n = F.sum("p"), F.sum("n")
+    return wins.groupBy(*by).agg(F.when((p > 0) & (n > 0), F.sum("wins") / (p * n)).otherwise(F.lit(undefined)).alias("auc"))
 
 
 def confusion(truth: Column, said: Column) -> dict[str, Column]:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.stats import or_zero, sigmoid
@@ -132,15 +132,12 @@ def parts(models: DataFrame) -> dict[str, dict]:
     return {r["model"]: {k: list(v) if isinstance(v, (list, tuple)) else v for k, v in r.asDict().items() if k != "model"} for r in models.collect()}
 
 
-def folds(rows: DataFrame, key: str = "call_id", seed: int = 0) -> DataFrame:
-    """(key, fold): per label shuffled by one generator, negatives first, dealt in turn; at least 2 folds, at most FOLDS."""
-    labelled = sorted((r[key], r["y"]) for r in rows.select(key, "y").collect())  # calls of an experiment
-    draw, out = np.random.default_rng(seed), []
-    groups = [[k for k, y in labelled if y == label] for label in (0.0, 1.0)]
-    n = max(2, min(FOLDS, *map(len, groups)))
-    for group in groups:
-        out += [(group[i], j % n) for j, i in enumerate(draw.permutation(len(group)))]
-    return rows.sparkSession.createDataFrame(out, f"{key} {rows.schema[key].dataType.simpleString()}, fold int")
+def folded(rows: DataFrame, key: str = "call_id", seed: int = 0) -> DataFrame:
+    """rows with fold: those of a label in a seeded order, dealt in turn; at least 2 folds, at most FOLDS."""
+    sizes = rows.agg(F.count_if(F.col("y") == 0.0).alias("no"), F.count_if(F.col("y") == 1.0).alias("yes")).first()
+    n = max(2, min(FOLDS, sizes["no"], sizes["yes"]))
+    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), key), key)
+    return rows.withColumn("fold", (F.row_number().over(order) - 1) % n)
 
 
 def evaluate(scored: DataFrame, p: str, truth: Column) -> dict[str, float]:
@@ -157,9 +154,10 @@ def train(rows: DataFrame, key: str = "call_id", acoustic: Sequence[str] = ACOUS
     figures are not those of unseen calls.
     """
     features = {"acoustic": acoustic, "behavioral": behavioural, "concatenated": [*acoustic, *[n for n in behavioural if n not in acoustic]], "fusion": FUSION_HEAD}
-    rows = rows.withColumn("y", is_positive().cast("double"))
+    # the columns of the heads alone, read many times from here on
+    rows = rows.select(key, "split", *features["concatenated"], is_positive().cast("double").alias("y")).persist()
     train_rows, val = rows.where("split = 'train'"), rows.where("split = 'val'")
-    dealt = train_rows.join(F.broadcast(folds(train_rows, key)), key)
+    dealt = folded(train_rows, key)
     k = dealt.agg(F.max("fold")).first()[0] + 1
     whole = F.explode(F.array(*[F.lit(n) for n in ("acoustic", "behavioral", "concatenated")]))
     held = [dealt.where(F.col("fold") != f).withColumn("model", F.lit(f"{head}#{f}")) for f in range(k) for head in ("acoustic", "behavioral")]
@@ -178,4 +176,5 @@ def train(rows: DataFrame, key: str = "call_id", acoustic: Sequence[str] = ACOUS
         metrics[split] = {p.removeprefix("p_"): evaluate(heads, p, truth) for p in (*FUSION_HEAD, "p_stacked", "p_concatenated")}
     if metrics["val"]["stacked"]["auc"] < metrics["val"]["concatenated"]["auc"] - MARGIN:
         model["fusion_type"] = "concatenated"
+    rows.unpersist()
     return model | {"metrics": metrics}

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import time
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.operators.layers import BACKENDS, acoustic_features, calls_of, interaction_features, micro_features
+from colloquy.operators.evaluation import vad_benchmark
+from colloquy.operators.layers import LEAST_S, acoustic_features, calls_of, interaction_features, micro_features, voice_activity
 from colloquy.operators.ledger import FRAME_S, conversation_metrics, ledger
-from colloquy.operators.scoring import score
+from colloquy.operators.scoring import score, train
 from colloquy.operators.timing import recovery_features, timing_features
 from colloquy.schemas import FEATURE_NAMES, INTERACTION_NAMES, MICRO_NAMES
 from colloquy.sources.audio import requests
+from colloquy.sources.dataset import Dataset
 
 
-def features(audio: DataFrame, segments: DataFrame | None = None, heavy: bool = True, backend: str = "hybrid") -> DataFrame:
+def features(audio: DataFrame, segments: DataFrame | None = None, heavy: bool = True, backend: str = "hybrid", least: float = LEAST_S, fallback=None) -> DataFrame:
     """One row of the 85 features for each call of audio that could be read.
 
-    segments replaces voice activity detection by the named backend. Without heavy the micro and interaction
+    segments replaces voice activity detection by the named backend; least and fallback are its own. Without heavy the micro and interaction
     layers are 0 and their stages are not run.
     """
-    segments = BACKENDS[backend](audio) if segments is None else segments
+    segments = voice_activity(audio, backend, least, fallback) if segments is None else segments
     calls = calls_of(audio)
     out = calls.withColumnRenamed("duration", "duration_s")
     layers = [timing_features(segments, calls), acoustic_features(audio, segments), recovery_features(segments, calls)]
@@ -38,10 +44,10 @@ def conversation(segments: DataFrame, calls: DataFrame, frame: float = FRAME_S)
     return events, conversation_metrics(events)
 
 
-def detect(batch: DataFrame, model: dict) -> DataFrame:
+def detect(batch: DataFrame, model: dict, fallback=None) -> DataFrame:
     """(call_id, is_synthetic, confidence, views, error) for detection requests; those that can't be read say why."""
     audio = requests(batch)
-    scored = score(features(audio, heavy=False, backend=model.get("vad_backend", "hybrid")), model)
+    scored = score(features(audio, heavy=False, backend=model.get("vad_backend", "hybrid"), fallback=fallback), model)
     return audio.select("call_id", "error").join(scored.select("call_id", "is_synthetic", "confidence", "views"), "call_id", "left")
 
 
@@ -49,3 +55,30 @@ def compare_depths(audio: DataFrame, model: dict) -> DataFrame:
     """(call_id, p_full, p_live, delta, flip): scores with and without the heavy layers."""
     full, live = (score(features(audio, heavy=h), model).select("call_id", F.col("p").alias(n)) for h, n in ((True, "p_full"), (False, "p_live")))
     return full.join(live, "call_id").withColumns({"delta": F.col("p_live") - F.col("p_full"), "flip": (F.col("p_live") >= 0.5) != (F.col("p_full") >= 0.5)})
+
+
+def labelled_features(data: Dataset, heavy: bool = False, backend: str = "hybrid", split: str | None = None) -> DataFrame:
+    """features() of a data set's recordings with split and label of the manifest."""
+    calls = data.calls(split)
+    found = features(data.audio(split), heavy=heavy, backend=backend)
+    return found.join(calls.select(F.col("anon_id").alias("call_id"), "split", "label"), "call_id")
+
+
+def train_from(data: Dataset, backend: str = "hybrid", **heads) -> dict:
+    """A model document from a data set's recordings, by the light layers."""
+    return train(labelled_features(data, backend=backend), **heads) | {"vad_backend": backend}
+
+
+def benchmark_detectors(data: Dataset, split: str = "val", backends: Sequence[str] = ("energy", "hybrid")) -> DataFrame:
+    """vad_benchmark() of a split against its turn files. A latency is the mean time of a call of the whole run."""
+    audio, predicted, runs = data.audio(split), [], []
+    for name in backends:
+        began = time.perf_counter()
+        found = voice_activity(audio, name).select(F.lit(name).alias("backend"), "call_id", "seq", "channel", "start", "end").persist()
+        found.count()
+        spent = (time.perf_counter() - began) * 1000
+        predicted.append(found)
+        runs.append(calls_of(audio).select("call_id", F.lit(name).alias("backend"), F.lit(spent).alias("spent")))
+    every = functools.reduce(DataFrame.unionByName, runs)
+    every = every.withColumn("latency_ms", F.col("spent") / F.count("*").over(Window.partitionBy("backend")))
+    return vad_benchmark(functools.reduce(DataFrame.unionByName, predicted), data.turns(), every)

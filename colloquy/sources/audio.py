@@ -63,10 +63,11 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("call_id", "content").mapInPandas(run, AUDIO)
 
 
-def wav_files(spark: SparkSession, folder: str) -> DataFrame:
-    """AUDIO rows of a folder of ``<call_id>.wav``."""
+def wav_files(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
+    """AUDIO rows of a folder of ``<call_id>.wav``; wanted (call_id) leaves out files before they are decoded."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
-    return decoded(files.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("call_id"), "content"))
+    files = files.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("call_id"), "content")
+    return decoded(files if wanted is None else files.join(wanted, "call_id", "left_semi"))
 
 
 def requests(batch: DataFrame) -> DataFrame:

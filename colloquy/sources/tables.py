@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,4 +54,17 @@ def markdown(rows: DataFrame, limit: int = 200) -> str:
 
 def embedded_json(value: object) -> str:
     """JSON that can stand inside an HTML script element."""
-    return json.dumps(value).replace("<", "\\u003c")
+    return json.dumps(value, default=str).replace("<", "\\u003c")
+
+
+def html_page(title: str, tables: dict[str, DataFrame], limit: int = 200) -> str:
+    """Small results as one page: a heading and a table for each, the numbers also as JSON for scripts."""
+    taken = {name: (rows.columns, [list(r) for r in rows.limit(limit).collect()]) for name, rows in tables.items()}
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else html.escape(str(v))
+    body = "".join(
+        f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in columns)}</tr>"
+        + "".join(f"<tr>{''.join(f'<td>{cell(v)}</td>' for v in row)}</tr>" for row in rows) + "</table>"
+        for name, (columns, rows) in taken.items()
+    )
+    data = embedded_json({name: {"columns": c, "rows": r} for name, (c, r) in taken.items()})
+    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}<script type="application/json" id="data">{data}</script>'
