@@ -1,11 +1,12 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and the sentences in them.
 
 A section is a run of lines up to and with the empty lines after it; a paragraph is a line; leaves are its
-sentences, a long one cut at the first gap after LEAF bytes. A node's digest covers its children's, so
-equal roots mean equal texts, and where roots differ only differing branches need be followed.
+sentences, a long one cut at the first gap after LEAF bytes. A node's digest is that of its children's digests,
+in order, up to the root, 128 bits each; so equal roots mean equal texts, and where roots differ only differing
+branches need be followed.
 
 As text: root, then for each section ``/digest``, for each of its paragraphs ``+digest`` and for each of
-its leaves ``,digest.bytes``, in order.
+its leaves ``,digest.bytes``, in order; below the root the first SHOWN hex digits of each digest.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import arrow_schema, partitions, typed
 
 LEAF = 160
+#: Hex digits of a node below the root as text.
+SHOWN = 16
 SENTENCE = re.compile(rb"[^.!?]{0,%d}[^.!?\x20]*(?:[.!?]+\x20?|\x20|\Z)" % LEAF)
 
 
-def digest(data: bytes, size: int = 6) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+def digest(kind: bytes, data: bytes) -> bytes:
+    """Nodes of different kinds never have one digest."""
+    return hashlib.blake2b(data, digest_size=16, person=kind).digest()
 
 
 def paragraphs(text: bytes) -> Iterator[list[bytes]]:
@@ -48,15 +52,18 @@ def leaves(line: bytes) -> list[bytes]:
 
 def fingerprint(text: bytes) -> str:
     """The tree as text. It depends on nothing but the bytes."""
-    sections = []
+    shown, names = [], []
     for lines in paragraphs(text):
-        nodes = []
+        below, of_lines = [], []
         for line in lines:
-            below = "".join(f",{digest(leaf)}.{len(leaf)}" for leaf in leaves(line))
-            nodes.append(f"+{digest(below.encode())}{below}")
-        whole = "".join(nodes)
-        sections.append(f"/{digest(whole.encode())}{whole}")
-    return digest(text, 16) + "".join(sections)
+            parts = leaves(line)
+            of_leaves = [digest(b"leaf", part) for part in parts]
+            of_lines.append(digest(b"paragraph", b"".join(of_leaves)))
+            below.append("+" + of_lines[-1].hex()[:SHOWN])
+            below += [f",{d.hex()[:SHOWN]}.{len(part)}" for d, part in zip(of_leaves, parts)]
+        names.append(digest(b"section", b"".join(of_lines)))
+        shown += ["/" + names[-1].hex()[:SHOWN], *below]
+    return digest(b"root", b"".join(names)).hex() + "".join(shown)
 
 
 def branches(print_: str) -> dict:

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 from colloquy.llm import merkle, mpeg
@@ -47,6 +48,37 @@ def test_trees():
         assert b"".join(merkle.leaves(line)) == line
 
 
+def tree(text):
+    """Digests of every node from the definition, and the bytes that two trees share, by plain recursion."""
+    name = lambda kind, parts: hashlib.blake2b(b"".join(parts), digest_size=16, person=kind).digest()
+    sections, held = [[]], []
+    for line in text.split(b"\n"):
+        if line and sections[-1] and not sections[-1][-1]:
+            sections.append([])
+        sections[-1].append(line)
+    for lines in sections:
+        nodes = [(name(b"paragraph", [name(b"leaf", [x]) for x in merkle.leaves(line)]), merkle.leaves(line)) for line in lines]
+        held.append((name(b"section", [n for n, _ in nodes]), nodes))
+    return name(b"root", [n for n, _ in held]), held
+
+
+def test_roots_and_likeness_against_the_definition():
+    texts = ["", "\n", "One. Two.\nThree.\n\n\nFour? " + "long " * 90, "One. Two.\nThree!\n\n\nFour? " + "long " * 90, "Three.\nOne. Two.\n\nX", "é. ü!\n\nOne. Two."]
+    for a in texts:
+        root, sections = tree(a.encode())
+        shown = merkle.fingerprint(a.encode())
+        assert shown.split("/")[0] == root.hex() and [s.split("+")[0] for s in shown.split("/")[1:]] == [n.hex()[:16] for n, _ in sections]
+        for b in texts:
+            other, theirs = tree(b.encode())
+            x, y = (Counter(leaf for _, lines in t for _, parts in lines for leaf in parts) for t in (sections, theirs))
+            whole = sum(map(len, x.elements())) + sum(map(len, y.elements()))
+            # whatever branches share, their leaves share
+            likeness = merkle.likeness(merkle.branches(shown), merkle.branches(merkle.fingerprint(b.encode())))
+            assert (root == other) == (a == b) and likeness <= 1
+            if a != b:
+                assert abs(likeness - (2 * sum(map(len, (x & y).elements())) / whole if whole else 1)) < 1e-9
+
+
 def frame(header, fill=0x55, crc=True):
     shape = mpeg.header(header)
     body = bytes([fill]) * (shape.length - 4)
