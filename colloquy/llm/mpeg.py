@@ -1,9 +1,9 @@
 """MPEG audio in a column: write payloads as Layer III streams, and read any Layer I-III stream.
 
 Reading finds frame headers again after foreign bytes, parses ID3 tags and the tables of variable-bitrate
-streams (Xing, Info, VBRI), checks the checksums of Layer III frames (those of Layers I and II are not
-checked, so a corrupt frame there looks sound) and gives the exact duration as samples over
-sample rate and the byte offset of every frame. Writing stores a payload in the ancillary bytes of silent,
+streams (Xing, Info, VBRI), verifies frames' checksums and gives the exact duration as samples over sample rate
+and the byte offset of every frame. Frames of free bitrate, whose length no header tells, count as foreign bytes.
+Writing stores a payload in the ancillary bytes of silent,
 checksummed frames behind an ID3 tag and an Info frame, so that any player can walk the stream and the
 bytes come back unchanged.
 """
@@ -35,6 +35,15 @@ RATES = (44100, 48000, 32000)
 #: Bytes of Layer III side information by (version 1 or not, mono).
 SIDE = {(True, False): 32, (True, True): 17, (False, False): 17, (False, True): 9}
 
+#: Bits of the allocation of each subband in Layer II, by table; the last is that of versions 2 and 2.5.
+ALLOCATION = {
+    "27 subbands": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "30 subbands": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "8 subbands": (4,) * 2 + (3,) * 6,
+    "12 subbands": (4,) * 2 + (3,) * 10,
+    "low rates": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
 #: The payload is padded to a multiple of this, one block a frame.
 BLOCK = 192
 #: Version 1, Layer III, 80 kbit/s, 48 kHz, mono: frames of 240 bytes; with and without a checksum.
@@ -79,16 +88,44 @@ def header(word: bytes) -> Header | None:
 
 
 @functools.lru_cache(1 << 14)
-def crc16(data: bytes) -> int:
-    """The checksum of a frame: polynomial 0x8005, most significant bit first, from 0xFFFF."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of a frame, of all or the first bits: polynomial 0x8005, most significant bit first, from 0xFFFF."""
     value = 0xFFFF
-    for byte in data:
-        value ^= byte << 8
-        for _ in range(8):
-            value = (value << 1 ^ 0x8005 if value & 0x8000 else value << 1) & 0xFFFF
+    for i in range(8 * len(data) if bits is None else min(bits, 8 * len(data))):
+        top = (value >> 15) ^ (data[i >> 3] >> (7 - (i & 7)) & 1)
+        value = (value << 1 ^ 0x8005 if top else value << 1) & 0xFFFF
     return value
 
 
+def protected_bits(frame: bytes, shape: Header) -> int:
+    """How many bits the checksum of a frame covers, of the header's last 16 and what follows the checksum.
+
+    Layer III: the side information. Layer I: the allocation. Layer II: the allocation and, for each subband of a
+    channel that has one, two bits of selection. Above the bound of joint stereo both channels share an allocation.
+    """
+    if shape.layer == 3:
+        return 16 + 8 * shape.side
+    channels, joint = 1 if shape.mono else 2, frame[3] >> 6 == 1
+    bound = 4 * ((frame[3] >> 4 & 3) + 1) if joint else 32
+    if shape.layer == 1:
+        return 16 + 4 * sum(channels if sb < bound else 1 for sb in range(32))
+    each = shape.kbps / channels
+    if shape.version != 1:
+        table = ALLOCATION["low rates"]
+    elif each <= 48:
+        table = ALLOCATION["12 subbands" if shape.rate == 32000 else "8 subbands"]
+    else:
+        table = ALLOCATION["27 subbands" if each <= 80 or shape.rate == 48000 else "30 subbands"]
+    at, chosen = 48, 0
+    for sb, size in enumerate(table):
+        for _ in range(channels if sb < bound else 1):
+            word = int.from_bytes(frame[at >> 3 : (at >> 3) + 2].ljust(2, b"\0"), "big")
+            if word >> (16 - (at & 7) - size) & ((1 << size) - 1):
+                chosen += 1 if sb < bound else channels
+            at += size
+    return 16 + at - 48 + 2 * chosen
+
+
 def synchsafe(value: int) -> bytes:
     return bytes(value >> shift & 0x7F for shift in (21, 14, 7, 0))
 
@@ -208,9 +245,10 @@ def read(data: bytes) -> Stream:
             out.table = table
         else:
             out.frames.append((at, shape))
-            if shape.protected and shape.layer == 3:
+            if shape.protected:
                 out.checked += 1
-                if crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + shape.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+                bits = protected_bits(data[at:then], shape)
+                if crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + (bits - 9) // 8], bits) != int.from_bytes(data[at + 4 : at + 6], "big"):
                     out.damaged.append(at)
         synced, at = shape, then
         resumes = then
@@ -267,15 +305,18 @@ def probe(media: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Read stored streams back: payload digests, the stored form's digest and its feature."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Read stored streams of to_media() back: payload digests, the stored form's digest, its feature, exact duration (samples over sample_rate) and where each frame begins.
+
+    Null and empty texts, repeated rows and null doc_ids are rows like any other; an empty table gives no rows.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, sample_rate int, duration_s double, seek_offsets array<long>"
 
     def look(columns):
         rows = []
         for doc, n, data in zip(columns["doc_id"].to_pylist(), columns["n_bytes"].to_pylist(), columns["media"].to_pylist()):
             stream = read(data)
             back = carried(data, stream)
-            rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream)))
-        return dict(zip(("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), zip(*rows)))
+            rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), stream.samples, stream.frames[0][1].rate, float(stream.duration), [at for at, _ in stream.frames]))
+        return dict(zip([c.split()[0] for c in schema.split(", ")], zip(*rows)))
 
     return map_rows(media, schema, look)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -122,6 +123,37 @@ def test_damage_resync_and_tables():
     assert mpeg.read(b"").frames == [] and mpeg.read(b"\xff" * 50).frames == []
 
 
+def bitwise_crc(bits):
+    value = 0xFFFF
+    for bit in bits:
+        value = (value << 1) ^ (0x8005 if (value >> 15 & 1) != bit else 0)
+        value &= 0xFFFF
+    return value
+
+
+def test_checksums_of_the_other_layers():
+    draw = random.Random(4)
+    # header bytes 2 to 4, bits of allocation, subbands that are shared by both channels
+    kinds = [(0xFE, 0x44, 0x00, [4] * 64, 0), (0xFE, 0x44, 0xC0, [4] * 32, 0), (0xFE, 0x44, 0x50, [4] * (16 + 24), 24), (0xFC, 0xC0, 0x00, [n for n in [4] * 11 + [3] * 12 + [2] * 7 for _ in (0, 1)], 0), (0xFC, 0x14, 0xC0, [4] * 2 + [3] * 6, 0), (0xFC, 0x18, 0xC0, [4] * 2 + [3] * 10, 0), (0xF4, 0x80, 0xC0, [4] * 4 + [3] * 7 + [2] * 19, 0)]
+    for one, two, three, sizes, shared in kinds:
+        head = bytes((0xFF, one, two, three))
+        shape = mpeg.header(head)
+        body = bytearray(draw.randbytes(shape.length - 6))
+        bits = [b >> (7 - k) & 1 for b in head[2:] + bytes(body) for k in range(8)]
+        at, extra = 16, 0
+        for i, n in enumerate(sizes):
+            extra += any(bits[at : at + n]) * (2 if shared and i >= len(sizes) - shared else 1)
+            at += n
+        end = at + (2 * extra if shape.layer == 2 else 0)
+        frame = head + bitwise_crc(bits[:end]).to_bytes(2, "big") + bytes(body)
+        good = mpeg.read(frame * 3)
+        assert len(good.frames) == good.checked == 3 and not good.damaged
+        for bit, hurt in ((16, True), (end - 1, True), (end, False)):
+            broken = bytearray(frame)
+            broken[6 + (bit - 16) // 8] ^= 0x80 >> (bit % 8)
+            assert mpeg.read(frame + bytes(broken) + frame).damaged == ([len(frame)] if hurt else []), (shape, bit)
+
+
 def test_columns(spark):
     docs = spark.createDataFrame([(1, "one", 5), (2, None, 5), (None, "one", 5), (3, "long " * 900, 5)], "doc_id long, text string, media int")
     rows = mpeg.media_digests(mpeg.to_media(docs)).collect()
@@ -131,6 +163,8 @@ def test_columns(spark):
         assert by[doc]["n_bytes"] == len(text) and by[doc]["payload_bytes"] == len(payload)
         assert by[doc]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and by[doc]["tail_crc32"] == zlib.crc32(payload[-16:])
     assert by[1]["media_sha256"] == by[None]["media_sha256"] and by[1]["feature"] == by[None]["feature"]
+    assert by[1]["seek_offsets"][0] == by[1]["media_bytes"] - 240 * len(by[1]["seek_offsets"]) and by[3]["samples"] == 24 * 1152 and by[3]["duration_s"] == 24 * 1152 / 48000
+    assert mpeg.media_digests(mpeg.to_media(docs.limit(0))).collect() == []
     probed = mpeg.probe(mpeg.to_media(docs), keep=("doc_id",)).collect()
     assert {r["doc_id"]: len(r["seek_offsets"]) for r in probed}[3] == 24
     nothing = mpeg.probe(spark.createDataFrame([(None,), (b"abc",)], "media binary")).collect()
