@@ -74,6 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from colloquy.llm import urls
+    from colloquy.llm import superkmers, urls
 
-    return {"op9_url_filters": urls.oracle_sql()}
+    return {"op1_substring_dedup": superkmers.oracle_sql(), "op9_url_filters": urls.oracle_sql()}

@@ -222,3 +222,14 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, texts: b
         return out | ({"kept": [k.decode() for k in kept]} if texts else {})
 
     return map_rows(joined.unionByName(nameless), RESULT + ", kept string" * texts, apply)
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL for drop_repeats() of documents: all windows as strings, each with the least doc_id that has it."""
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + {window - 1}], ' ') AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {window - 1})) AS i FROM w)),
+f AS (SELECT h, min(doc_id) AS d FROM k GROUP BY h),
+g AS (SELECT DISTINCT doc_id, i + o AS p FROM (SELECT k.doc_id, i FROM k JOIN f ON f.h = k.h AND f.d < k.doc_id) CROSS JOIN (SELECT unnest(generate_series(0, {window - 1})) AS o)),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+s AS (SELECT x.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE g.p IS NULL) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON s.doc_id = w.doc_id"""
