@@ -27,7 +27,7 @@ END_ID = 0
 #: Pieces of a packing group, about. It bounds the memory of a packing task.
 GROUP = 25_000
 #: Bytes that a worker's encoded words take, about; with more it forgets them. A chunk of over LONG characters is not kept.
-KEPT_BYTES, LONG = 80 << 20, 256
+KEPT_BYTES, LONG = 144 << 20, 256
 #: What a kept word takes besides its characters and ids: two objects' heads and its place in the table.
 OVERHEAD = 190
 
