@@ -118,13 +118,13 @@ def find_repeats(
     explode(packed) -> (w1, w2, dk, run, total, at) are the two ways to judge windows; twice(first dk,
     total) says if a window counts, as again() does for runs.
     """
-    stats = occurrences(docs).groupBy("key", "run").agg(F.min("dk").alias("first"), F.sum("n").alias("total"))
-    keys = occurrences(docs).groupBy(F.col("key").alias("k")).agg(F.min("run").alias("low"), F.max("run").alias("high"), F.sum("n").alias("n"))
+    seen = settle(occurrences(docs))  # narrow rows, and texts are cut once for the three questions asked of them
+    stats = seen.groupBy("key", "run").agg(F.min("dk").alias("first"), F.sum("n").alias("total"))
+    keys = seen.groupBy(F.col("key").alias("k")).agg(F.min("run").alias("low"), F.max("run").alias("high"), F.sum("n").alias("n"))
     keys = keys.where("n > 1").select("k", (F.col("low") != F.col("high")).alias("differ"), (F.col("n") > hot).alias("hot"))
     # of all runs only those that can share a window with another place
     shared = settle(stats.join(keys, stats["key"] == F.col("k")).where(F.col("differ") | (F.col("total") > 1)).drop("k"))
     repeated = shared.where("total > 1").select(F.col("key").alias("k"), F.col("run").alias("r"), "first", "total")
-    seen = occurrences(docs)
     whole = seen.join(repeated, (seen["key"] == F.col("k")) & (seen["run"] == F.col("r"))).where(again(F.col("first"), F.col("total")))
     whole = whole.select("dk", "run", F.lit(None).cast("array<int>").alias("at"))
 
