@@ -241,6 +241,9 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_drawn(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that resample() draws, with all their columns."""
+    """The rows of docs that resample() draws, with all their columns, whatever their names.
+
+    Null and empty texts, null doc_ids, repeated rows and ties go as they do there; an empty table stays empty.
+    """
     model, bound = selected(docs, labels, **options)
     return weighed(docs, model, keep=True).where(F.col("key") >= F.lit(bound)).select("row.*")
