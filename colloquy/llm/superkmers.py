@@ -2,14 +2,15 @@
 
 Every window of WINDOW words has a minimiser: the least hash among its word SEED-grams. Consecutive windows
 with one minimiser travel as one packed string, a super-k-mer, to the minimiser's bucket; there all windows
-are sorted, and equal neighbours are equal word for word.
+are sorted by their words, numbered in the bucket, so that windows share a place in the order if and only if they
+are equal word for word.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ SEED = 10
 LONGEST = 256
 #: Bytes and texts that are cut at a time: the arrays of a cut fit in a processor's cache.
 CHUNK, TEXTS = 1 << 17, 1 << 12
+#: Bytes of whole buckets that are sorted together, about; a bucket has at most HOT strings of LONGEST windows.
+TOGETHER = 1 << 21
+
 
 class Cut:
     """Super-k-mers of a few texts: for each its text's number, minimiser, first word, windows, digest and bytes."""
@@ -87,6 +91,46 @@ def window_bytes(packed: bytes, window: int) -> list[bytes]:
     return [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
 
 
+def window_order(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the texts: its text's number, its first word, and its place among all different windows in order.
+
+    Words are numbered, then pairs of neighbours are sorted to number spans of two words, of four, and so on.
+    """
+    numbers: dict[bytes, int] = {}
+    words = [[numbers.setdefault(w, len(numbers)) for w in text.split()] for text in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    place = np.fromiter(chain.from_iterable(words), np.int64, int(sizes.sum()))
+    have = 1
+    while have < window and len(place):
+        step = min(have, window - have)
+        place = np.unique(place[:-step] * np.int64(len(place) + len(numbers)) + place[step:], return_inverse=True)[1]
+        have += step
+    counts = np.maximum(sizes - window + 1, 0)  # spans over the end of a text are none of its windows
+    text = np.repeat(np.arange(len(texts)), counts)
+    first = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return text, first, place[np.repeat(np.cumsum(sizes) - sizes, counts) + first]
+
+
+def late_windows(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(dk, run, windows) for rows (dk, run, packed) of whole buckets with windows that a row of a smaller dk has too."""
+    text, first, place = window_order([packed for _, _, packed in rows], window)
+    if not len(text):
+        return
+    dks = np.array([dk for dk, _, _ in rows], np.int64)[text]
+    order = np.lexsort((dks, place))
+    begins = np.flatnonzero(np.diff(place[order], prepend=-1))
+    least = np.repeat(dks[order][begins], np.diff(np.append(begins, len(order))))
+    late = np.sort(order[dks[order] > least])
+    for r, at in zip(*split_by(text[late], first[late])):
+        yield rows[r][0], rows[r][1], at.tolist()
+
+
+def split_by(owners: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The different owners, which rise, and the values of each."""
+    who, begins = np.unique(owners, return_index=True)
+    return who.tolist(), np.split(values, begins[1:])
+
+
 def earlier_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(dk, found) for (dk, text): see runs.find_repeats. A window counts if a smaller dk has it."""
     spark = docs.sparkSession
@@ -119,18 +163,6 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
                         out[name].append(value)
         return out
 
-    def judge(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, list[int]]]:
-        """rows of one key: (dk, run, packed). All windows sorted; of equal ones, later documents' count."""
-        every = sorted((w, dk, r, i) for r, (dk, _, packed) in enumerate(rows) for i, w in enumerate(window_bytes(packed, window)))
-        late: dict[int, list[int]] = {}
-        for _, equal in groupby(every, key=lambda x: x[0]):
-            equal = list(equal)
-            for _, dk, r, i in equal:
-                if dk > equal[0][1]:
-                    late.setdefault(r, []).append(i)
-        for r, at in late.items():
-            yield rows[r][0], rows[r][1], at
-
     kinds = arrow_schema(spark, FOUND)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +170,19 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
             for batch in batches:
                 yield from zip(*(batch.column(n).to_pylist() for n in ("key", "dk", "run", "packed")))
 
-        out = []
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            out += judge([r[1:] for r in group])
-            if len(out) > 10_000:
+        def judged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if out := list(late_windows(held, window)):
                 yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
-                out = []
-        if out:
-            yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+
+        held, size = [], 0
+        for _, group in groupby(rows(), key=lambda r: r[0]):
+            for row in group:
+                held.append(row[1:])
+                size += len(row[3])
+            if size >= TOGETHER:  # equal windows have one key, so buckets can be sorted together
+                yield from judged(held)
+                held, size = [], 0
+        yield from judged(held)
 
     def singly(columns):
         out = {n: [] for n in ("w1", "w2", "dk", "run", "total", "at")}

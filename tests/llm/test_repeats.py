@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from colloquy.llm import superkmers
 from colloquy.llm.parsing import drop_repeated_bytes
 from colloquy.llm.superkmers import drop_repeats
 
@@ -80,6 +81,28 @@ def test_words_of_repeated_and_nameless_rows(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute_words(rows, 6)
 
 
+@pytest.mark.parametrize("window", [1, 2, 5, 12])
+def test_late_windows_against_all_strings(window):
+    draw = random.Random(window)
+    rows = [(draw.randint(0, 9), 100 + i, " ".join(draw.choices("abc", k=draw.randint(0, 30))).encode()) for i in range(40)]
+    at = {r: [rows[r][2].split()[i : i + window] for i in range(len(rows[r][2].split()) - window + 1)] for r in range(len(rows))}
+    least = {}
+    for r, windows in at.items():
+        for w in windows:
+            least[tuple(w)] = min(rows[r][0], least.get(tuple(w), 99))
+    want = [(rows[r][0], rows[r][1], late) for r, windows in at.items() if (late := [i for i, w in enumerate(windows) if least[tuple(w)] < rows[r][0]])]
+    assert list(superkmers.late_windows(rows, window)) == want
+    assert list(superkmers.late_windows([], window)) == []
+
+
+@pytest.mark.parametrize("together", [1, 300])
+def test_words_of_buckets_sorted_in_turn(spark, monkeypatch, together):
+    monkeypatch.setattr(superkmers, "TOGETHER", together)
+    rows = some_rows(4)
+    got = drop_repeats(table(spark, rows), window=8).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_words(rows, 8)
+
+
 def test_words_that_stay_can_be_had(spark):
     text = " ".join(f"u{i}" for i in range(8))
     got = {r["doc_id"]: r["kept"] for r in drop_repeats(table(spark, [(1, text), (2, "a  b\n" + text + "\tc")]), window=6, texts=True).collect()}
