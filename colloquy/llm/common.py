@@ -68,12 +68,30 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
     pa.default_memory_pool().release_unused()
 
 
+KEPT: dict[tuple, object] = {}
+
+
+def kept(make: Callable, *args) -> object:
+    """make(*args), once for each worker, which keeps the last such thing only: what another operator needed goes."""
+    if (make, *args) not in KEPT:
+        forget()
+        KEPT[(make, *args)] = make(*args)
+    return KEPT[(make, *args)]
+
+
+def forget() -> None:
+    """Workers outlive tasks and go from operator to operator; what the last one kept would stay in their memory."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+
+
 def map_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list] | None], setup: Callable | None = None) -> DataFrame:
-    """mapInArrow over column dictionaries; setup() runs once a task and is handed to work as its second argument; what is dear to set up it keeps for its worker."""
+    """mapInArrow over column dictionaries; setup() runs once a task and is handed to work as its second argument; what is dear to set up it takes from kept() for its worker."""
     kinds = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = setup() if setup else None
+        state = setup() if setup else forget()
         for batch in sliced(batches):
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns)}
             out = work(columns, state) if setup else work(columns)

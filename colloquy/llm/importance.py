@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import map_rows, settle, sliced, texts_of, typed
+from colloquy.llm.common import forget, map_rows, settle, sliced, texts_of, typed
 from colloquy.llm.runs import hash_words, word_grams
 
 SLOTS = 1 << 13
@@ -62,6 +62,7 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
     """How often each slot occurs in docs (text): one vector a task, summed in two steps."""
 
     def run(batches):
+        forget()
         total = np.zeros(SLOTS, np.int64)
         for batch in sliced(batches):
             for text in texts_of(batch.column("text")):

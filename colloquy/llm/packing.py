@@ -9,7 +9,6 @@ length can make one group large; a group leaves a few sequences part-filled, a s
 
 from __future__ import annotations
 
-import functools
 import math
 import unicodedata
 import zlib
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import map_rows, settle, typed
+from colloquy.llm.common import kept, map_rows, settle, typed
 
 SEQUENCE = 2048
 END_ID = 0
@@ -30,6 +29,8 @@ GROUP = 25_000
 KEPT_BYTES, LONG = 144 << 20, 256
 #: What a kept word takes besides its characters and ids: two objects' heads and its place in the table.
 OVERHEAD = 190
+#: Chunks that are encoded together: what the tokenizer returns for one is many times its size.
+BATCH = 1000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -73,9 +74,11 @@ class WordCache(dict):
                     self.keep(chunk, self[chunk[:-1]] + self.tail[chunk[-1]])
                 else:
                     rest.add(chunk)
-        part = list(rest)
-        for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            self.keep(chunk, np.array(got.ids, "<u4").tobytes())
+        others = list(rest)
+        for at in range(0, len(others), BATCH):
+            part = others[at : at + BATCH]
+            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.keep(chunk, np.array(got.ids, "<u4").tobytes())
         for chunk, small in lowered.items():
             if chunk not in self:
                 self.keep(chunk, self[small])
@@ -83,8 +86,8 @@ class WordCache(dict):
 
     def words(self, new: list[str]) -> None:
         """Chunks of letters alone are one word each; its last token, and no other, ends a word."""
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             whole, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
@@ -119,12 +122,6 @@ def chunks_of(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-@functools.lru_cache(maxsize=1)
-def word_cache(path: str) -> "WordCache":
-    """One for each worker, whatever number of tasks it runs."""
-    return WordCache(path)
-
-
 #: Marks that end many words; each is a token of its own after a letter.
 TAILS = (",", ".")
 
@@ -149,7 +146,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
                     out[name].append(value)
         return out
 
-    return map_rows(typed(docs, doc_id="long", text="string"), PIECES, cut, lambda: word_cache(path))
+    return map_rows(typed(docs, doc_id="long", text="string"), PIECES, cut, lambda: kept(WordCache, path))
 
 
 def sum_of_squares(lengths: list[int] | np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,6 @@ has a fixed size.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import arrow_schema, map_rows, settle, sliced, texts_of, tidy, typed
+from colloquy.llm.common import arrow_schema, forget, kept, map_rows, settle, sliced, texts_of, tidy, typed
 from colloquy.llm.runs import hash_words, mixed, word_grams
 
 SHINGLE = 5
@@ -64,9 +63,8 @@ def name_of(plain: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(plain, digest_size=8).digest(), "little", signed=True)
 
 
-@functools.lru_cache(maxsize=1)
 def variates(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Three seeded tables for BANDS x ROWS samples, drawn once a worker: r and log c of Gamma(2, 1), b uniform."""
+    """Three seeded tables for BANDS x ROWS samples, r and log c of Gamma(2, 1), b uniform."""
     draw, shape = np.random.default_rng(seed), (VARIATES, BANDS * ROWS)
     r = draw.standard_gamma(2.0, shape, np.float32)
     c = draw.standard_gamma(2.0, shape, np.float32)
@@ -78,7 +76,7 @@ class Sampler:
 
     def __init__(self, idf: np.ndarray):
         self.idf = idf
-        self.r, self.c, self.b = variates(SEED)
+        self.r, self.c, self.b = kept(variates, SEED)
 
     def samples(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """A number for each sample, of the shingle and level that it picked.
@@ -132,6 +130,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Documents by hashed shingle, and all documents with words: sums of one vector a task, in two steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total, n = np.zeros(SLOTS, np.int64), 0
         for batch in sliced(batches):
             for text in texts_of(batch.column("text")):
@@ -198,7 +197,7 @@ def verified(docs: DataFrame, pairs: DataFrame, shared, least: float) -> DataFra
     both = left.join(heads, (F.col("b") == F.col("of")) & (F.col("b_doc") == F.col("of_doc"))).select("a", "b", "a_text", "b_text")
 
     def compare(columns, cache):
-        kept = []
+        found = []
         for a, b, x, y in zip(columns["a"].to_pylist(), columns["b"].to_pylist(), texts_of(columns["a_text"]), texts_of(columns["b_text"])):
             sides = []
             for node, text in ((a, x), (b, y)):
@@ -209,11 +208,11 @@ def verified(docs: DataFrame, pairs: DataFrame, shared, least: float) -> DataFra
                     cache[node] = weights_of(plain, shared.value) if name_of(plain) == node else None
                 sides.append(cache[node])
             if None not in sides and similarity(*sides) >= least:
-                kept.append((a, b))
+                found.append((a, b))
             for node, side in zip((a, b), sides):
                 if side is None:
                     cache.pop(node, None)  # another text under the same doc_id
-        return dict(zip(("a", "b"), zip(*kept))) if kept else None
+        return dict(zip(("a", "b"), zip(*found))) if found else None
 
     return map_rows(both, "a long, b long", compare, dict).distinct()
 
@@ -275,24 +274,24 @@ def linked_inside(docs: DataFrame, inside: DataFrame, shared, least: float, bloc
     key, kinds = ("band", "low", "high"), arrow_schema(docs.sparkSession, "a long, b long")
 
     def compare(band: int, within: bool, rows: list[dict]) -> list[tuple[int, int]]:
-        known, kept, sides = set(), [], []
+        known, members, sides = set(), [], []
         for row in rows:
             plain = plain_words((row["text"] or "").encode())
             if name_of(plain) == row["node"] and row["node"] not in known:  # a doc_id may have other texts too, or the same text again
                 known.add(row["node"])
-                kept.append(row)
+                members.append(row)
                 sides.append(weights_of(plain, shared.value))
-        if len({row["root"] for row in kept}) < 2:
+        if len({row["root"] for row in members}) < 2:
             return []
-        bands, own = np.array([row["bands"] for row in kept], np.int64), np.array([row["own"] for row in kept])
+        bands, own = np.array([row["bands"] for row in members], np.int64), np.array([row["own"] for row in members])
         lane = int(np.flatnonzero(bands[0] == band)[0])
 
         def asked(i: int) -> np.ndarray:
             """In the first bucket that the two share; of two blocks, only across."""
             return ((bands == bands[i]).argmax(axis=1) == lane) & ((own != own[i]) | within)
 
-        part = np.unique([row["root"] for row in kept], return_inverse=True)[1]
-        return [(kept[i]["root"], kept[j]["root"]) for i, j in links_in(sides, part, asked, least)]
+        part = np.unique([row["root"] for row in members], return_inverse=True)[1]
+        return [(members[i]["root"], members[j]["root"]) for i, j in links_in(sides, part, asked, least)]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in sliced(batches) for row in batch.to_pylist())
