@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -84,6 +85,13 @@ def forget() -> None:
     if KEPT:
         KEPT.clear()
         gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give back to the system what the C library holds free, the tokenizer's for one; only some C libraries can."""
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
 
 
 def map_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list] | None], setup: Callable | None = None) -> DataFrame:
