@@ -272,3 +272,18 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, trigger: int = TR
         return {"doc_id": columns["doc_id"]} | {n: v for n, v in out.items() if spans or n != "removed"}
 
     return map_rows(joined, RESULT + ", removed array<struct<start long, end long>>" * spans, apply)
+
+
+def oracle_sql(window: int = WINDOW, stretch: int = 2000) -> str:
+    """DuckDB SQL for drop_repeated_bytes() of documents: digests of all windows, cut from hexadecimal stretches of the texts."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, o, substring(h, 2 * o + 1, {2 * (stretch + window - 1)}) AS x FROM (SELECT r, h, unnest(generate_series(0, length(h) // 2 - {window}, {stretch})) AS o FROM d)),
+w AS (SELECT r, o + j AS i, md5(substring(x, 2 * j + 1, {2 * window})) AS v FROM (SELECT r, o, x, unnest(generate_series(0, least({stretch}, length(x) // 2 - {window - 1}) - 1)) AS j FROM p)),
+c AS (SELECT v FROM w GROUP BY v HAVING count(*) > 1),
+s AS (SELECT r, i FROM w SEMI JOIN c ON c.v = w.v),
+n AS (SELECT r, i, CASE WHEN i - lag(i) OVER q <= {window} THEN 0 ELSE 1 END AS fresh FROM s WINDOW q AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM n),
+e AS (SELECT r, min(i) AS a, max(i) + {window} AS b FROM g GROUP BY r, k),
+k AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS z FROM e),
+t AS (SELECT k.r, sum(b - a) AS gone, count(*) AS spans, max(b) AS z, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head FROM k JOIN d ON d.r = k.r GROUP BY k.r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t ON t.r = d.r"""

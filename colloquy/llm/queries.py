@@ -74,6 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from colloquy.llm import superkmers, urls
-
-    return {"op1_substring_dedup": superkmers.oracle_sql(), "op9_url_filters": urls.oracle_sql()}
+    from colloquy.llm import parsing, secrets, superkmers, urls
+
+    return {
+        "op1_substring_dedup": superkmers.oracle_sql(),
+        "op2_secret_scans": secrets.oracle_sql(),
+        "op5_suffix_array_dedup": parsing.oracle_sql(),
+        "op9_url_filters": urls.oracle_sql(),
+    }

@@ -10,6 +10,7 @@ expression engine's first match from a place is also the longest, which holds fo
 from __future__ import annotations
 
 import functools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,3 +157,26 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
     cleaned = map_rows(named, schema, clean)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+
+
+def sql_pattern(pattern: str, fold: bool) -> str:
+    """The pattern with both cases of each letter outside its classes, where fold says so; as an SQL string."""
+    both = re.sub(r"\\x20|\[[^]]*\]|[a-z]", lambda m: m[0] if len(m[0]) > 1 else f"[{m[0]}{m[0].upper()}]", pattern) if fold else pattern
+    return "'" + both.replace("'", "''") + "'"
+
+
+def oracle_sql(rules: tuple[Rule, ...] = BASE + MORE, base: tuple[Rule, ...] = BASE) -> str:
+    """DuckDB SQL for digest_spans() of secret_spans() of documents: each rule by a regular expression, places by what lies between its matches."""
+    found = " UNION ALL ".join(
+        f"SELECT r, {n} AS k, '{rule.kind}' AS kind, regexp_extract_all(t, {(p := sql_pattern(rule.pattern, rule.fold))}) AS m, string_split_regex(t, {p}) AS b,"
+        f" {rule.least} AS least, {sql_pattern('^' + rule.head, rule.fold) if rule.head else "''"} AS head FROM d"
+        for n, rule in enumerate(rules)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{rule.kind}') AS n_{rule.kind}" for rule in base)
+    span = "kind || ':' || s || ':' || e, ',' ORDER BY s, k"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+g AS (SELECT r, k, kind, m[i] AS w, least, head, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM f)),
+h AS (SELECT r, k, kind, s, s + length(w) AS e FROM g WHERE length(w) - length(regexp_extract(w, head)) >= least),
+a AS (SELECT r, {counts}, string_agg({span}) FILTER (WHERE k < {len(base)}) AS own, string_agg({span}) AS spans FROM h GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) AS n_{rule.kind}" for rule in base)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.r = d.r"""
