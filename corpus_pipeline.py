@@ -45,7 +45,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("minhash near-dedup", near_dedup), ("secret scans", secrets), ("mixing sources", mixing), ("best-fit packing", packing)]
 
-#: The stages draw, hash and tokenise, which SQL cannot express; tests hold run() against brute force.
+#: The stages draw, hash and tokenise, which SQL cannot express; tests hold near-dedup against brute force over its
+#: predecessor's rows, the other stages against their operators or properties, and run() by its number of rows.
 ORACLE_SQL = None
 
 
