@@ -69,16 +69,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.negatives import hard_negatives
+
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.llm.hamming import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from colloquy.llm import parsing, secrets, superkmers, urls
+    from colloquy.llm import collocations, negatives, parsing, secrets, superkmers, urls
 
     return {
         "op1_substring_dedup": superkmers.oracle_sql(),
         "op2_secret_scans": secrets.oracle_sql(),
         "op5_suffix_array_dedup": parsing.oracle_sql(),
         "op9_url_filters": urls.oracle_sql(),
+        "op11_hard_negatives": negatives.oracle_sql(),
+        "op12_phrase_collocations": collocations.oracle_sql(),
     }
