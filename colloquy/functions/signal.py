@@ -136,11 +136,14 @@ def formants(rows: np.ndarray, rate: int, corrected: bool = False) -> np.ndarray
     polynomials = predictors(autocorrelations(sharp, ORDER))
     if corrected:
         polynomials[:, 1:] *= -1
-    for i, p in enumerate(polynomials):
-        roots = np.roots(p)
-        hz = np.abs(np.angle(roots[np.abs(roots.imag) >= 1e-3])) * rate / (2 * np.pi)
-        hz = np.sort(hz[(hz >= 90.0) & (hz <= rate / 2 - 50)])[:3]
-        out[i, : len(hz)] = hz
+    # roots of all polynomials at once, as eigenvalues of their companion matrices
+    companions = np.zeros((len(rows), ORDER, ORDER))
+    companions[:, np.arange(1, ORDER), np.arange(ORDER - 1)] = 1.0
+    companions[:, 0, :] = -polynomials[:, 1:]
+    roots = np.linalg.eigvals(companions)
+    hz = np.abs(np.angle(roots)) * rate / (2 * np.pi)
+    hz = np.sort(np.where((np.abs(roots.imag) >= 1e-3) & (hz >= 90.0) & (hz <= rate / 2 - 50), hz, np.inf), axis=1)[:, :3]
+    out[:] = np.where(np.isfinite(hz), hz, 0.0)
     return out
 
 
@@ -173,19 +176,35 @@ def wobble(values: np.ndarray) -> float:
     return float(np.abs(np.diff(values)).mean() / values.mean()) if len(values) > 1 else 0.0
 
 
-def lagged_peak(later: np.ndarray, earlier: np.ndarray, rate: int, low_ms: float = 5.0, high_ms: float = 200.0) -> float:
-    """Greatest absolute correlation of later with earlier shifted by a lag in the range; all lags from one FFT."""
-    a, b = np.asarray(later, np.float64), np.asarray(earlier, np.float64)
-    if min(len(a), len(b)) < 64:
+def lagged_peak(later: np.ndarray, earlier: np.ndarray, rate: int, low_ms: float = 5.0, high_ms: float = 200.0, block: int = 1 << 15) -> float:
+    """Greatest absolute correlation of later with earlier shifted by a lag in the range.
+
+    Block by block of earlier: a block meets only the samples of later that some lag brings to it, so transforms have the size of a
+    block and the longest lag, however long the signals are. Cross spectra of all blocks are added up before one inverse transform.
+    """
+    if min(len(later), len(earlier)) < 64:
         return 0.0
-    a, b = a - a.mean(), b - b.mean()
-    low, high = max(1, int(rate * low_ms / 1000.0)), min(len(a) // 4, int(rate * high_ms / 1000.0))
-    scale = float(np.linalg.norm(a) * np.linalg.norm(b))
+    low, high = max(1, int(rate * low_ms / 1000.0)), min(len(later) // 4, int(rate * high_ms / 1000.0))
+    means = [float(np.mean(x, dtype=np.float64)) for x in (later, earlier)]
+    block = min(block, 1 << (len(earlier) - 1).bit_length())
+    n, squares, cross = 1 << int(block + max(high, 1)).bit_length(), np.zeros(2), 0
+    for at in range(0, max(len(earlier), len(later)), block):
+        a, b = np.asarray(later[at : at + block + high], np.float64) - means[0], np.asarray(earlier[at : at + block], np.float64) - means[1]
+        squares += (a[:block] @ a[:block], b @ b)
+        if high > low and len(b):
+            cross = cross + np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n))
+    scale = float(np.sqrt(squares[0]) * np.sqrt(squares[1]))
     if high <= low or scale <= TINY:
         return 0.0
-    n = 1 << int(len(a) + len(b) - 1).bit_length()
-    corr = np.fft.irfft(np.fft.rfft(a, n) * np.conj(np.fft.rfft(b, n)), n)
-    return float(np.abs(corr[low : high + 1]).max() / scale)
+    return float(np.abs(np.fft.irfft(cross, n)[low : high + 1]).max() / scale)
+
+
+def envelope_correlation(a: np.ndarray, b: np.ndarray, rate: int) -> float:
+    """Correlation of the loudness of two signals over their common frames; 0 under 3 frames or where one is even."""
+    x, y = (rms(frames(s, rate, 20.0, 10.0)) for s in (a, b))
+    n = min(len(x), len(y))
+    x, y = x[:n], y[:n]
+    return float(np.corrcoef(x, y)[0, 1]) if n >= 3 and x.std() > TINY and y.std() > TINY else 0.0
 
 
 def yield_decay_db(signal: np.ndarray, at: float, rate: int, window_ms: float = 150.0) -> float:

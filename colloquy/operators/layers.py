@@ -1,26 +1,32 @@
-"""Sound layers: features of decoded audio (sources.audio) and segments, one Python stage for each layer.
+"""Sound layers: features of decoded audio (sources.audio), from one Python stage that takes a call's sound once.
 
-A layer that is not asked for is not computed. Segments travel as one array a call beside its PCM; what
-comes back are numbers, and means and spreads over a call are taken in Spark where the rows are segments.
+heard() finds voice activity in a call and measures every layer that is asked for while it holds the call's samples; what leaves the stage
+are segments and numbers. So audio is decoded once and never shuffled. Segments given from elsewhere are joined
+to the audio once, for all layers.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import signal as dsp
-from colloquy.functions.stats import summary
-from colloquy.operators.intervals import channel, complement, difference, starts_inside
-from colloquy.operators.ledger import energy_mask, mask_segments
-from colloquy.operators.timing import caller_gaps, with_zeros
+from colloquy.functions import spans as sp
+from colloquy.functions.stats import or_zero
+from colloquy.operators.timing import caller_gaps
 from colloquy.schemas import ACOUSTIC_NAMES, AGENT, CALLER, INTERACTION_NAMES, MICRO_NAMES
 from colloquy.sources.audio import signal
 
-#: Energy detection: frame and hop in seconds, then gap joined and least length of a segment.
+#: Energy detection: frame and hop in seconds, then gap joined and least length of a segment; quantile of the floor and margin over it in dB.
 FRAME_S, HOP_S, JOIN_S, LEAST_S = 0.025, 0.010, 0.28, 0.12
+FLOOR, MARGIN_DB = 0.12, 14.0
+SEGMENT = "struct<seq: int, channel: int, start: double, end: double>"
+LAYERS = {"acoustic": ACOUSTIC_NAMES, "micro": MICRO_NAMES, "interaction": INTERACTION_NAMES}
 
 
 def good(audio: DataFrame) -> DataFrame:
@@ -32,16 +38,6 @@ def calls_of(audio: DataFrame) -> DataFrame:
     return good(audio).select("call_id", (F.greatest("n0", "n1") / F.col("sample_rate")).alias("duration"))
 
 
-def with_spans(audio: DataFrame, spans: DataFrame, name: str = "spans") -> DataFrame:
-    """audio with an array of (start, end) of each call, by start."""
-    grouped = spans.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
-    return good(audio).join(grouped, "call_id", "left")
-
-
-def spans_of(value) -> list[tuple[float, float]]:
-    return [] if value is None else [(s["start"], s["end"]) for s in value]
-
-
 def energy_levels(audio: DataFrame) -> DataFrame:
     """(call_id, channel, idx, db): the level of every frame of both channels."""
 
@@ -55,17 +51,120 @@ def energy_levels(audio: DataFrame) -> DataFrame:
     return good(audio).select("call_id", "pcm0", "pcm1", "sample_rate").mapInPandas(run, "call_id string, channel int, idx long, db double")
 
 
+def voiced(sound: np.ndarray, rate: int, least: float = LEAST_S) -> list[tuple[int, float, float]]:
+    """(seq, start, end) of one channel's voice activity by energy."""
+    db = dsp.energy_levels(sound, rate, FRAME_S, HOP_S).astype(np.float64)
+    return sp.runs(db > sp.quantile(db, FLOOR) + MARGIN_DB, HOP_S, JOIN_S, least) if len(db) else []
+
+
+def acoustic(caller: np.ndarray, rate: int, turns: list[sp.Span], duration: float) -> list[float]:
+    """ACOUSTIC_NAMES of a call. Segments of under 8 samples have no shape."""
+    shapes = []
+    for start, end in turns:
+        part = dsp.cut(caller, start, end, rate)
+        if len(part) >= 8:
+            shapes.append((float(dsp.rms(part)), dsp.zero_crossings(part), *dsp.spectrum_shape(part, rate), dsp.crest(part), end - start))
+    level, crossings, centroid, flatness, high_low, crest, length = (sp.spread(np.array(x)) for x in zip(*shapes)) if shapes else ((0.0, 0.0, 0.0),) * 7
+    pause = sp.spread(sp.pauses(turns, duration, whole_if_silent=False))
+    return [*level, *crossings[:2], *centroid[:2], *flatness[:2], *high_low[:2], *crest, pause[0], pause[2], length[2]]
+
+
+def micro(caller: np.ndarray, rate: int, turns: list[sp.Span], duration: float, corrected: bool = False) -> list[float]:
+    """MICRO_NAMES of a call: frame tracks of all caller segments, in their order. corrected: see signal.formants."""
+    entropy, tracks = sp.bits_of(sp.pauses(turns, duration, whole_if_silent=True)), []
+    for start, end in turns:
+        rows = dsp.frames(dsp.cut(caller, start, end, rate), rate, 25.0, 10.0)
+        if len(rows) and rows.shape[1] >= 32:
+            f0, hnr = dsp.pitches(rows, rate)
+            tracks.append((f0, hnr, dsp.rms(rows), dsp.formants(rows, rate, corrected), dsp.cepstra(rows, rate)))
+    if not tracks:
+        return [0.0] * 11 + [entropy, 0.0]
+    f0, hnr, level, resonances, cepstra = (np.concatenate(t) for t in zip(*tracks))
+    f = [sp.spread(resonances[resonances[:, i] > 0, i])[1] for i in range(3)]
+    twice = dsp.deltas(dsp.deltas(cepstra)) if len(cepstra) >= 3 else np.zeros(1)
+    return [*f, float(np.mean(f)), dsp.wobble(f0), dsp.wobble(level), *sp.spread(f0[f0 > 0])[1:], *sp.spread(hnr[hnr > 0]), entropy, float(twice.std())]
+
+
+def interaction(caller: np.ndarray, agent: np.ndarray, rate: int, turns: list[sp.Span], others: list[sp.Span], duration: float) -> list[float]:
+    """INTERACTION_NAMES of a call: breath, entrainment, yielding to interruptions, echo of the agent in the caller's channel."""
+    long_gaps = [(before, start) for before, (start, end) in zip([0.0, *(e for _, e in turns)], turns) if end - start >= 2.0 and start - before >= 0.03]
+    talk = sum(e - s for s, e in turns)
+    breaths = sum(dsp.is_breath(caller, rate, s, e) for s, e in sp.free(turns, duration))
+    before_long = sum(dsp.is_breath(caller, rate, s, e) for s, e in long_gaps)
+    decays = sp.spread(np.array([dsp.yield_decay_db(caller, t, rate) for t in sp.inside([s for s, _ in others], turns)]))
+    bleed = sp.spread(np.array([dsp.lagged_peak(dsp.cut(caller, s, e, rate), dsp.cut(agent, s, e, rate), rate) for s, e in sp.alone(others, turns) if e - s >= 0.08]))
+    n = min(len(caller), len(agent))
+    together = dsp.envelope_correlation(caller, agent, rate)
+    return [breaths / talk if talk > 0 else 0.0, before_long / len(long_gaps) if long_gaps else 0.0, together, *decays[:2], dsp.lagged_peak(caller[:n], agent[:n], rate), bleed[0]]
+
+
+def heard(audio: DataFrame, segments: DataFrame | None = None, layers: Sequence[str] = (), least: float = LEAST_S, corrected: bool = False) -> DataFrame:
+    """(call_id, error, duration, segments, then a struct for each layer of LAYERS asked for and times) for each row of audio.
+
+    segments (call_id, seq, channel, start, end) replaces detection by energy. times has the milliseconds of each layer, and of detection as
+    segments. Rows with an error have nulls.
+    """
+    asked = [n for n in LAYERS if n in layers]
+    timed = ["segments", *asked]
+    schema = f"call_id string, error string, duration double, segments array<{SEGMENT}>, " + "".join(f"{n} struct<{', '.join(f'{x}: double' for x in LAYERS[n])}>, " for n in asked)
+    schema += f"times struct<{', '.join(f'{n}: double' for n in timed)}>"
+    given = segments is not None
+
+    def one(row) -> tuple:
+        rate, caller, agent = int(row.sample_rate), signal(row.pcm0), signal(row.pcm1)
+        duration, times, found = max(len(caller), len(agent)) / rate, [], []
+        began = time.perf_counter()
+        if given:
+            spoken = [] if row.given is None else [(s["start"], s["seq"], s["channel"], s["end"]) for s in row.given]
+        else:
+            spoken = [(start, seq, ch, end) for ch, sound in ((CALLER, caller), (AGENT, agent)) for seq, start, end in voiced(sound, rate, least)]
+        spoken = sorted(spoken)
+        turns, others = ([(start, end) for start, _, ch, end in spoken if ch == side] for side in (CALLER, AGENT))
+        for name in timed:
+            if name == "acoustic":
+                found.append(acoustic(caller, rate, turns, duration))
+            elif name == "micro":
+                found.append(micro(caller, rate, turns, duration, corrected))
+            elif name == "interaction":
+                found.append(interaction(caller, agent, rate, turns, others, duration))
+            times.append((time.perf_counter() - began) * 1000)
+            began = time.perf_counter()
+        columns = [dict(zip(LAYERS[n], x)) for n, x in zip(asked, found)]
+        return row.call_id, None, duration, [dict(zip(("start", "seq", "channel", "end"), s)) for s in spoken], *columns, dict(zip(timed, times))
+
+    def run(batches):
+        names = ["call_id", "error", "duration", "segments", *asked, "times"]
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                nothing = (row.call_id, row.error, *[None] * (len(names) - 2))
+                yield pd.DataFrame([one(row) if row.error is None else nothing], columns=names)
+
+    wanted = audio.select("call_id", "pcm0", "pcm1", "sample_rate", "error")
+    if given:
+        mine = segments.groupBy("call_id").agg(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "channel", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))).alias("given"))
+        wanted = wanted.join(mine, "call_id", "left")
+    return wanted.mapInPandas(run, schema)
+
+
+def segments_of(rows: DataFrame) -> DataFrame:
+    """Segments (call_id, seq, channel, start, end) of heard()."""
+    return rows.select("call_id", F.explode("segments").alias("s")).select("call_id", F.col("s.seq").cast("long").alias("seq"), "s.channel", "s.start", "s.end")
+
+
 def energy_segments(audio: DataFrame, least: float = LEAST_S) -> DataFrame:
     """Voice activity by energy: segments (call_id, seq, channel, start, end) of least seconds or more."""
-    return mask_segments(energy_mask(energy_levels(audio)), HOP_S, JOIN_S, least)
+    return segments_of(heard(good(audio), least=least))
 
 
 def hybrid_segments(audio: DataFrame, least: float = LEAST_S, fallback=None) -> DataFrame:
     """Energy segments, and for channels where there are none those of fallback(audio), a segment detector."""
     found = energy_segments(audio, least)
-    if fallback is None:
-        return found
-    return found.unionByName(fallback(audio).join(found.select("call_id", "channel").distinct(), ["call_id", "channel"], "left_anti").select(*found.columns))
+    return found if fallback is None else with_fallback(found, fallback(audio))
+
+
+def with_fallback(found: DataFrame, others: DataFrame) -> DataFrame:
+    """found, and the segments of others on channels of calls where found has none."""
+    return found.unionByName(others.join(found.select("call_id", "channel").distinct(), ["call_id", "channel"], "left_anti").select(*found.columns))
 
 
 def voice_activity(audio: DataFrame, backend: str = "hybrid", least: float = LEAST_S, fallback=None) -> DataFrame:
@@ -79,67 +178,21 @@ def voice_activity(audio: DataFrame, backend: str = "hybrid", least: float = LEA
     return energy_segments(audio, least) if backend == "energy" else hybrid_segments(audio, least, fallback)
 
 
-def segment_shapes(audio: DataFrame, segments: DataFrame) -> DataFrame:
-    """(call_id, length, rms, zcr, centroid, flatness, hf_lf, crest) of caller segments with 8 samples or more."""
-    columns = ["call_id", "length", "rms", "zcr", "centroid", "flatness", "hf_lf", "crest"]
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                sound = signal(row.pcm0)
-                for start, end in spans_of(row.spans):
-                    part = dsp.cut(sound, start, end, row.sample_rate)
-                    if len(part) >= 8:
-                        rows.append((row.call_id, end - start, float(dsp.rms(part)), dsp.zero_crossings(part), *dsp.spectrum_shape(part, row.sample_rate), dsp.crest(part)))
-            yield pd.DataFrame(rows, columns=columns)
-
-    wanted = with_spans(audio, channel(segments, CALLER)).select("call_id", "pcm0", "sample_rate", "spans")
-    return wanted.mapInPandas(run, "call_id string, " + ", ".join(f"{c} double" for c in columns[1:]))
+def _layer(name: str, audio: DataFrame, segments: DataFrame, **settings) -> DataFrame:
+    rows = heard(good(audio), segments, (name,), **settings)
+    return rows.select("call_id", *[or_zero(F.col(f"{name}.{n}")).alias(n) for n in LAYERS[name]])
 
 
 def acoustic_features(audio: DataFrame, segments: DataFrame) -> DataFrame:
-    calls = calls_of(audio)
-    parts = (("rms", "caller_rms", "mean std cv"), ("zcr", "caller_zcr", "mean std"), ("centroid", "caller_spectral_centroid", "mean std"), ("flatness", "caller_spectral_flatness", "mean std"), ("hf_lf", "caller_hf_lf_ratio", "mean std"), ("crest", "caller_crest_factor", "mean std cv"), ("length", "caller_segment_length", "cv"))
-    shapes = segment_shapes(audio, segments).groupBy("call_id").agg(*[c.alias(n) for x, prefix, which in parts for n, c in summary(F.col(x), prefix, which, seconds=False).items()])
-    gaps = caller_gaps(segments, calls, whole_if_silent=False).groupBy("call_id").agg(*[c.alias(n) for n, c in summary(F.col("gap"), "caller_intra_silence_gap", "mean cv").items()])
-    return with_zeros(calls, [shapes, gaps], ACOUSTIC_NAMES)
+    return _layer("acoustic", audio, segments)
 
 
 def micro_features(audio: DataFrame, segments: DataFrame, corrected: bool = False) -> DataFrame:
-    """Frame tracks of all caller segments, in their order, to one row a call. corrected: see signal.formants."""
-    calls = calls_of(audio)
-    names = [n for n in MICRO_NAMES if n != "caller_pause_entropy"]
-
-    def spread(x: np.ndarray) -> tuple[float, float, float]:
-        if not len(x):
-            return 0.0, 0.0, 0.0
-        mean, std = float(x.mean()), float(x.std())
-        return mean, std, std / mean if mean > 0 else 0.0
-
-    def measure(sound: np.ndarray, rate: int, spans: list) -> tuple:
-        tracks = []
-        for start, end in spans:
-            rows = dsp.frames(dsp.cut(sound, start, end, rate), rate, 25.0, 10.0)
-            if len(rows) and rows.shape[1] >= 32:
-                f0, hnr = dsp.pitches(rows, rate)
-                tracks.append((f0, hnr, dsp.rms(rows), dsp.formants(rows, rate, corrected), dsp.cepstra(rows, rate)))
-        if not tracks:
-            return (0.0,) * len(names)
-        f0, hnr, level, resonances, cepstra = (np.concatenate(t) for t in zip(*tracks))
-        f = [spread(resonances[resonances[:, i] > 0, i])[1] for i in range(3)]
-        twice = dsp.deltas(dsp.deltas(cepstra)) if len(cepstra) >= 3 else np.zeros(1)
-        _, f0_std, f0_cv = spread(f0[f0 > 0])
-        return (*f, float(np.mean(f)), dsp.wobble(f0), dsp.wobble(level), f0_std, f0_cv, *spread(hnr[hnr > 0]), float(twice.std()))
+    return _layer("micro", audio, segments, corrected=corrected)
 
-    def run(batches):
-        for batch in batches:
-            rows = [(r.call_id, *measure(signal(r.pcm0), r.sample_rate, spans_of(r.spans))) for r in batch.itertuples()]
-            yield pd.DataFrame(rows, columns=["call_id", *names])
 
-    wanted = with_spans(audio, channel(segments, CALLER)).select("call_id", "pcm0", "sample_rate", "spans")
-    measured = wanted.mapInPandas(run, "call_id string, " + ", ".join(f"{n} double" for n in names))
-    return with_zeros(calls, [measured, pause_entropy(segments, calls)], MICRO_NAMES)
+def interaction_features(audio: DataFrame, segments: DataFrame) -> DataFrame:
+    return _layer("interaction", audio, segments)
 
 
 def pause_entropy(segments: DataFrame, calls: DataFrame) -> DataFrame:
@@ -150,45 +203,3 @@ def pause_entropy(segments: DataFrame, calls: DataFrame) -> DataFrame:
     ranged = gaps.join(gaps.groupBy("call_id").agg(F.min("gap").alias("low"), F.max("gap").alias("high")), "call_id")
     bin_, bits = entropy(F.col("gap"), F.col("low"), F.col("high"), ["call_id"])
     return ranged.groupBy("call_id", bin_.alias("bin")).agg(F.count("*").alias("n")).select("call_id", bits.alias("bits")).groupBy("call_id").agg(F.sum("bits").alias("caller_pause_entropy"))
-
-
-def interaction_features(audio: DataFrame, segments: DataFrame) -> DataFrame:
-    """Breath, entrainment, yielding to interruptions, echo of the agent in the caller's channel."""
-    calls = calls_of(audio)
-    caller, agent = channel(segments, CALLER), channel(segments, AGENT)
-    quiet = complement(caller, calls)
-    order = F.array_sort(F.collect_list(F.struct("start", "end")))
-    turns = caller.groupBy("call_id").agg(order.alias("turns"))
-    interrupts = starts_inside(agent, caller).select("call_id", "start", F.col("start").alias("end"))
-    alone = difference(segments).where(F.col("end") - F.col("start") >= 0.08)
-    rows = with_spans(audio, quiet, "quiet").join(turns, "call_id", "left")
-    for name, spans in (("interrupts", interrupts), ("alone", alone)):
-        rows = rows.join(spans.groupBy("call_id").agg(order.alias(name)), "call_id", "left")
-
-    def envelope_correlation(a: np.ndarray, b: np.ndarray, rate: int) -> float:
-        x, y = (dsp.rms(dsp.frames(s, rate, 20.0, 10.0)) for s in (a, b))
-        n = min(len(x), len(y))
-        x, y = x[:n], y[:n]
-        return float(np.corrcoef(x, y)[0, 1]) if n >= 3 and x.std() > dsp.TINY and y.std() > dsp.TINY else 0.0
-
-    def measure(row) -> tuple:
-        a, b, rate = signal(row.pcm0), signal(row.pcm1), row.sample_rate
-        spoken = spans_of(row.turns)
-        long_gaps = [(before, start) for before, (start, end) in zip([0.0, *(e for _, e in spoken)], spoken) if end - start >= 2.0 and start - before >= 0.03]
-        talk = sum(e - s for s, e in spoken)
-        breaths = sum(dsp.is_breath(a, rate, s, e) for s, e in spans_of(row.quiet))
-        before_long = sum(dsp.is_breath(a, rate, s, e) for s, e in long_gaps)
-        decays = [dsp.yield_decay_db(a, s, rate) for s, _ in spans_of(row.interrupts)]
-        bleed = [dsp.lagged_peak(dsp.cut(a, s, e, rate), dsp.cut(b, s, e, rate), rate) for s, e in spans_of(row.alone)]
-        n = min(len(a), len(b))
-        return (
-            breaths / talk if talk > 0 else 0.0, before_long / len(long_gaps) if long_gaps else 0.0, envelope_correlation(a, b, rate), float(np.mean(decays)) if decays else 0.0,
-            float(np.std(decays)) if decays else 0.0, dsp.lagged_peak(a[:n], b[:n], rate), float(np.mean(bleed)) if bleed else 0.0,
-        )
-
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame([(r.call_id, *measure(r)) for r in batch.itertuples()], columns=["call_id", *INTERACTION_NAMES])
-
-    wanted = rows.select("call_id", "pcm0", "pcm1", "sample_rate", "quiet", "turns", "interrupts", "alone")
-    return with_zeros(calls, [wanted.mapInPandas(run, "call_id string, " + ", ".join(f"{n} double" for n in INTERACTION_NAMES))], INTERACTION_NAMES)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.stats import or_zero
-from colloquy.operators.intervals import asof_forward, sweep
+from colloquy.operators.intervals import sweep
 from colloquy.schemas import AGENT, CALLER, OVERLAP, SILENCE, SPEECH
 
 FRAME_S = 0.032
@@ -38,23 +38,25 @@ def ledger(segments: DataFrame, calls: DataFrame, frame=FRAME_S) -> DataFrame:
 
 
 def conversation_metrics(events: DataFrame) -> DataFrame:
-    """One row a call from ledger events with start and end.
+    """One row a call from ledger events with start and end, read backwards once.
 
     The two latencies keep the names that reports use: the one called agent's is measured to the caller's
     next turn after an agent's, and the other way round.
     """
-    length = F.col("end") - F.col("start")
+    length, order = F.col("end") - F.col("start"), Window.partitionBy("call_id").orderBy(F.desc("event_idx"))
+    spoken, seen = F.col("type") == SPEECH, {}
+    for side in (CALLER, AGENT):
+        starts = F.when(spoken & (F.col("channel") == side), F.col("start"))
+        # the next event may begin where this one ends, which is no later time; then the one after it counts
+        near, far = (F.last(starts, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -n)) for n in (1, 2))
+        seen[f"next_{side}"] = F.when(near > F.col("end"), near).otherwise(far)
     total = lambda kind, ch=None: or_zero(F.sum(F.when((F.col("type") == kind) & (F.lit(True) if ch is None else F.col("channel") == ch), length)))
-    sums = events.groupBy("call_id").agg(
+    wait = lambda trigger, responder: or_zero(F.avg(F.when(spoken & (F.col("channel") == trigger), F.col(f"next_{responder}") - F.col("end"))))
+    return events.withColumns(seen).groupBy("call_id").agg(
         total(SPEECH, CALLER).alias("caller_talk_s"), total(SPEECH, AGENT).alias("agent_talk_s"), total(OVERLAP).alias("overlap_s"), total(SILENCE).alias("silence_s"),
         F.count_if(F.col("type") == OVERLAP).alias("interruption_count"),
+        wait(AGENT, CALLER).alias("mean_agent_response_latency_s"), wait(CALLER, AGENT).alias("mean_caller_response_latency_s"),
     )
-    spoken = events.where(F.col("type") == SPEECH).select("call_id", F.col("event_idx").alias("seq"), "channel", "start", "end")
-    for name, trigger, responder in (("mean_agent_response_latency_s", AGENT, CALLER), ("mean_caller_response_latency_s", CALLER, AGENT)):
-        ends = spoken.where(F.col("channel") == trigger).select("call_id", F.col("end").alias("at"))
-        gaps = asof_forward(ends, spoken.where(F.col("channel") == responder)).groupBy("call_id").agg(F.avg(F.col("r_start") - F.col("at")).alias(name))
-        sums = sums.join(gaps, "call_id", "left").withColumn(name, or_zero(F.col(name)))
-    return sums
 
 
 def mask_segments(mask: DataFrame, frame: float, gap: float, least: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.stats import or_zero, ratio, summary
-from colloquy.operators.intervals import asof_forward, channel, overlap_join, overlap_length
+from colloquy.operators.intervals import channel
 from colloquy.schemas import AGENT, CALLER, RECOVERY_NAMES, TIMING_NAMES
 
 
@@ -25,51 +25,91 @@ def with_zeros(calls: DataFrame, parts: list[DataFrame], names: tuple[str, ...],
     return out.select("call_id", *extra, *[or_zero(F.col(n)).alias(n) for n in names])
 
 
-def timing_features(segments: DataFrame, calls: DataFrame) -> DataFrame:
-    """The timing layer for calls (call_id, duration), in the unit of both; names end in _s for seconds."""
-    length = F.col("end") - F.col("start")
-    sides = {"caller": CALLER, "agent": AGENT}
-    spoken = segments.groupBy("call_id").agg(
-        *[c.alias(n) for side, ch in sides.items() for n, c in summary(F.when(F.col("channel") == ch, length), f"{side}_utterance", "mean std median cv", signed=True).items()],
-        *[or_zero(F.sum(F.when(F.col("channel") == ch, length))).alias(f"{side}_speech") for side, ch in sides.items()],
-        *[F.count_if(F.col("channel") == ch).alias(f"{side}_segment_count") for side, ch in sides.items()],
-    )
-    gap = lambda ch: F.when(F.col("channel") == ch, F.col("gap"))
-    positive = F.when(F.col("gap") >= 0, gap(CALLER))
-    switches = floor_switches(segments).groupBy("call_id").agg(*[
-        c.alias(n)
-        for x, prefix, parts in ((gap(CALLER), "caller_response_latency", "mean std cv median min max"), (positive, "caller_response_latency_pos", "mean median min max cv"), (gap(AGENT), "agent_response_latency", "mean std cv"))
-        for n, c in summary(x, prefix, parts, signed=True).items()
-    ])
-    pairs = overlap_join(channel(segments, CALLER), channel(segments, AGENT)).groupBy("call_id").agg(F.sum(overlap_length()).alias("overlap_total_s"), F.count("*").alias("overlap_event_count"))
+def spoken(segments: DataFrame, carried: tuple[str, ...] = (), short=1.0) -> DataFrame:
+    """(call_id, carried, what timing and recovery features are made of): one exchange by call, then ordered passes over it.
+
+    segments: (call_id, seq, channel, start, end), a row with nulls for a call that has none, and carried columns, of
+    which a call's first that is not null is kept. Each segment gives two boundaries. Read in order of time they count, at any of them, how
+    many segments of a channel have begun and ended, which says how many pairs overlap without a pair ever being a row; read
+    backwards they give the next start.
+    """
+    caller, agent = F.col("channel") == CALLER, F.col("channel") == AGENT
+    order = Window.partitionBy("call_id").orderBy("start", "seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = segments.select(
+        "call_id", *carried, "channel", "start", "end", "seq", F.row_number().over(order).alias("number"),
+        (F.col("start") - F.lag("end").over(order)).alias("gap"), F.lag("channel").over(order).alias("channel_before"),
+    )
+    # at one instant: ends, then segments of no length (caller's first, each begun and ended), then starts, the agent's first
+    none = F.col("end") <= F.col("start")
+    opened = F.when(none, F.when(caller, 1).otherwise(2)).when(agent, 3).otherwise(4)
+    closed = F.when(none, F.when(caller, 1).otherwise(2)).otherwise(0)
+    edges = F.array(F.struct(F.col("start").alias("t"), opened.alias("kind"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("t"), closed.alias("kind"), F.lit(False).alias("opens")))
+    events = rows.withColumn("edge", F.explode(edges)).select("*", "edge.*")
+    # in both directions what opens at an instant comes after what closes there: the next start is a later one
+    on = Window.partitionBy("call_id").orderBy("t", "kind", F.desc("opens"), "number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("call_id").orderBy(F.desc("t"), "opens", F.desc("number")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = lambda which: F.sum(F.when(which, 1).otherwise(0)).over(on)
+    opens = F.col("opens")
+    counted = events.withColumns({
+        "c_begun": so_far(caller & opens), "c_ended": so_far(caller & ~opens), "a_begun": so_far(agent & opens), "a_ended": so_far(agent & ~opens),
+        "reach": F.max(F.when(agent & opens, F.col("end"))).over(on), "lasts": F.lead("t").over(Window.partitionBy("call_id").orderBy("t", "kind", F.desc("opens"), "number")) - F.col("t"),
+        "next": F.last(F.when(caller & opens, F.struct("start", "end")), ignorenulls=True).over(ahead),
+    })
+    at_open, at_close = (lambda x: F.max(F.when(opens, x))), (lambda x: F.max(F.when(~opens, x)))  # of a segment's two boundaries
+    pieces = counted.groupBy("call_id", "number").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in carried], *[F.first(c).alias(c) for c in ("channel", "start", "end", "gap", "channel_before")],
+        at_open(F.when(caller, F.col("a_begun") - F.col("a_ended"))).alias("met"),
+        (at_close(F.when(caller, F.col("a_begun")).otherwise(F.col("c_begun"))) - at_open(F.when(caller, F.col("a_ended")).otherwise(F.col("c_ended")))).alias("pairs"),
+        at_close(F.when(caller & (F.col("end") - F.col("start") < F.lit(short)) & (F.col("reach") > F.col("start")), 1)).alias("back"),
+        at_close(F.when(agent, F.col("next.start") - F.col("end"))).alias("wait"), at_close(F.when(agent, F.col("next.end") - F.col("next.start"))).alias("answer"),
+        F.sum(F.col("lasts") * (F.col("c_begun") - F.col("c_ended")) * (F.col("a_begun") - F.col("a_ended"))).alias("shared"),
+    )
+    length, sides = F.col("end") - F.col("start"), {"caller": CALLER, "agent": AGENT}
+    switch = lambda ch: F.when((F.col("channel") == ch) & (F.col("channel_before") != ch), F.col("gap"))
+    # an agent's segment counts once for each caller's segment that it overlaps
+    paired = F.when(agent & F.col("wait").isNotNull(), F.col("pairs"))
+    n, total = F.sum(paired), F.sum(paired * F.col("wait"))
+    mean, spread = F.try_divide(total, n), F.sqrt(F.greatest(F.try_divide(F.sum(paired * F.pow(F.col("wait") - F.col("wait_mean"), F.lit(2))), n), F.lit(0.0)))
+    # the mean first, so that the spread is taken around it
+    pieces = pieces.withColumn("wait_mean", (F.try_divide(total.over(whole := Window.partitionBy("call_id")), n.over(whole))))
+    named = {}
+    for side, ch in sides.items():
+        named |= summary(F.when(F.col("channel") == ch, length), f"{side}_utterance", "mean std median cv", signed=True)
+        named |= {f"{side}_speech": or_zero(F.sum(F.when(F.col("channel") == ch, length))), f"{side}_segment_count": F.count_if(F.col("channel") == ch)}
+    positive = F.when(F.col("gap") >= 0, switch(CALLER))
+    for x, prefix, parts in ((switch(CALLER), "caller_response_latency", "mean std cv median min max"), (positive, "caller_response_latency_pos", "mean median min max cv"), (switch(AGENT), "agent_response_latency", "mean std cv")):
+        named |= summary(x, prefix, parts, signed=True)
+    named |= summary(F.col("wait"), "agent_aligned_recovery", "count mean std cv") | summary(F.col("answer"), "agent_aligned_recovery_utterance", "mean std cv")
+    named |= {
+        "overlap_total_s": or_zero(F.sum("shared")), "overlap_event_count": or_zero(F.sum(F.when(caller, F.col("pairs")))),
+        "post_overlap_recovery_mean_s": or_zero(mean), "post_overlap_recovery_cv": F.when(mean > 0, or_zero(F.try_divide(spread, mean))).otherwise(0.0), "post_overlap_recovery_count": or_zero(n),
+        "caller_barge_in_count": or_zero(F.sum("met")), "caller_backchannel_count": or_zero(F.sum("back")),
+        "agent_turn_fragmentation": ratio(F.count_if(agent) * F.count_if(agent), F.sum(F.when(agent, length))),
+    }
+    return pieces.groupBy("call_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in carried], *[c.alias(n) for n, c in named.items()])
+
+
+def with_ratios(calls: DataFrame) -> DataFrame:
+    """Rows of spoken() with a duration, and the timing features that are ratios to it or between the sides."""
     d = F.greatest(F.col("duration").cast("double"), F.lit(1e-6))
     caller, agent, shared = (or_zero(F.col(c)) for c in ("caller_speech", "agent_speech", "overlap_total_s"))
     n_caller, n_agent = or_zero(F.col("caller_segment_count")), or_zero(F.col("agent_segment_count"))
-    made = calls.join(spoken, "call_id", "left").join(switches, "call_id", "left").join(pairs, "call_id", "left").withColumns({
+    return calls.withColumns({
         "caller_talk_ratio": caller / d, "agent_talk_ratio": agent / d, "overlap_ratio": shared / d, "silence_ratio": F.greatest(F.lit(0.0), 1.0 - (caller + agent - shared) / d),
         "turn_ratio": n_caller / F.greatest(n_agent, F.lit(1.0)), "caller_vs_agent_speech": caller / F.greatest(agent, F.lit(1e-6)),
         "caller_turns_per_min": n_caller / (d / 60.0), "caller_sec_per_turn": caller / F.greatest(n_caller, F.lit(1.0)),
     })
-    return with_zeros(made, [], TIMING_NAMES)
+
+
+def timing_features(segments: DataFrame, calls: DataFrame) -> DataFrame:
+    """The timing layer for calls (call_id, duration), in the unit of both; names end in _s for seconds."""
+    return with_zeros(with_ratios(calls.join(spoken(segments), "call_id", "left")), [], TIMING_NAMES)
 
 
 def recovery_features(segments: DataFrame, calls: DataFrame, short=1.0) -> DataFrame:
     """How the caller takes the floor back after agent turns and overlaps. short: length below which an overlapping turn is a backchannel."""
-    caller, agent = channel(segments, CALLER), channel(segments, AGENT)
-    length = F.col("r_end") - F.col("r_start")
-    ends = agent.select("call_id", F.col("end").alias("at"))
-    stops = asof_forward(ends, caller).withColumn("wait", F.col("r_start") - F.col("at")).groupBy("call_id").agg(*[
-        c.alias(n)
-        for x, prefix, parts in ((F.col("wait"), "agent_aligned_recovery", "count mean std cv"), (length, "agent_aligned_recovery_utterance", "mean std cv"))
-        for n, c in summary(x, prefix, parts).items()
-    ])
-    pairs = overlap_join(caller, agent)
-    after = asof_forward(pairs.select("call_id", F.col("b_end").alias("at")), caller).withColumn("wait", F.col("r_start") - F.col("at"))
-    after = after.groupBy("call_id").agg(*[c.alias(n) for n, c in summary(F.col("wait"), "post_overlap_recovery", "mean cv count").items()])
-    barge = pairs.groupBy("call_id").agg(F.count_if(F.col("a_start") >= F.col("b_start")).alias("caller_barge_in_count"))
-    back = overlap_join(caller.where(F.col("end") - F.col("start") < F.lit(short)), agent, how="left_semi").groupBy("call_id").agg(F.count("*").alias("caller_backchannel_count"))
-    whole = agent.groupBy("call_id").agg(ratio(F.count("*") * F.count("*"), F.sum(F.col("end") - F.col("start"))).alias("agent_turn_fragmentation"))
-    return with_zeros(calls, [stops, after, barge, back, whole], RECOVERY_NAMES)
+    return with_zeros(calls, [spoken(segments, short=short)], RECOVERY_NAMES)
 
 
 def caller_gaps(segments: DataFrame, calls: DataFrame, whole_if_silent: bool) -> DataFrame:

@@ -9,33 +9,44 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.stats import or_zero
 from colloquy.operators.evaluation import vad_benchmark
-from colloquy.operators.layers import LEAST_S, acoustic_features, calls_of, interaction_features, micro_features, voice_activity
+from colloquy.operators.layers import LAYERS, LEAST_S, calls_of, good, heard, voice_activity
 from colloquy.operators.ledger import FRAME_S, conversation_metrics, ledger
 from colloquy.operators.scoring import score, train
-from colloquy.operators.timing import recovery_features, timing_features
-from colloquy.schemas import FEATURE_NAMES, INTERACTION_NAMES, MICRO_NAMES
+from colloquy.operators.timing import spoken, with_ratios
+from colloquy.schemas import FEATURE_NAMES, INTERACTION_NAMES, MICRO_NAMES, RECOVERY_NAMES, TIMING_NAMES
 from colloquy.sources.audio import requests
 from colloquy.sources.dataset import Dataset
 
 
+def measured(audio: DataFrame, segments: DataFrame | None = None, heavy: bool = True, backend: str = "hybrid", least: float = LEAST_S, fallback=None) -> DataFrame:
+    """features() with error and times, a row for every row of audio; those with an error have zeros.
+
+    Sound is decoded and measured in one stage; what it yields, segments and numbers, goes through one exchange by call for
+    the layers about who talks when. Only segments from elsewhere are joined to sound, once.
+    """
+    if segments is None and (backend == "neural" or fallback is not None or backend not in ("energy", "hybrid")):
+        segments = voice_activity(audio, backend, least, fallback)
+    layers = tuple(LAYERS) if heavy else ("acoustic",)
+    rows = heard(audio, segments, layers, least)
+    # a segment a row, the first with the call's own numbers
+    own = F.struct("error", "duration", *layers, "times")
+    split = rows.select("call_id", own.alias("own"), F.posexplode_outer("segments").alias("at", "s"))
+    split = split.select("call_id", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("own")).alias("own"), "s.seq", "s.channel", "s.start", "s.end")
+    found = with_ratios(spoken(split, ("own",)).select("*", "own.error", "own.duration", "own.times"))
+    named = {"duration_s": or_zero(F.col("duration"))} | {n: or_zero(F.col(n)) for n in (*TIMING_NAMES, *RECOVERY_NAMES)}
+    named |= {n: or_zero(F.col(f"own.{layer}.{n}")) if layer in layers else F.lit(0.0) for layer, names in LAYERS.items() for n in names}
+    return found.select("call_id", "error", "times", *[named[n].alias(n) for n in FEATURE_NAMES])
+
+
 def features(audio: DataFrame, segments: DataFrame | None = None, heavy: bool = True, backend: str = "hybrid", least: float = LEAST_S, fallback=None) -> DataFrame:
-    """One row of the 85 features for each call of audio that could be read.
+    """One row of the 85 features for each call of audio that could be read; call_ids are different.
 
     segments replaces voice activity detection by the named backend; least and fallback are its own. Without heavy the micro and interaction
-    layers are 0 and their stages are not run.
+    layers are 0 and are not computed.
     """
-    segments = voice_activity(audio, backend, least, fallback) if segments is None else segments
-    calls = calls_of(audio)
-    out = calls.withColumnRenamed("duration", "duration_s")
-    layers = [timing_features(segments, calls), acoustic_features(audio, segments), recovery_features(segments, calls)]
-    if heavy:
-        layers += [micro_features(audio, segments), interaction_features(audio, segments)]
-    for layer in layers:
-        out = out.join(layer, "call_id")
-    if not heavy:
-        out = out.withColumns({n: F.lit(0.0) for n in (*MICRO_NAMES, *INTERACTION_NAMES)})
-    return out.select("call_id", *FEATURE_NAMES)
+    return measured(good(audio), segments, heavy, backend, least, fallback).select("call_id", *FEATURE_NAMES)
 
 
 def conversation(segments: DataFrame, calls: DataFrame, frame: float = FRAME_S) -> tuple[DataFrame, DataFrame]:
@@ -46,15 +57,23 @@ def conversation(segments: DataFrame, calls: DataFrame, frame: float = FRAME_S)
 
 def detect(batch: DataFrame, model: dict, fallback=None) -> DataFrame:
     """(call_id, is_synthetic, confidence, views, error) for detection requests; those that can't be read say why."""
-    audio = requests(batch)
-    scored = score(features(audio, heavy=False, backend=model.get("vad_backend", "hybrid"), fallback=fallback), model)
-    return audio.select("call_id", "error").join(scored.select("call_id", "is_synthetic", "confidence", "views"), "call_id", "left")
+    found = measured(requests(batch), heavy=False, backend=model.get("vad_backend", "hybrid"), fallback=fallback)
+    fine = F.col("error").isNull()
+    return score(found, model).select("call_id", *[F.when(fine, F.col(c)).alias(c) for c in ("is_synthetic", "confidence", "views")], "error")
 
 
 def compare_depths(audio: DataFrame, model: dict) -> DataFrame:
-    """(call_id, p_full, p_live, delta, flip): scores with and without the heavy layers."""
-    full, live = (score(features(audio, heavy=h), model).select("call_id", F.col("p").alias(n)) for h, n in ((True, "p_full"), (False, "p_live")))
-    return full.join(live, "call_id").withColumns({"delta": F.col("p_live") - F.col("p_full"), "flip": (F.col("p_live") >= 0.5) != (F.col("p_full") >= 0.5)})
+    """(call_id, p_full, p_live, delta, flip, times, total_ms, live_ms): scores with and without the heavy layers, from one pass over the sound.
+
+    times has the milliseconds of each sound layer of the call, null for one that was not computed; total_ms is their sum, live_ms
+    that of the layers that a live answer needs.
+    """
+    found = measured(good(audio))
+    full = score(found, model).withColumnRenamed("p", "p_full").select("call_id", "p_full", "times", *FEATURE_NAMES)
+    live = score(full.withColumns({n: F.lit(0.0) for n in (*MICRO_NAMES, *INTERACTION_NAMES)}), model).withColumnRenamed("p", "p_live")
+    spent = {"total_ms": ("segments", *LAYERS), "live_ms": ("segments", "acoustic")}
+    sums = [sum((F.coalesce(F.col(f"times.{n}"), F.lit(0.0)) for n in names), F.lit(0.0)).alias(name) for name, names in spent.items()]
+    return live.select("call_id", "p_full", "p_live", (F.col("p_live") - F.col("p_full")).alias("delta"), ((F.col("p_live") >= 0.5) != (F.col("p_full") >= 0.5)).alias("flip"), "times", *sums)
 
 
 def labelled_features(data: Dataset, heavy: bool = False, backend: str = "hybrid", split: str | None = None) -> DataFrame:
