@@ -11,6 +11,7 @@ more than some 2 GB of text the sketch lets more rare phrases pass to the exact
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +40,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BREAKS, GAPS = ".,;:!?\n\x0b\x0c\r", " \t"
 #: 2 for what ends a piece, 1 for what parts words, 0 for letters.
+GAP = re.compile(f"[{re.escape(BREAKS + GAPS)}]".encode())
 KINDS = np.array([2 if chr(b) in BREAKS else 1 if chr(b) in GAPS else 0 for b in range(256)], np.uint8)
 
 
 def portions(texts: list[bytes]) -> Iterator[tuple[bytes, int]]:
-    """(text of at most about CHUNK bytes, words at its start that were counted before); texts are parted by line feeds.
+    """(text of about CHUNK bytes at most, words at its start that were counted before); texts are parted by line feeds.
 
     A longer text is cut between words; its next portion begins with the last LONGEST - 1 words of the one before.
     """
@@ -56,24 +58,18 @@ def portions(texts: list[bytes]) -> Iterator[tuple[bytes, int]]:
             held.append(text)
             size += len(text) + 1
             continue
-        at, again = 0, 0
-        while at < len(text):
-            end = at + CHUNK
-            kinds = KINDS[np.frombuffer(text[at:end], np.uint8)]
-            if end < len(text) and len(gaps := np.flatnonzero(kinds)):
-                end = at + int(gaps[-1]) + 1
-            elif end < len(text):  # one word of more than CHUNK bytes: up to its end
-                rest = np.flatnonzero(KINDS[np.frombuffer(text[end:], np.uint8)])
-                end = end + int(rest[0]) + 1 if len(rest) else len(text)
+        at = again = end = 0
+        while end < len(text):
+            done, end = end, min(end + CHUNK, len(text))
+            if end < len(text):
+                gaps = np.flatnonzero(KINDS[np.frombuffer(text[done:end], np.uint8)])
+                # a word that is longer than a portion goes on to its end
+                end = done + int(gaps[-1]) + 1 if len(gaps) else found.end() if (found := GAP.search(text, end)) else len(text)
             yield text[at:end], again
-            if end >= len(text):
-                break
             kinds = np.concatenate([[1], KINDS[np.frombuffer(text[at:end], np.uint8)]])
             starts = np.flatnonzero((kinds[1:] == 0) & (kinds[:-1] != 0))
             again = min(LONGEST - 1, len(starts))
-            fresh = at + int(starts[-again]) if again else end
-            # words that are as long as a portion are not taken along twice
-            at, again = (fresh, again) if end - fresh < CHUNK // 2 else (end, 0)
+            at = at + int(starts[-again]) if again else end
     if held:
         yield b"\n".join(held), 0
 
