@@ -25,7 +25,7 @@ def vectors(n, width=24, seed=5, cluster=0.3):
     nan = float("nan")
     odd = [(None, 1000, None, 1, None, None), (None, 1100, [nan] * width, 1, None, None), (None, 1200, [None] + [0.5] * (width - 1), 2, None, None), (None, 1300, [math.inf] * width, 1, None, None)]
     odd += [(None, 1400, [0.0] * width, 3, None, None), (None, 1500, [], 3, None, None), (None, None, rows[1][2], 3, None, None), (None, 1600, rows[3][2], None, None, None)]
-    return rows + odd + [rows[0], rows[0], rows[7], rows[20]]
+    return rows + odd + [rows[0], rows[0], rows[7], rows[20 % n]]
 
 
 def finite(v):
