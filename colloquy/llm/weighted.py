@@ -58,9 +58,9 @@ def plain_words(text: bytes) -> bytes:
     return b" ".join(text.split())
 
 
-def name_of(plain: bytes) -> int:
-    """The node of all texts with these words."""
-    return int.from_bytes(hashlib.blake2b(plain, digest_size=8).digest(), "little", signed=True)
+def name_of(plain: bytes) -> bytes:
+    """The node of all texts with these words: 128 bits, so that no two of 10^10 unlike texts share one (probability 10^-19)."""
+    return hashlib.blake2b(plain, digest_size=16).digest()
 
 
 def variates(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +214,7 @@ def verified(docs: DataFrame, pairs: DataFrame, shared, least: float) -> DataFra
                     cache.pop(node, None)  # another text under the same doc_id
         return dict(zip(("a", "b"), zip(*found))) if found else None
 
-    return map_rows(both, "a long, b long", compare, dict).distinct()
+    return map_rows(both, "a binary, b binary", compare, dict).distinct()
 
 
 def links_in(sides: list[tuple[np.ndarray, np.ndarray]], part: np.ndarray, asked: Callable[[int], np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -271,7 +271,7 @@ def linked_inside(docs: DataFrame, inside: DataFrame, shared, least: float, bloc
     rows = texts_for(docs, members.select("rep"))
     rows = rows.join(members, rows["doc_id"] == members["rep"]).select("band", "low", "high", "own", "node", "root", "bands", "text")
 
-    key, kinds = ("band", "low", "high"), arrow_schema(docs.sparkSession, "a long, b long")
+    key, kinds = ("band", "low", "high"), arrow_schema(docs.sparkSession, "a binary, b binary")
 
     def compare(band: int, within: bool, rows: list[dict]) -> list[tuple[int, int]]:
         known, members, sides = set(), [], []
@@ -290,16 +290,17 @@ def linked_inside(docs: DataFrame, inside: DataFrame, shared, least: float, bloc
             """In the first bucket that the two share; of two blocks, only across."""
             return ((bands == bands[i]).argmax(axis=1) == lane) & ((own != own[i]) | within)
 
-        part = np.unique([row["root"] for row in members], return_inverse=True)[1]
+        numbers: dict[bytes, int] = {}
+        part = np.array([numbers.setdefault(row["root"], len(numbers)) for row in members])
         return [(members[i]["root"], members[j]["root"]) for i, j in links_in(sides, part, asked, least)]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in sliced(batches) for row in batch.to_pylist())
         for (band, low, high), group in groupby(rows, key=lambda row: tuple(row[k] for k in key)):
             if found := compare(band, low == high, list(group)):
-                yield pa.record_batch([pa.array(c, type=pa.int64()) for c in zip(*found)], schema=kinds)
+                yield pa.record_batch([pa.array(c, type=kind) for c, kind in zip(zip(*found), kinds.types)], schema=kinds)
 
-    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(groups, "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(groups, "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
@@ -327,7 +328,7 @@ def classed(docs: DataFrame, least: float, block: int) -> DataFrame:
         return {"doc_id": columns["doc_id"], "node": nodes, "bands": bands}
 
     named = rows.where("doc_id is not null")
-    sampled = settle(map_rows(named, "doc_id long, node long, bands array<long>", sample, lambda: Sampler(shared.value)))
+    sampled = settle(map_rows(named, "doc_id long, node binary, bands array<long>", sample, lambda: Sampler(shared.value)))
     tidy(docs.sparkSession)
     nodes = settle(sampled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
 
@@ -357,7 +358,7 @@ def classed(docs: DataFrame, least: float, block: int) -> DataFrame:
     classes = placed.groupBy(F.col("root").alias("g")).agg(F.min("rep").alias("class_id"))
     by_node = placed.join(classes, placed["root"] == classes["g"]).select(F.col("node").alias("m"), "root", "class_id")
     out = sampled.select("doc_id", "node").join(by_node, F.col("node") == F.col("m")).select("doc_id", "node", "root", "class_id")
-    return out.unionByName(rows.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(n) for n in ("node", "root", "class_id")]))
+    return out.unionByName(rows.where("doc_id is null").select("doc_id", *[F.lit(None).cast(k).alias(n) for n, k in (("node", "binary"), ("root", "binary"), ("class_id", "long"))]))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
@@ -379,7 +380,7 @@ def keep_one(docs: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataF
     def name(columns):
         return {"row": columns["row"], "doc_id": columns["doc_id"], "node": [name_of(plain_words(t)) for t in texts_of(columns["text"])]}
 
-    rows = map_rows(rows, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node long", name)
+    rows = map_rows(rows, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, node binary", name)
     stay = named.where("doc_id = class_id").join(several, F.col("doc_id") == F.col("listed"), "left_semi").select(F.col("doc_id").alias("d"), F.col("node").alias("n"), "root").distinct()
     own = rows.join(stay, (F.col("doc_id") == F.col("d")) & (F.col("node") == F.col("n"))).dropDuplicates(["doc_id", "root"])
     return out.unionByName(own.select("row.*"))

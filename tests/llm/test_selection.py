@@ -263,3 +263,16 @@ def test_rows_of_a_repeated_doc_id_go_by_their_own_text(spark):
     rows = [(1, a, 1), (2, a, 2), (2, b, 3), (2, b, 4), (3, c, 5), (3, a, 6), (4, b, 7)]
     kept = [(r["doc_id"], r["text"]) for r in weighted.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()]
     assert sorted(kept) == sorted([(1, a), (2, b), (3, c)])
+
+
+def test_names_of_texts_are_wide():
+    """128 bits: what is equal in the first 64 is still told apart."""
+    names = {weighted.name_of(f"text {i}".encode()) for i in range(2000)}
+    assert len(names) == 2000 and all(isinstance(n, bytes) and len(n) == 16 for n in names)
+
+
+def test_nodes_that_share_half_a_name_are_two(spark):
+    a, b, c = b"x" * 8 + b"1" * 8, b"x" * 8 + b"2" * 8, b"x" * 8 + b"2" * 7 + b"\0"
+    edges = spark.createDataFrame([(bytearray(a), bytearray(b))], "a binary, b binary")
+    roots = {bytes(r["node"]): bytes(r["root"]) for r in weighted.components(edges).collect()}
+    assert set(roots) == {a, b} and len(set(roots.values())) == 1 and c not in roots
