@@ -195,14 +195,15 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> DataFr
         where, offset = sum_of_squares(rows["length"].to_numpy(), sequence)
         return rows.drop(columns="g").assign(sequence_id=where * groups + key[0], offset=offset)
 
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # with a number for each settled row: pieces that are equal in all columns spread over groups like any others
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(place, schema)
 
 
 def best_fit_pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """Pack docs (doc_id, text; other columns are ignored) and return one row for each piece.
 
-    Null and empty texts are the end id alone. Repeated rows are packed once each. Null doc_id stays null.
-    An empty table gives no rows.
+    Null and empty texts are the end id alone. Repeated rows are packed once each and spread over groups. Null doc_id
+    stays null. Ties of length go by doc_id, piece and checksum. A text of any length is cut into pieces. An empty table gives no rows.
     """
     return pack(pieces(docs, path or tokenizer_path(), sequence, end_id), sequence, group)

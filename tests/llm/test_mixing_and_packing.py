@@ -177,3 +177,10 @@ def test_ids_of_odd_texts():
 
 def test_nothing_to_pack(spark):
     assert packing.best_fit_pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_equal_rows_fill_all_groups_alike(spark):
+    """Sixty thousand rows that are equal in every column: no group gets more than its share."""
+    docs = spark.range(60_000).selectExpr("cast(null as long) as doc_id", "'' as text")
+    rows = packing.best_fit_pack(docs, group=10_000).selectExpr("sequence_id % 6 as g", "length").groupBy("g").count().collect()
+    assert len(rows) == 6 and sum(r["count"] for r in rows) == 60_000 and max(r["count"] for r in rows) < 11_000
