@@ -14,6 +14,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,11 +139,13 @@ def digest_spans(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """docs with every span in text replaced by ``[kind]``; overlapping spans go as one, under the first's name.
 
-    n_chars, if there, becomes the new length. Texts without spans, null ones too, stay as they are.
+    n_chars, if there, becomes the new length of a text that changes. Rows without spans, those of a null or empty text too, stay as they
+    are, as do all other columns, null ids and repeated rows. An empty table stays empty.
     """
+    lengths = "n_chars" in docs.columns
 
     def clean(columns):
-        values, texts = columns["text"].to_pylist(), texts_of(columns["text"])
+        values, texts, changed = columns["text"].to_pylist(), texts_of(columns["text"]), []
         for i, spans in enumerate(scanner(rules).spans(texts)):
             if spans:
                 text, out, at = values[i], [], 0
@@ -151,12 +154,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
                         out += [text[at:a], f"[{kind}]"]
                     at = max(at, b)
                 values[i] = "".join(out) + text[at:]
-        return {**columns, "text": values}
+                changed.append(i)
+        out = {**columns, "text": values}
+        if lengths and changed:
+            own, as_text = columns["n_chars"].to_pylist(), pa.types.is_string(columns["n_chars"].type)
+            for i in changed:
+                own[i] = str(len(values[i])) if as_text else len(values[i])
+            out["n_chars"] = own
+        return out
 
     named = docs.withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
-    cleaned = map_rows(named, schema, clean)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+    return map_rows(named, schema, clean)
 
 
 def sql_pattern(pattern: str, fold: bool) -> str:

@@ -74,3 +74,12 @@ def test_empty(spark):
 def test_long_runs():
     text = b"f" * 100_000 + b" token: " + b"x" * 50
     assert SCANNER.spans([text, b"", text])[2] == [(0, 100_000, "hex"), (100_001, 100_058, "assign")]
+
+
+def test_redaction_of_odd_rows(spark):
+    """Null and clean texts keep their n_chars, whatever it says; other columns and repeated rows stay; no rows give none."""
+    schema = "doc_id long, text string, n_chars int, spans string, kind int"
+    rows = [(1, None, 0, "x", 1), (2, "", 7, None, 2), (None, "clean", 99, "y", None), (3, "password=abcdefghijkl1 x", 24, "z", 3), (3, "password=abcdefghijkl1 x", 24, "z", 3)]
+    got = [tuple(r) for r in redact(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got, key=repr) == sorted([*rows[:3], *[(3, "[assign] x", 10, "z", 3)] * 2], key=repr)
+    assert redact(spark.createDataFrame([], schema)).collect() == [] and redact(spark.createDataFrame([], schema)).columns == ["doc_id", "text", "n_chars", "spans", "kind"]
