@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import evaluation, scoring
 from colloquy.plans import calls
-from colloquy.schemas import FEATURE_NAMES, REQUESTS, acoustic_names, behavioural_names
+from colloquy.schemas import FEATURE_NAMES, acoustic_names, behavioural_names
 from colloquy.session import session
 from colloquy.sources import dataset, tables
+from colloquy.streaming.segments import detections
 
 
 def shown(rows: DataFrame, out: str | None) -> None:
@@ -55,11 +56,9 @@ def explore(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def serve(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Requests that arrive as JSON files in a folder are answered in another, a micro-batch at a time."""
-    model = tables.load_model(args.model, spark)
-    answer = lambda batch, _: calls.detect(batch, model).write.mode("append").json(args.out)
-    stream = spark.readStream.schema(REQUESTS).json(args.requests).writeStream.foreachBatch(answer).option("checkpointLocation", f"{args.out.rstrip('/')}-checkpoint")
-    (stream.trigger(availableNow=True) if args.once else stream).start().awaitTermination()
+    """Requests that are appended to the JSON lines of a spool folder are answered in another, each once, a micro-batch at a time."""
+    model, checkpoint = tables.load_model(args.model, spark), f"{args.out.rstrip('/')}-checkpoint"
+    detections(spark, args.requests, model, args.out, checkpoint, args.once).awaitTermination()
 
 
 def latency(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -90,7 +89,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "train":
             one.add_argument("--tune", action="store_true", help="try detectors and loudness, keep the best")
         if name == "serve":
-            one.add_argument("--requests", required=True, help="the folder that requests arrive in")
+            one.add_argument("--requests", required=True, help="the folder whose .jsonl files requests are appended to")
             one.add_argument("--once", action="store_true", help="answer what is there and stop")
     return top
 

@@ -2,49 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import wave
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.schemas import AUDIO
-
-RATES = (8000, 16000)
-#: Calls that one Arrow batch holds; audio is large.
-BATCH = 16
-
-
-def decode(data: bytes | None) -> tuple:
-    """(caller PCM, agent PCM, samples, samples, rate, error): 16-bit little-endian, channels over two ignored.
-
-    Errors, in the order in which they are looked for: base64, wav, stereo, rate.
-    """
-    nothing = (None, None, 0, 0, None)
-    if data is None:
-        return *nothing, "base64"
-    try:
-        with wave.open(io.BytesIO(data)) as file:
-            channels, width, rate = file.getnchannels(), file.getsampwidth(), file.getframerate()
-            raw = file.readframes(file.getnframes())
-    except (wave.Error, EOFError, ValueError):
-        return *nothing, "wav"
-    if width not in (1, 2, 4):
-        return *nothing, "wav"
-    if channels < 2:
-        return *nothing, "stereo"
-    if rate not in RATES:
-        return *nothing, "rate"
-    kind = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}[width]
-    samples = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], kind).reshape(-1, channels)
-    if width == 1:
-        samples = (samples.astype(np.int16) - 128) << 8
-    elif width == 4:
-        samples = samples >> 16
-    sides = [samples[:, c].astype("<i2") for c in (0, 1)]
-    return sides[0].tobytes(), sides[1].tobytes(), len(sides[0]), len(sides[1]), rate, None
+from colloquy.sources.wav import RATES, decode  # noqa: F401  what may be asked here too
 
 
 def signal(pcm: bytes) -> np.ndarray:

@@ -7,8 +7,11 @@ call and has no streaming form here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from colloquy.sources.spool import CallAnswers, register
 
 
 def sessions(events: DataFrame, gap: str = "280 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -24,11 +27,18 @@ def levels(samples: DataFrame, frame: str = "25 milliseconds", hop: str = "10 mi
     return framed.select("call_id", "channel", F.col("w.start").alias("start"), "db")
 
 
-def detections(requests: DataFrame, model: dict, sink: str, checkpoint: str):
-    """Score a stream of detection requests batch by batch; each batch is written once under its number."""
+def detections(spark: SparkSession, spool: str, model: dict, answers: str, checkpoint: str, once: bool = True, fallback=None) -> StreamingQuery:
+    """Answer the requests of a spool: offsets are bytes of its files, and a batch's answers replace what an attempt before wrote under its number.
+
+    What one batch holds is scored by the plan for tables, whose ordered passes a streaming plan may not have.
+    """
     from colloquy.plans.calls import detect
 
+    register(spark)
+    columns = [c.strip().split()[0] for c in CallAnswers({}).schema().split(",")]
+
     def write(batch: DataFrame, number: int) -> None:
-        detect(batch, model).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        detect(batch, model, fallback).select(*columns).write.format("call_answers").option("batch", number).mode("append").save(answers)
 
-    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = spark.readStream.format("call_requests").load(spool).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if once else stream).start()

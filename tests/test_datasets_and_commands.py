@@ -65,7 +65,7 @@ def test_commands(spark, folder, tmp_path, capsys):
     assert "| split |" in capsys.readouterr().out
     request = {"audio_base64": base64.b64encode((folder / "audio/call_1.wav").read_bytes()).decode(), "call_id": "r"}
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/1.json").write_text(json.dumps(request))
+    (tmp_path / "in/1.jsonl").write_text(json.dumps(request) + "\n")
     cli.main(["serve", "--requests", str(tmp_path / "in"), "--out", str(tmp_path / "answers"), "--model", model, "--once"], spark)
     assert [r["call_id"] for r in spark.read.json(str(tmp_path / "answers")).collect()] == ["r"]
     with pytest.raises(SystemExit):
