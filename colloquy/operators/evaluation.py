@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.stats import or_zero, ratio
 from colloquy.operators.intervals import iou
-from colloquy.operators.ranking import auc, effect_sizes, long_form, nearest_rank, p95, rank_correlation, upper_median
+from colloquy.operators.ranking import auc, bootstrap, effect_sizes, long_form, nearest_rank, p95, rank_correlation, upper_median
 from colloquy.operators.scoring import ACOUSTIC_HEAD, BEHAVIOURAL_HEAD, evaluate, fit, is_positive, logistic, parts, train
 from colloquy.schemas import AGENT, CALLER
 
 #: Features of a guarded head; the least rows it is fitted on and scored on; the accuracy that a head may lose for a feature less.
 TOP, LEAST_TRAIN, LEAST_VAL, HOLD = 5, 4, 2, 0.03
+#: Resamples of an interval.
+RUNS = 200
 LOUDNESS = "caller_rms_mean"
 
 
@@ -107,10 +109,20 @@ def fit_one(rows: DataFrame, features: Sequence[str], label: str = "label") -> d
     return parts(fit(examples, {"head": features}))["head"]
 
 
-def explore(rows: DataFrame, features: Sequence[str], top: int = TOP) -> dict:
-    """Both splits compared: stats by split and feature, features that separate in both, rank correlation, a head of those.
+def with_intervals(stats: DataFrame, rows: DataFrame, features: Sequence[str], runs: int, seed: int = 42) -> DataFrame:
+    """stats by split and feature with ci_low and ci_high, the bootstrap interval of effect_size; null where no resample has both labels."""
+    bounds = None
+    for split in ("train", "val"):
+        own = bootstrap(rows.where(F.col("split") == split), features, is_positive(), runs, seed)
+        own = own.select(F.lit(split).alias("split"), "feature", F.col("low").alias("ci_low"), F.col("high").alias("ci_high"))
+        bounds = own if bounds is None else bounds.unionByName(own)
+    return stats.join(bounds, ["split", "feature"], "left")
 
-    Without a feature among the first of both splits the head takes the first of train.
+
+def explore(rows: DataFrame, features: Sequence[str], top: int = TOP, runs: int = RUNS) -> dict:
+    """Both splits compared: stats by split and feature with bootstrap intervals, features that separate in both, rank correlation, a head of those.
+
+    runs 0 leaves out the intervals. Without a feature among the first of both splits the head takes the first of train.
     """
     stats = group_stats(rows, features, ["split"])
     ranks = {r["feature"]: r for r in stats.groupBy("feature").pivot("split", ["train", "val"]).agg(F.first("rank")).collect()}  # one row a feature
@@ -118,7 +130,7 @@ def explore(rows: DataFrame, features: Sequence[str], top: int = TOP) -> dict:
     stable = [n for n in first if ranks[n]["val"] and ranks[n]["val"] <= top] or first
     head = fit_one(rows.where("split = 'train'"), stable)
     metrics = {s: evaluate(rows.where(F.col("split") == s).withColumn("p", logistic(head)), "p", is_positive()) for s in ("train", "val")}
-    return {"stats": stats, "stable": stable, "rank_correlation": rank_correlation(stats, "split", "train", "val").first()[0], "head": head, "metrics": metrics}
+    return {"stats": with_intervals(stats, rows, features, runs) if runs else stats, "stable": stable, "rank_correlation": rank_correlation(stats, "split", "train", "val").first()[0], "head": head, "metrics": metrics}
 
 
 def fit_and_score(rows: DataFrame, candidates: Sequence[str], k: int = TOP) -> dict | None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.scans import by_time, scanned
+
 
 def channel(segments: DataFrame, number: int) -> DataFrame:
     return segments.where(F.col("channel") == number)
@@ -54,12 +56,12 @@ def starts_inside(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return points.join(b, (F.col("call_id") == F.col("b_call")) & inside, "left_semi")
 
 
-def asof_forward(triggers: DataFrame, responders: DataFrame, at: str = "at", strict: bool = True) -> DataFrame:
+def asof_forward(triggers: DataFrame, responders: DataFrame, at: str = "at", strict: bool = True, width: float | None = None) -> DataFrame:
     """For each trigger the earliest responder start after it (or at it, unless strict), columns prefixed r_.
 
     Both sides are merged in time and read backwards once, so the cost is that of a sort however many
     triggers and responders a call has. Triggers without a responder have nulls. Ties of start go to the
-    lesser seq.
+    lesser seq. width deals a call to buckets of time, which tasks read by themselves.
     """
     keep = [c for c in triggers.columns if c != "call_id"]
     body = F.struct(*[F.col(c) for c in responders.columns if c != "call_id"])
@@ -67,7 +69,11 @@ def asof_forward(triggers: DataFrame, responders: DataFrame, at: str = "at", str
     right = responders.select("call_id", F.col("start").alias("t_"), F.lit(0 if strict else 2).alias("side_"), F.col("seq").cast("long").alias("seq_"), body.alias("r_"))
     merged = left.unionByName(right, allowMissingColumns=True)
     back = Window.partitionBy("call_id").orderBy(F.col("t_").desc(), F.col("side_").desc(), F.col("seq_").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    found = merged.withColumn("next_", F.last("r_", ignorenulls=True).over(back)).where("side_ = 1")
+    if width is None:
+        found = merged.withColumn("next_", F.last("r_", ignorenulls=True).over(back))
+    else:
+        found = scanned(merged, ["call_id"], by_time("t_", width), ["t_", "side_", "seq_"], backwards=True, lasts={"next_": F.col("r_")})
+    found = found.where("side_ = 1")
     return found.select("call_id", "own_.*", *[F.col(f"next_.{c}").alias(f"r_{c}") for c in responders.columns if c != "call_id"])
 
 
@@ -89,22 +95,26 @@ def union_length(segments: DataFrame) -> DataFrame:
     return segments.select("call_id", "channel", fresh.alias("fresh")).groupBy("call_id", "channel").agg(F.sum("fresh").alias("length"))
 
 
-def sweep(segments: DataFrame) -> DataFrame:
+def sweep(segments: DataFrame, width: float | None = None) -> DataFrame:
     """(call_id, start, end, n0, n1): the call cut at every boundary, with how many segments of each channel cover the piece.
 
-    Boundaries of equal time are summed before the window, so it sees each instant once.
+    Boundaries of equal time are summed before the window, so it sees each instant once. width deals a call to buckets of time.
     """
     ends = [segments.select("call_id", F.col(t).alias("t"), *[F.when(F.col("channel") == c, step).otherwise(0).alias(f"d{c}") for c in (0, 1)]) for t, step in (("start", 1), ("end", -1))]
     instants = ends[0].unionByName(ends[1]).groupBy("call_id", "t").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    if width is not None:
+        counted = scanned(instants, ["call_id"], by_time("t", width), ["t"], sums={"n0": F.col("d0"), "n1": F.col("d1")})
+        ended = scanned(counted, ["call_id"], by_time("t", width), ["t"], backwards=True, own=False, lasts={"end": F.col("t")})
+        return ended.where("end is not null").select("call_id", F.col("t").alias("start"), "end", "n0", "n1")
     order = Window.partitionBy("call_id").orderBy("t")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     pieces = instants.select("call_id", F.col("t").alias("start"), F.lead("t").over(order).alias("end"), F.sum("d0").over(so_far).alias("n0"), F.sum("d1").over(so_far).alias("n1"))
     return pieces.where("end is not null")
 
 
-def difference(segments: DataFrame, keep: int = 1, without: int = 0) -> DataFrame:
-    """(call_id, start, end): where channel keep is active and channel without is not."""
-    return sweep(segments).where((F.col(f"n{keep}") > 0) & (F.col(f"n{without}") == 0)).select("call_id", "start", "end")
+def difference(segments: DataFrame, keep: int = 1, without: int = 0, width: float | None = None) -> DataFrame:
+    """(call_id, start, end): where channel keep is active and channel without is not. width: see sweep()."""
+    return sweep(segments, width).where((F.col(f"n{keep}") > 0) & (F.col(f"n{without}") == 0)).select("call_id", "start", "end")
 
 
 def complement(segments: DataFrame, calls: DataFrame) -> DataFrame:

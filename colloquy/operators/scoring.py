@@ -6,15 +6,18 @@ literals and columns, so a plan that scores has no join and no Python.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.stats import or_zero, sigmoid
 from colloquy.operators.ranking import auc, confusion
+from colloquy.operators.scans import scanned
+from colloquy.session import settled
 
 POSITIVE = "synthetic"
 #: Fixed values of training: step, steps, penalty on weights; folds; the AUC that stacking may lose by.
@@ -22,6 +25,8 @@ RATE, EPOCHS, PENALTY, FOLDS, MARGIN = 0.05, 2500, 0.01, 5, 0.01
 #: Fixed values of the rules after fusion.
 UNSURE = 0.10
 QUIET = {"wait_min_s": 1.4, "wait_max_s": 2.0, "rms_cv_max": 0.45, "talkative_turn_min": 24}
+#: Examples of a model, at most, that one task fits.
+TOGETHER = 500_000
 ACOUSTIC_HEAD = ("caller_rms_cv", "caller_zcr_std", "caller_crest_factor_cv", "caller_spectral_flatness_std", "caller_spectral_centroid_std")
 BEHAVIOURAL_HEAD = ("caller_response_latency_pos_median_s", "agent_talk_ratio", "agent_aligned_recovery_cv")
 FUSION_HEAD = ("p_acoustic", "p_behavioral")
@@ -98,12 +103,12 @@ def inspection(scored: DataFrame, truth: Column, *by: str) -> DataFrame:
     return marked.rollup(*by).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in (rates | kinds).items()])
 
 
-def descend(x: np.ndarray, y: np.ndarray) -> dict:
+def descend(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> dict:
     """Full-batch gradient descent on standardised features from zero; the bias has no penalty."""
     mean, std = x.mean(axis=0), x.std(axis=0)
     std = np.where(std == 0, 1.0, std)
     z, w, b = (x - mean) / std, np.zeros(x.shape[1]), 0.0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         miss = 1.0 / (1.0 + np.exp(-np.clip(z @ w + b, -500, 500))) - y
         w, b = w - RATE * (z.T @ miss / len(y) + PENALTY * w), b - RATE * miss.mean()
     return {"weights": w, "bias": float(b), "mean": mean, "std": std}
@@ -115,8 +120,7 @@ MODEL = "model string, feature_names array<string>, weights array<double>, bias
 def fit(examples: DataFrame, features: dict[str, Sequence[str]]) -> DataFrame:
     """Models from examples (model, y and features), one group a model and all models at once.
 
-    features names each model's columns; a name with ``#`` takes those before it. Rows of a model are calls
-    of an experiment, which one task holds.
+    features names each model's columns; a name with ``#`` takes those before it. One task holds a model's rows: see fitted().
     """
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,6 +131,51 @@ def fit(examples: DataFrame, features: dict[str, Sequence[str]]) -> DataFrame:
     return examples.groupBy("model").applyInPandas(one, MODEL)
 
 
+def fit_spread(examples: DataFrame, features: Sequence[str], epochs: int = EPOCHS) -> dict:
+    """The model part that descend() finds, for more examples (y and features) than a task can hold.
+
+    Examples are settled once as standardised blocks of a matrix. In each step a task sums the gradients of its blocks, and a vector a
+    task comes to the driver, which holds the weights and nothing else.
+    """
+    values = F.array(*[or_zero(F.col(n)) for n in features])
+    base = settled(examples.select(values.alias("x"), F.col("y").cast("double").alias("y")))
+    each = range(len(features))
+    facts = base.agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in each], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in each]).first()
+    n, mean, std = facts["n"], np.array([facts[f"m{i}"] or 0.0 for i in each]), np.array([facts[f"s{i}"] or 1.0 for i in each])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean))
+                yield pa.record_batch([pa.array([((x - mean) / std).tobytes()]), pa.array([batch.column("y").to_numpy(zero_copy_only=False).tobytes()])], names=["z", "y"])
+
+    blocks = settled(base.mapInArrow(pack, "z binary, y binary"))
+    weights, bias = np.zeros(len(mean)), 0.0
+    for _ in range(epochs if n else 0):
+
+        def gradient(batches: Iterator[pa.RecordBatch], w=weights, b=bias) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(w) + 1)
+            for batch in batches:
+                for z, y in zip(batch.column("z").to_pylist(), batch.column("y").to_pylist()):
+                    rows, truth = np.frombuffer(z).reshape(-1, len(w)), np.frombuffer(y)
+                    miss = 1.0 / (1.0 + np.exp(-np.clip(rows @ w + b, -500, 500))) - truth
+                    total[:-1] += rows.T @ miss
+                    total[-1] += miss.sum()
+            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["g"])
+
+        step = np.sum([r["g"] for r in blocks.mapInArrow(gradient, "g array<double>").collect()], axis=0) / n  # a vector a task
+        weights, bias = weights - RATE * (step[:-1] + PENALTY * weights), bias - RATE * step[-1]
+    return {"feature_names": list(features), "weights": weights.tolist(), "bias": float(bias), "mean": mean.tolist(), "std": std.tolist()}
+
+
+def fitted(examples: DataFrame, features: dict[str, Sequence[str]], rows: int) -> dict[str, dict]:
+    """Model parts from examples of about so many rows a model: side by side in a task each, or where that is too many one after the other over all tasks."""
+    if rows <= TOGETHER:
+        return parts(fit(examples, features))
+    models = [r["model"] for r in examples.select("model").distinct().collect()]  # heads and folds
+    return {m: fit_spread(examples.where(F.col("model") == m), features[m.split("#")[0]]) for m in models}
+
+
 def parts(models: DataFrame) -> dict[str, dict]:
     """Fitted models as document parts; a few rows."""
     return {r["model"]: {k: list(v) if isinstance(v, (list, tuple)) else v for k, v in r.asDict().items() if k != "model"} for r in models.collect()}
@@ -136,8 +185,10 @@ def folded(rows: DataFrame, key: str = "call_id", seed: int = 0) -> DataFrame:
     """rows with fold: those of a label in a seeded order, dealt in turn; at least 2 folds, at most FOLDS."""
     sizes = rows.agg(F.count_if(F.col("y") == 0.0).alias("no"), F.count_if(F.col("y") == 1.0).alias("yes")).first()
     n = max(2, min(FOLDS, sizes["no"], sizes["yes"]))
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), key), key)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % n)
+    # a label's rows are counted in 256 ranges of the hash by themselves
+    hashed = rows.withColumn("hash_", F.xxhash64(F.lit(seed), key))
+    numbered = scanned(hashed, ["y"], F.shiftright("hash_", 56), ["hash_", key], sums={"at_": F.lit(1)})
+    return numbered.withColumn("fold", ((F.col("at_") - 1) % n).cast("int")).drop("hash_", "at_")
 
 
 def evaluate(scored: DataFrame, p: str, truth: Column) -> dict[str, float]:
@@ -164,10 +215,11 @@ def train(rows: DataFrame, key: str = "call_id", acoustic: Sequence[str] = ACOUS
     examples = dealt.withColumn("model", whole)
     for part in held:
         examples = examples.unionByName(part)
-    found = parts(fit(examples, features))
+    size = dealt.count()
+    found = fitted(examples, features, size)
     by_fold = lambda head: F.coalesce(*[F.when(F.col("fold") == f, logistic(found[f"{head}#{f}"])) for f in range(k)], F.lit(0.5))
     stacked = dealt.select("y", by_fold("acoustic").alias("p_acoustic"), by_fold("behavioral").alias("p_behavioral"), F.lit("fusion").alias("model"))
-    model = {n: found[n] for n in ("acoustic", "behavioral", "concatenated")} | {"fusion": parts(fit(stacked, features))["fusion"]}
+    model = {n: found[n] for n in ("acoustic", "behavioral", "concatenated")} | {"fusion": fitted(stacked, features, size)["fusion"]}
     model |= {"fusion_type": "stacked", "vad_backend": "hybrid", "disagree_unsure": UNSURE, "quiet_patient": QUIET}
     truth, metrics = F.col("y") == 1.0, {}
     for split, part in (("train", train_rows), ("val", val)):

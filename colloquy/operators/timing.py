@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.stats import or_zero, ratio, summary
 from colloquy.operators.intervals import channel
+from colloquy.operators.scans import by_time, scanned
 from colloquy.schemas import AGENT, CALLER, RECOVERY_NAMES, TIMING_NAMES
 
 
-def floor_switches(segments: DataFrame) -> DataFrame:
-    """(call_id, channel, gap): where the speaker changes, the time since the other's segment ended; negative if it had not."""
-    order = Window.partitionBy("call_id").orderBy("start", "seq")
-    gaps = segments.select("call_id", "channel", (F.col("start") - F.lag("end").over(order)).alias("gap"), F.lag("channel").over(order).alias("before"))
-    return gaps.where(F.col("before") != F.col("channel")).select("call_id", "channel", "gap")
+def floor_switches(segments: DataFrame, width: float | None = None) -> DataFrame:
+    """(call_id, channel, gap): where the speaker changes, the time since the other's segment ended; negative if it had not. width deals a call to buckets of time."""
+    if width is None:
+        order = Window.partitionBy("call_id").orderBy("start", "seq")
+        rows = segments.select("call_id", "channel", "start", F.lag("end").over(order).alias("ended"), F.lag("channel").over(order).alias("before"))
+    else:
+        last = scanned(segments, ["call_id"], by_time("start", width), ["start", "seq"], own=False, lasts={"last": F.struct("end", "channel")})
+        rows = last.select("call_id", "channel", "start", F.col("last.end").alias("ended"), F.col("last.channel").alias("before"))
+    return rows.where(F.col("before") != F.col("channel")).select("call_id", "channel", (F.col("start") - F.col("ended")).alias("gap"))
 
 
 def with_zeros(calls: DataFrame, parts: list[DataFrame], names: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:

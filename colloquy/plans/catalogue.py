@@ -493,7 +493,7 @@ def stable_features(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return rounded(ranking.bootstrap(derived.feature_rows(spark, sf_dir), derived.FEATURES, scoring.is_positive(), "call_id"))
+    return rounded(ranking.bootstrap(derived.feature_rows(spark, sf_dir), derived.FEATURES, scoring.is_positive()))
 
 
 #: Made-up heads over the derived features, to score with.

@@ -1,7 +1,7 @@
 """Detection requests as a stream: a spool of JSON lines that producers append to, and a store of answers.
 
     register(spark)
-    spark.readStream.format("call_requests").load("spool/")
+    spark.readStream.format("call_requests").load("spool/")  # option ending: other files than .jsonl
     answers.write.format("call_answers").option("batch", 7).mode("append").save("answers/")
     answers.writeStream.format("call_answers").option("checkpointLocation", ...).start("answers/")
 
@@ -94,11 +94,11 @@ class Requests:
     """What the reader of a table and that of a stream share."""
 
     def __init__(self, schema: StructType, options: dict):
-        self.uri, self.most = options["path"], int(options.get("partitionBytes", 16 << 20))
+        self.uri, self.most, self.ending = options["path"], int(options.get("partitionBytes", 16 << 20)), options.get("ending", ENDING)
         self.names = [(f.name, f.dataType.typeName()) for f in schema]
 
     def now(self, before: dict) -> dict:
-        return before | {path: whole_lines(self.uri, path, size, before.get(path, 0)) for path, size in places.listed(self.uri, ENDING) if size > before.get(path, 0)}
+        return before | {path: whole_lines(self.uri, path, size, before.get(path, 0)) for path, size in places.listed(self.uri, self.ending) if size > before.get(path, 0)}
 
     def lines(self, partition: Part) -> Iterator[tuple]:
         return lines_of(self.uri, partition, self.names) if partition.path else iter(())

@@ -27,7 +27,7 @@ def levels(samples: DataFrame, frame: str = "25 milliseconds", hop: str = "10 mi
     return framed.select("call_id", "channel", F.col("w.start").alias("start"), "db")
 
 
-def detections(spark: SparkSession, spool: str, model: dict, answers: str, checkpoint: str, once: bool = True, fallback=None) -> StreamingQuery:
+def detections(spark: SparkSession, spool: str, model: dict, answers: str, checkpoint: str, once: bool = True, fallback=None, **options: str) -> StreamingQuery:
     """Answer the requests of a spool: offsets are bytes of its files, and a batch's answers replace what an attempt before wrote under its number.
 
     What one batch holds is scored by the plan for tables, whose ordered passes a streaming plan may not have.
@@ -40,5 +40,5 @@ def detections(spark: SparkSession, spool: str, model: dict, answers: str, check
     def write(batch: DataFrame, number: int) -> None:
         detect(batch, model, fallback).select(*columns).write.format("call_answers").option("batch", number).mode("append").save(answers)
 
-    stream = spark.readStream.format("call_requests").load(spool).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    stream = spark.readStream.format("call_requests").options(**options).load(spool).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()

@@ -261,7 +261,7 @@ def test_statistics(spark):
         d = {n: (part[n][part.y].mean() - part[n][~part.y].mean()) / np.sqrt((part[n][part.y].var() + part[n][~part.y].var()) / 2) for n in "uvw"}
         assert [r["feature"] for r in sizes.where(F.col("split") == split).orderBy("rank").collect()] == sorted(d, key=lambda n: -abs(d[n]))
     assert "u" in {r["feature"] for r in ranking.stable_features(sizes, "split", 2).collect()}
-    bounds = {r["feature"]: r for r in ranking.bootstrap(rows, ["u", "w"], F.col("y"), "call_id", runs=40).collect()}
+    bounds = {r["feature"]: r for r in ranking.bootstrap(rows, ["u", "w"], F.col("y"), runs=40).collect()}
     assert bounds["u"]["low"] > 0 and bounds["w"]["low"] < bounds["w"]["high"]
     tied = spark.createDataFrame([(x, x > 2) for x in (1.0, 2.0, 2.0, 3.0)], "s double, y boolean")
     assert ranking.auc(tied, "s", F.lit(True)).first()["auc"] == 0.5
@@ -296,7 +296,7 @@ def test_bootstrap_query_takes_all_runs(spark, monkeypatch):
     from tests.conftest import SF
 
     taken = []
-    monkeypatch.setattr(ranking, "bootstrap", lambda rows, features, positive, order, runs=200, **_: taken.append(runs) or rows.select("call_id"))
+    monkeypatch.setattr(ranking, "bootstrap", lambda rows, features, positive, runs=200, **_: taken.append(runs) or rows.select("call_id"))
     monkeypatch.setattr(catalogue, "rounded", lambda df: df)
     catalogue.QUERIES["bootstrap_ci"](spark, SF)
     assert taken == [200]
