@@ -133,40 +133,48 @@ def explore(rows: DataFrame, features: Sequence[str], top: int = TOP, runs: int
     return {"stats": with_intervals(stats, rows, features, runs) if runs else stats, "stable": stable, "rank_correlation": rank_correlation(stats, "split", "train", "val").first()[0], "head": head, "metrics": metrics}
 
 
+def large_enough(rows: DataFrame) -> tuple[int, int] | None:
+    """(rows of train, of val) where both splits have enough rows and both labels; else None."""
+    seen = {r["split"]: r for r in rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(is_positive()).alias("p")).collect()}
+    for split, least in (("train", LEAST_TRAIN), ("val", LEAST_VAL)):
+        if split not in seen or seen[split]["n"] < least or not 0 < seen[split]["p"] < seen[split]["n"]:
+            return None
+    return seen["train"]["n"], seen["val"]["n"]
+
+
 def fit_and_score(rows: DataFrame, candidates: Sequence[str], k: int = TOP) -> dict | None:
     """A head of the k features that separate train most, scored on val; None where a split is too small or lacks a label.
 
     The choice of features does not look at val.
     """
-    seen = {r["split"]: r for r in rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(is_positive()).alias("p")).collect()}
-    for split, least in (("train", LEAST_TRAIN), ("val", LEAST_VAL)):
-        if split not in seen or seen[split]["n"] < least or not 0 < seen[split]["p"] < seen[split]["n"]:
-            return None
-    sizes = effect_sizes(rows.where("split = 'train'"), candidates, is_positive()).select("idx", "feature", half_even(F.col("d")).alias("effect_size"))
-    chosen = sizes.orderBy(F.abs("effect_size").desc(), "idx").limit(min(k, len(candidates))).collect()
+    sizes = large_enough(rows)
+    if sizes is None:
+        return None
+    effects = effect_sizes(rows.where("split = 'train'"), candidates, is_positive()).select("idx", "feature", half_even(F.col("d")).alias("effect_size"))
+    chosen = effects.orderBy(F.abs("effect_size").desc(), "idx").limit(min(k, len(candidates))).collect()
     names = [r["feature"] for r in chosen]
     head = fit_one(rows.where("split = 'train'"), names)
     scores = {s: {n: round(float(x), 4) for n, x in evaluate(rows.where(F.col("split") == s).withColumn("p", logistic(head)), "p", is_positive()).items()} for s in ("train", "val")}
-    return {"features_used": names, "top_separators": [{"feature": r["feature"], "effect_size": r["effect_size"]} for r in chosen], **scores, "num_train": seen["train"]["n"], "num_val": seen["val"]["n"]}
+    return {"features_used": names, "top_separators": [{"feature": r["feature"], "effect_size": r["effect_size"]} for r in chosen], **scores, "num_train": sizes[0], "num_val": sizes[1]}
 
 
-def layer_benchmark(rows: DataFrame | None, suites: dict[str, Sequence[str]], vad: DataFrame | None = None, tandem: tuple[Sequence[str], Sequence[str]] | None = (ACOUSTIC_HEAD, BEHAVIOURAL_HEAD)) -> list[dict]:
+def layer_benchmark(rows: DataFrame | None, suites: dict[str, Sequence[str] | tuple[DataFrame | None, Sequence[str]]], vad: DataFrame | None = None, tandem: tuple[Sequence[str], Sequence[str]] | None = (ACOUSTIC_HEAD, BEHAVIOURAL_HEAD)) -> list[dict]:
     """A report for each layer: detectors, a guarded head for each suite of features, and the whole training.
 
-    A suite that lacks its rows is skipped and says so.
+    A suite may have rows of its own, as (rows, features). One that lacks its rows is skipped and says so.
     """
     skipped = lambda name, why: {"id": name, "status": "skipped", "reason": why}
     out = []
     if vad is not None:
         table = [r.asDict() for r in vad.orderBy("backend").collect()]  # one row a backend
-        best = best_backend(vad).first()
+        best = max(table, key=lambda r: r["mean_overall_iou"], default=None)  # the first by name of equal ones
         out.append({"id": "vad", "status": "ok", "best": best["backend"], "table": table} if best else skipped("vad", "no calls"))
-    for name, features in suites.items():
-        found = None if rows is None else fit_and_score(rows, features)
+    for name, suite in suites.items():
+        own, features = suite if len(suite) == 2 and not isinstance(suite[1], str) else (rows, suite)
+        found = None if own is None else fit_and_score(own, features)
         out.append({"id": name, "status": "ok", **found} if found else skipped(name, "not enough labelled calls"))
     if tandem is not None:
-        whole = None if rows is None else fit_and_score(rows, tandem[0])
-        if whole:
+        if rows is not None and large_enough(rows):
             model = train(rows, acoustic=tandem[0], behavioural=tandem[1])
             out.append({"id": "tandem", "status": "ok", "metrics": model["metrics"], "fusion_type": model["fusion_type"]})
         else:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import signal as dsp
 from colloquy.functions import spans as sp
 from colloquy.functions.stats import or_zero
+from colloquy.operators import backends
 from colloquy.operators.timing import caller_gaps
 from colloquy.schemas import ACOUSTIC_NAMES, AGENT, CALLER, INTERACTION_NAMES, MICRO_NAMES
 from colloquy.sources.audio import signal
@@ -57,6 +58,15 @@ def voiced(sound: np.ndarray, rate: int, least: float = LEAST_S) -> list[tuple[i
     return sp.runs(db > sp.quantile(db, FLOOR) + MARGIN_DB, HOP_S, JOIN_S, least) if len(db) else []
 
 
+def _hybrid(sound: np.ndarray, rate: int, least: float) -> list[tuple[int, float, float]]:
+    """Energy, and where that finds nothing in a channel the neural detector, if one is registered."""
+    return voiced(sound, rate, least) or (backends.DETECTORS["neural"](sound, rate, least) if "neural" in backends.DETECTORS else [])
+
+
+backends.register("energy", voiced)
+backends.register("hybrid", _hybrid)
+
+
 def acoustic(caller: np.ndarray, rate: int, turns: list[sp.Span], duration: float) -> list[float]:
     """ACOUSTIC_NAMES of a call. Segments of under 8 samples have no shape."""
     shapes = []
@@ -98,17 +108,17 @@ def interaction(caller: np.ndarray, agent: np.ndarray, rate: int, turns: list[sp
     return [breaths / talk if talk > 0 else 0.0, before_long / len(long_gaps) if long_gaps else 0.0, together, *decays[:2], dsp.lagged_peak(caller[:n], agent[:n], rate), bleed[0]]
 
 
-def heard(audio: DataFrame, segments: DataFrame | None = None, layers: Sequence[str] = (), least: float = LEAST_S, corrected: bool = False) -> DataFrame:
+def heard(audio: DataFrame, segments: DataFrame | None = None, layers: Sequence[str] = (), least: float = LEAST_S, corrected: bool = False, backend: str = "energy") -> DataFrame:
     """(call_id, error, duration, segments, then a struct for each layer of LAYERS asked for and times) for each row of audio.
 
-    segments (call_id, seq, channel, start, end) replaces detection by energy. times has the milliseconds of each layer, and of detection as
+    segments (call_id, seq, channel, start, end) replaces detection by a registered backend. times has the milliseconds of each layer, and of detection as
     segments. Rows with an error have nulls.
     """
     asked = [n for n in LAYERS if n in layers]
     timed = ["segments", *asked]
     schema = f"call_id string, error string, duration double, segments array<{SEGMENT}>, " + "".join(f"{n} struct<{', '.join(f'{x}: double' for x in LAYERS[n])}>, " for n in asked)
     schema += f"times struct<{', '.join(f'{n}: double' for n in timed)}>"
-    given = segments is not None
+    given, known = segments is not None, dict(backends.DETECTORS)
 
     def one(row) -> tuple:
         rate, caller, agent = int(row.sample_rate), signal(row.pcm0), signal(row.pcm1)
@@ -117,7 +127,7 @@ def heard(audio: DataFrame, segments: DataFrame | None = None, layers: Sequence[
         if given:
             spoken = [] if row.given is None else [(s["start"], s["seq"], s["channel"], s["end"]) for s in row.given]
         else:
-            spoken = [(start, seq, ch, end) for ch, sound in ((CALLER, caller), (AGENT, agent)) for seq, start, end in voiced(sound, rate, least)]
+            spoken = [(start, seq, ch, end) for ch, sound in ((CALLER, caller), (AGENT, agent)) for seq, start, end in known[backend](sound, rate, least)]
         spoken = sorted(spoken)
         turns, others = ([(start, end) for start, _, ch, end in spoken if ch == side] for side in (CALLER, AGENT))
         for name in timed:
@@ -133,6 +143,7 @@ def heard(audio: DataFrame, segments: DataFrame | None = None, layers: Sequence[
         return row.call_id, None, duration, [dict(zip(("start", "seq", "channel", "end"), s)) for s in spoken], *columns, dict(zip(timed, times))
 
     def run(batches):
+        backends.DETECTORS.update(known)  # those of the driver
         names = ["call_id", "error", "duration", "segments", *asked, "times"]
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -168,14 +179,15 @@ def with_fallback(found: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def voice_activity(audio: DataFrame, backend: str = "hybrid", least: float = LEAST_S, fallback=None) -> DataFrame:
-    """Segments by a named backend: energy, hybrid, or neural, which is fallback(audio) alone."""
-    if backend == "neural":
-        if fallback is None:
-            raise ValueError("the neural backend needs a detector as fallback")
+    """Segments by a backend: a registered one, or with fallback, a detector from tables to tables, neural (that alone) or hybrid (where energy finds nothing)."""
+    if backend == "neural" and fallback is not None:
         return fallback(audio).where(F.col("end") - F.col("start") >= F.lit(least))
-    if backend not in ("energy", "hybrid"):
-        raise ValueError(f"unknown backend: {backend}")
-    return energy_segments(audio, least) if backend == "energy" else hybrid_segments(audio, least, fallback)
+    if backend == "hybrid" and fallback is not None:
+        return hybrid_segments(audio, least, fallback)
+    if backend == "neural" and backend not in backends.DETECTORS:
+        raise ValueError("the neural backend needs a detector as fallback, or registered by that name")
+    backends.detector(backend)
+    return segments_of(heard(good(audio), least=least, backend=backend))
 
 
 def _layer(name: str, audio: DataFrame, segments: DataFrame, **settings) -> DataFrame:

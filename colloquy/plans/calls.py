@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.stats import or_zero
+from colloquy.operators import backends
 from colloquy.operators.evaluation import vad_benchmark
 from colloquy.operators.layers import LAYERS, LEAST_S, calls_of, good, heard, voice_activity
 from colloquy.operators.ledger import FRAME_S, conversation_metrics, ledger
 from colloquy.operators.scoring import score, train
 from colloquy.operators.timing import spoken, with_ratios
+from colloquy.operators.transcripts import semantic_features
 from colloquy.schemas import FEATURE_NAMES, INTERACTION_NAMES, MICRO_NAMES, RECOVERY_NAMES, TIMING_NAMES
 from colloquy.sources.audio import requests
 from colloquy.sources.dataset import Dataset
@@ -26,10 +28,10 @@ def measured(audio: DataFrame, segments: DataFrame | None = None, heavy: bool =
     Sound is decoded and measured in one stage; what it yields, segments and numbers, goes through one exchange by call for
     the layers about who talks when. Only segments from elsewhere are joined to sound, once.
     """
-    if segments is None and (backend == "neural" or fallback is not None or backend not in ("energy", "hybrid")):
+    if segments is None and (fallback is not None or backend not in backends.DETECTORS):
         segments = voice_activity(audio, backend, least, fallback)
     layers = tuple(LAYERS) if heavy else ("acoustic",)
-    rows = heard(audio, segments, layers, least)
+    rows = heard(audio, segments, layers, least, backend=backend)
     # a segment a row, the first with the call's own numbers
     own = F.struct("error", "duration", *layers, "times")
     split = rows.select("call_id", own.alias("own"), F.posexplode_outer("segments").alias("at", "s"))
@@ -86,6 +88,11 @@ def labelled_features(data: Dataset, heavy: bool = False, backend: str = "hybrid
     return found.join(calls.select(F.col("anon_id").alias("call_id"), "split", "label"), "call_id")
 
 
+def with_transcripts(rows: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Feature rows with the probe features of those calls that have a transcript."""
+    return rows.join(semantic_features(transcripts), "call_id")
+
+
 def train_from(data: Dataset, backend: str = "hybrid", **heads) -> dict:
     """A model document from a data set's recordings, by the light layers."""
     return train(labelled_features(data, backend=backend), **heads) | {"vad_backend": backend}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.schemas import MANIFEST, TRANSCRIPT_FILE, TURN_FILE
+from colloquy.sources import places
 
 
 def manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -45,11 +46,18 @@ def report(rows: DataFrame, path: str, kind: str = "json") -> None:
     rows.write.mode("overwrite").format(kind).save(path)
 
 
+def shown(rows: DataFrame, limit: int) -> tuple[list, int]:
+    """(the first rows, how many there are beyond them): what a report shows, and what it must say that it does not."""
+    taken = rows.limit(limit + 1).collect()
+    return (taken, 0) if len(taken) <= limit else (taken[:limit], rows.count() - limit)
+
+
 def markdown(rows: DataFrame, limit: int = 200) -> str:
-    """A small result as a table."""
-    taken = rows.limit(limit).collect()
+    """A small result as a table; rows beyond limit are counted in its last line."""
+    taken, more = shown(rows, limit)
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in taken])
+    lines += ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in taken]
+    return "\n".join(lines + [f"({more} more rows are not shown)"] * bool(more))
 
 
 def embedded_json(value: object) -> str:
@@ -58,13 +66,18 @@ def embedded_json(value: object) -> str:
 
 
 def html_page(title: str, tables: dict[str, DataFrame], limit: int = 200) -> str:
-    """Small results as one page: a heading and a table for each, the numbers also as JSON for scripts."""
-    taken = {name: (rows.columns, [list(r) for r in rows.limit(limit).collect()]) for name, rows in tables.items()}
+    """Small results as one page: a heading and a table for each, the numbers also as JSON for scripts. Rows beyond limit are counted under their table."""
+    taken = {name: (rows.columns, *shown(rows, limit)) for name, rows in tables.items()}
     cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else html.escape(str(v))
     body = "".join(
         f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in columns)}</tr>"
-        + "".join(f"<tr>{''.join(f'<td>{cell(v)}</td>' for v in row)}</tr>" for row in rows) + "</table>"
-        for name, (columns, rows) in taken.items()
+        + "".join(f"<tr>{''.join(f'<td>{cell(v)}</td>' for v in row)}</tr>" for row in rows) + "</table>" + f"<p>{more} more rows are not shown</p>" * bool(more)
+        for name, (columns, rows, more) in taken.items()
     )
-    data = embedded_json({name: {"columns": c, "rows": r} for name, (c, r) in taken.items()})
+    data = embedded_json({name: {"columns": c, "rows": [list(r) for r in rows], "more": more} for name, (c, rows, more) in taken.items()})
     return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}<script type="application/json" id="data">{data}</script>'
+
+
+def save_page(page: str, path: str) -> None:
+    """A page as one file, in any store that Arrow knows."""
+    places.write(path, places.place(path)[1], page.encode())

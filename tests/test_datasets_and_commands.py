@@ -113,3 +113,81 @@ def test_pages(spark):
 def test_benchmark_of_detectors(spark, folder):
     got = calls.benchmark_detectors(dataset.resolve(spark, str(folder)), "val").collect()
     assert {r["backend"] for r in got} == {"energy", "hybrid"} and all(r["num_calls"] == 4 and 0 < r["mean_overall_iou"] <= 1 for r in got)
+
+
+def test_own_backend_as_plan_function_and_benchmark(spark, folder):
+    """A registered detector runs in the stage for sound, as a table function of SQL, and in the benchmark."""
+    from colloquy.operators import backends
+
+    backends.register("whole", lambda sound, rate, least: [(0, 0.0, len(sound) / rate)] if len(sound) / rate >= least else [])
+    data = dataset.resolve(spark, str(folder))
+    audio = data.audio("val")
+    wanted = sorted((f"call_{i}", 0, ch, 0.0, 4.0) for i in range(6, 10) for ch in (0, 1))
+    assert sorted(map(tuple, layers.voice_activity(audio, "whole").collect())) == wanted and layers.voice_activity(audio, "whole", 5.0).count() == 0
+    assert {r["caller_talk_ratio"] for r in calls.features(audio, heavy=False, backend="whole").collect()} == {1.0}
+    assert backends.as_function(spark, "whole") == "detect_whole"
+    audio.createOrReplaceTempView("sounds_")
+    spark.read.format("binaryFile").load(f"{folder}/audio").where("path like '%call_6%' or path like '%call_7%'").selectExpr("regexp_extract(path, '(call_.)', 1) as call_id", "content").createOrReplaceTempView("files_")
+    assert sorted(map(tuple, spark.sql("SELECT * FROM detect_whole(TABLE(sounds_), 0.2D)").collect())) == wanted
+    assert sorted(map(tuple, spark.sql("SELECT * FROM detect_whole(TABLE(files_) PARTITION BY call_id)").collect())) == wanted[:4]
+    assert spark.sql("SELECT * FROM detect_whole(TABLE(files_), 5.0D)").count() == 0
+    backends.as_function(spark, "energy")
+    assert sorted(map(tuple, spark.sql("SELECT * FROM detect_energy(TABLE(sounds_))").collect())) == sorted(map(tuple, layers.energy_segments(audio).collect()))
+    with pytest.raises(Exception, match="needs call_id"):
+        spark.sql("SELECT * FROM detect_whole(TABLE(SELECT 1 AS x))").collect()
+    with pytest.raises(ValueError, match="unknown backend"):
+        backends.as_function(spark, "none")
+    got = {r["backend"]: r for r in calls.benchmark_detectors(data, "val", ("energy", "whole")).collect()}
+    assert got["whole"]["caller_mean_iou"] == pytest.approx(0.4) and got["whole"]["agent_mean_iou"] == pytest.approx(0.2) and got["energy"]["num_calls"] == 4
+    backends.DETECTORS.pop("whole")
+
+
+def test_neural_detector_stands_in_where_energy_finds_nothing(spark, folder):
+    from colloquy.operators import backends
+
+    audio = dataset.resolve(spark, str(folder)).audio("val")
+    backends.register("neural", lambda sound, rate, least: [(7, 1.0, 2.0)])
+    try:
+        assert layers.voice_activity(audio, "hybrid").count() == layers.energy_segments(audio).count()
+        assert {(r["seq"], r["end"]) for r in layers.voice_activity(audio, "hybrid", 10.0).collect()} == {(7, 2.0)}
+        assert layers.voice_activity(audio, "neural").count() == 8
+    finally:
+        backends.DETECTORS.pop("neural")
+
+
+def test_reports_say_what_they_do_not_show(spark):
+    rows = spark.range(205).select(F.col("id").alias("n"))
+    assert tables.markdown(rows).endswith("| 199 |\n(5 more rows are not shown)") and "more rows" not in tables.markdown(rows, 205) and tables.markdown(rows, 300).count("\n") == 206
+    page = tables.html_page("t", {"a": rows, "b": rows.limit(3)}, 200)
+    assert page.count("<p>5 more rows are not shown</p>") == 1 and json.loads(page.split('id="data">')[1].split("</script>")[0])["a"]["more"] == 5
+
+
+def test_five_suites_with_transcripts(spark, folder, tmp_path, capsys):
+    texts = tmp_path / "texts"
+    texts.mkdir()
+    for i in range(10):
+        said = [{"channel": 1, "start": 0.0, "end": 1.0, "text": "¿sí o no?" if i % 2 else "hola"}, {"channel": 0, "start": 1.0, "end": 2.0, "text": "eh este pues" * (i % 3)}]
+        said += [{"channel": 1, "start": 2.0, "end": 3.0, "text": "¿rojo o azul?"}] * (i == 3)
+        (texts / f"call_{i}.json").write_text(json.dumps({"turns": said}))
+    for more, status in ((["--transcripts", str(texts)], "ok"), ([], "skipped"), (["--transcripts", str(tmp_path / "none")], "skipped")):
+        cli.main(["benchmark", "--root", str(folder), *more], spark)
+        found = {x["id"]: x for x in json.loads(capsys.readouterr().out)}
+        assert list(found) == ["vad", "acoustic", "semantic", "behavioral", "tandem"] and found["semantic"]["status"] == status
+        assert all(found[n]["status"] == "ok" for n in ("vad", "acoustic", "behavioral", "tandem"))
+        if status == "ok":
+            assert found["semantic"]["features_used"][0] == "false_dilemma_count" and found["semantic"]["num_train"] == 6
+
+
+def test_pages_of_commands(spark, folder, tmp_path):
+    pages = {n: tmp_path / f"{n}.html" for n in ("explore", "train", "inspect")}
+    model = str(tmp_path / "model")
+    cli.main(["train", "--tune", "--root", str(folder), "--model", model, "--page", str(pages["train"])], spark)
+    cli.main(["inspect", "--root", str(folder), "--model", model, "--page", str(pages["inspect"])], spark)
+    cli.main(["explore", "--root", str(folder), "--page", str(pages["explore"])], spark)
+    held = {n: json.loads(p.read_text().split('id="data">')[1].split("</script>")[0]) for n, p in pages.items()}
+    assert len(held["train"]["variants"]["rows"]) == 4 * 2 * 4 and set(held["inspect"]) == {"rates", "misses, the most confident first"}
+    stats = held["explore"]["effect sizes"]
+    assert len(stats["rows"]) == 2 * 85 and {"ci_low", "ci_high"} <= set(stats["columns"])
+    at = {c: i for i, c in enumerate(stats["columns"])}
+    # no resample of few calls may hold both labels; where some do, the interval is one
+    assert all(r[at["ci_low"]] is None or r[at["ci_low"]] <= r[at["ci_high"]] for r in stats["rows"]) and any(r[at["ci_low"]] is not None for r in stats["rows"])
