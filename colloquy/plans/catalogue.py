@@ -312,8 +312,8 @@ def hybrid_fallback(spark, sf_dir):
     """Where a strict detector found nothing in a channel, all of another's rows stand in."""
     levels = _levels(spark, sf_dir)
     found = ledger.energy_mask(levels, margin=36.0).where("active").select("call_id", "channel", F.lit("energy").alias("source"))
-    other = levels.select("call_id", "channel", F.lit("fallback").alias("source")).join(found.select("call_id", "channel").distinct(), ["call_id", "channel"], "left_anti")
-    return found.unionByName(other).groupBy("call_id").agg(F.count("*").alias("n"), F.max("source").alias("source"))
+    other = levels.select("call_id", "channel", F.lit("fallback").alias("source"))
+    return layers.with_fallback(found, other).groupBy("call_id").agg(F.count("*").alias("n"), F.max("source").alias("source"))
 
 
 # signals: embeddings as frames of 64 samples at a rate of 8000
@@ -357,22 +357,35 @@ def frame_pink_slope(spark, sf_dir):
     return rounded(_per_frame(derived.frames(spark, sf_dir), ["slope"], lambda x: (dsp.pink_slope(x, RATE),)))
 
 
-@query(f"""WITH {FRM}, n AS (SELECT call_id, idx, i, v, lead(v, 1, v) OVER o AS b, lag(v, 1, v) OVER o AS a FROM x WINDOW o AS (PARTITION BY call_id, i ORDER BY idx)) SELECT call_id, i, {six("stddev_pop((b - a) / 2)")} AS delta_std, {six("sum((b - a) / 2)")} AS delta_sum FROM n WHERE i < 12 GROUP BY call_id, i""")
+#: Frames of a label that make one track.
+TRACK = 500
+
+
+@query(f"""WITH {FRM}, n AS (SELECT call_id, idx // {TRACK} AS track, i, lead(v, 1, v) OVER o AS b, lag(v, 1, v) OVER o AS a FROM x WINDOW o AS (PARTITION BY call_id, idx // {TRACK}, i ORDER BY idx)) SELECT call_id, track, i, {six("stddev_pop((b - a) / 2)")} AS delta_std, {six("sum((b - a) / 2)")} AS delta_sum FROM n GROUP BY call_id, track, i""")
 def frame_delta(spark, sf_dir):
-    """Of 12 coefficients over a call's frames in order."""
-    order = Window.partitionBy("call_id", "i").orderBy("idx")
-    cells = derived.frames(spark, sf_dir).select("call_id", "idx", F.posexplode(F.slice("x", 1, 12)).alias("i", "v"))
-    v = F.col("v")
-    delta = (F.coalesce(F.lead("v").over(order), v) - F.coalesce(F.lag("v").over(order), v)) / 2
-    return rounded(cells.select("call_id", F.col("i").cast("long").alias("i"), delta.alias("d")).groupBy("call_id", "i").agg(F.stddev_pop("d").alias("delta_std"), F.sum("d").alias("delta_sum")))
+    """Of all coefficients over a track's frames in order."""
+    import numpy as np
+    import pandas as pd
+
+    def one(key, rows):
+        d = dsp.deltas(np.stack(rows.sort_values("idx")["x"].to_list()))
+        return pd.DataFrame({"call_id": key[0], "track": key[1], "i": range(d.shape[1]), "delta_std": d.std(axis=0), "delta_sum": d.sum(axis=0)})
+
+    tracks = derived.frames(spark, sf_dir).withColumn("track", F.floor(F.col("idx") / TRACK))
+    return rounded(tracks.groupBy("call_id", "track").applyInPandas(one, "call_id long, track long, i long, delta_std double, delta_sum double"))
 
 
 @query("""WITH p AS (SELECT user_id AS call_id, value AS v, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS d FROM events WHERE value > 0) SELECT call_id, round(coalesce(avg(d) / avg(v), 0), 6) + 0.0 AS jitter FROM p GROUP BY call_id""")
 def jitter_shimmer(spark, sf_dir):
     """Relative step between neighbours, of positive values only: jitter of a pitch track, shimmer of levels."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    clean = derived.table(spark, sf_dir, "events").where("value > 0").select(F.col("user_id").alias("call_id"), "value", F.abs(F.col("value") - F.lag("value").over(order)).alias("d"))
-    return rounded(clean.groupBy("call_id").agg(or_zero(F.try_divide(F.avg("d"), F.avg("value"))).alias("jitter")))
+    import numpy as np
+    import pandas as pd
+
+    def one(key, rows):
+        return pd.DataFrame({"call_id": [key[0]], "jitter": [dsp.wobble(rows.sort_values(["ts", "event_id"])["value"].to_numpy(np.float64))]})
+
+    tracks = derived.table(spark, sf_dir, "events").where("value > 0").select(F.col("user_id").alias("call_id"), "ts", "event_id", "value")
+    return rounded(tracks.groupBy("call_id").applyInPandas(one, "call_id long, jitter double"))
 
 
 ENV = "ev AS (SELECT user_id AS call_id, event_id % 2 AS ch, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS i, value AS v FROM events)"
@@ -427,8 +440,8 @@ def lagged_xcorr(spark, sf_dir):
 
 @query(r"WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4,}')) AS number FROM documents) SELECT doc_id, count(*) AS n, max(length(number)) AS longest FROM d GROUP BY doc_id")
 def digit_runs(spark, sf_dir):
-    runs = derived.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{4,}"), F.lit(0))).alias("number"))
-    return runs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("number")).cast("long").alias("longest"))
+    turns = derived.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("call_id"), F.lit(0).alias("seq"), F.lit(AGENT).alias("channel"), F.lit(0.0).alias("start"), "text")
+    return transcripts.numbers(turns).groupBy(F.col("call_id").alias("doc_id")).agg(F.count("*").alias("n"), F.max(F.length("number")).cast("long").alias("longest"))
 
 
 def _digits_said(spark, sf_dir):

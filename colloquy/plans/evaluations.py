@@ -20,12 +20,12 @@ from colloquy.sources import audio
 VECTORS, TIMES, RATE = 50, 16, 8000
 
 
-def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(call_id, content): 50 embeddings are a WAV file of two channels; five of a channel are loud, then five quiet."""
+def recordings(spark: SparkSession, sf_dir: str, count: int = VECTORS, times: int = TIMES) -> DataFrame:
+    """(call_id, content): count embeddings are a WAV file of two channels, each sounding so many times; five of a channel are loud, then five quiet."""
 
     def wav(vectors: list) -> bytes:
         pairs = list(zip(vectors[::2], vectors[1::2]))
-        sides = [np.concatenate([np.tile(np.floor(np.array(v, np.float64) * (40_000 if k // 5 % 2 == 0 else 200) + 0.5), TIMES) for k, v in enumerate(side)]) for side in zip(*pairs)]
+        sides = [np.concatenate([np.tile(np.floor(np.array(v, np.float64) * (40_000 if k // 5 % 2 == 0 else 200) + 0.5), times) for k, v in enumerate(side)]) for side in zip(*pairs)]
         with io.BytesIO() as out:
             with wave.open(out, "wb") as file:
                 file.setnchannels(2)
@@ -38,8 +38,8 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"call_id": batch["call_id"], "content": [wav([v["embedding"] for v in vectors]) for vectors in batch["vectors"]]})
 
-    rows = derived.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / VECTORS).cast("string").alias("call_id"), F.struct("vec_id", "embedding").alias("vector"))
-    grouped = rows.groupBy("call_id").agg(F.sort_array(F.collect_list("vector")).alias("vectors"))  # VECTORS of them
+    rows = derived.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / count).cast("string").alias("call_id"), F.struct("vec_id", "embedding").alias("vector"))
+    grouped = rows.groupBy("call_id").agg(F.sort_array(F.collect_list("vector")).alias("vectors"))  # count of them
     return grouped.mapInPandas(run, "call_id string, content binary")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.operators import intervals, ledger, ranking, scoring, timing
+from colloquy.operators import intervals, layers, ledger, ranking, scoring, timing
+from colloquy.operators.transcripts import semantic_features
 from colloquy.plans import derived
 from colloquy.plans.catalogue import FEA, FRAME_CS, ORACLES, SEG, query, rounded, sides, six
-from colloquy.plans.evaluations import PCM, sounds
-from colloquy.schemas import REQUESTS
+from colloquy.plans.evaluations import PCM, SPANS, eighths, sounds
+from colloquy.schemas import REQUESTS, SEMANTIC_NAMES
 from colloquy.session import scratch
 from colloquy.sources import audio, spool, wav
 
@@ -128,6 +129,62 @@ def live_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("call_id").cast(segs.schema["call_id"].dataType).alias("call_id"), "event_idx", "channel", "first", "last", "type")
 
 
+@query("SELECT CAST(page_id AS VARCHAR) AS call_id, CASE page_id % 5 WHEN 0 THEN 'stereo' WHEN 1 THEN 'rate' WHEN 2 THEN 'wav' WHEN 3 THEN 'base64' END AS error, CASE page_id % 5 WHEN 4 THEN 8000 END AS sample_rate, CASE page_id % 5 WHEN 4 THEN strlen(coalesce(url, '')) // 4 ELSE 0 END AS n0 FROM pages")
+def request_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls as samples of requests of every kind: one channel, a wrong rate, no WAV file, no base64, and sound."""
+    url, kind = F.coalesce("url", F.lit("")).cast("binary"), F.col("page_id") % 5
+    text = lambda s: F.lit(s).cast("binary")
+    number = lambda column, size: F.concat(*[F.substring(F.unhex(F.lpad(F.hex(column), 8, "0")), 4 - i, 1) for i in range(size)])
+    channels, rate, size = F.when(kind == 0, 1).otherwise(2), F.when(kind == 1, 44100).otherwise(8000), F.length(url)
+    head = [text("RIFF"), number(36 + size, 4), text("WAVEfmt "), number(F.lit(16), 4), number(F.lit(1), 2), number(channels, 2), number(rate, 4), number(rate * 4, 4), number(F.lit(4), 2), number(F.lit(16), 2), text("data"), number(size, 4)]
+    file = F.when(kind == 2, F.concat(text("RIFX"), url)).otherwise(F.concat(*head, url))
+    coded = F.when(kind == 3, F.concat(F.lit("?"), F.base64(file))).otherwise(F.base64(file))
+    rows = derived.table(spark, sf_dir, "pages").select(F.lit(None).cast("string").alias("audio_base64"), F.replace(coded, F.lit("\r\n"), F.lit("")).alias("audio_b64"), F.col("page_id").cast("string").alias("call_id"))
+    return audio.requests(rows).select("call_id", "error", "sample_rate", "n0")
+
+
+# transcripts
+
+
+@query("""WITH n AS (SELECT user_id AS call_id, event_id AS e, CAST(event_id + 100000 AS VARCHAR) AS t FROM events),
+p AS (SELECT a.call_id, a.t AS original, b.t AS mutated, b.e AS said, len(list_filter(generate_series(1, 6), lambda i: substr(a.t, i, 1) <> substr(b.t, i, 1))) AS h FROM n a JOIN n b ON a.call_id = b.call_id AND a.e < b.e)
+SELECT c.call_id, CAST(coalesce(k, 0) AS DOUBLE) AS digit_trap_count, CAST(coalesce(o, 0) AS DOUBLE) AS digit_trap_caller_objected, CAST(d AS DOUBLE) AS false_dilemma_count, CAST(m AS DOUBLE) AS announced_interrupt_count, CAST(f AS DOUBLE) AS caller_filler_count
+FROM (SELECT user_id AS call_id, count(*) FILTER (WHERE event_id % 7 = 0) AS d, count(*) FILTER (WHERE event_id % 11 = 0) AS m, 2 * count(*) FILTER (WHERE event_id % 3 = 1) AS f FROM events GROUP BY user_id) c
+LEFT JOIN (SELECT call_id, count(*) AS k, count(*) FILTER (WHERE said % 3 = 0) AS o FROM p WHERE h = 1 GROUP BY call_id) q ON q.call_id = c.call_id""")
+def semantic_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a turn of the agent, which says its number and sometimes asks or warns, and a reply, which sometimes objects or hesitates."""
+    e = F.col("event_id")
+    asks, warns = F.when(e % 7 == 0, " ¿uno o dos?").otherwise(""), F.when(e % 11 == 0, " perdone que le interrumpa").otherwise("")
+    said = F.concat(F.lit("your number is "), e + 100000, asks, warns)
+    reply = F.when(e % 3 == 0, "No, espera").when(e % 3 == 1, "EHHH pues vale").otherwise("vale")
+    turns = F.array(F.struct(F.lit(1).alias("channel"), e.cast("double").alias("start"), said.alias("text")), F.struct(F.lit(0).alias("channel"), (e + 0.5).alias("start"), reply.alias("text")))
+    rows = derived.table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), F.posexplode(turns).alias("pos", "turn"), "event_id")
+    rows = rows.select("call_id", (F.col("event_id") * 2 + F.col("pos")).alias("seq"), "turn.channel", "turn.start", F.col("turn.start").alias("end"), "turn.text")
+    return semantic_features(rows).select("call_id", *SEMANTIC_NAMES)
+
+
+# pitch of the caller's segments
+
+
+@query(f"""WITH {SPANS}, fr AS (SELECT call_id, j, k, row_number() OVER (PARTITION BY call_id ORDER BY j, k) AS pos FROM sg CROSS JOIN (SELECT unnest(generate_series(0, 22)) AS k) ks),
+x AS (SELECT fr.call_id, pos, n - (j * 4000 + 1000 + k * 80) AS i, x AS v FROM fr JOIN pcm ON pcm.call_id = fr.call_id AND channel = 0 AND n BETWEEN j * 4000 + 1000 + k * 80 AND j * 4000 + 1000 + k * 80 + 199),
+ce AS (SELECT call_id, pos, i, v - avg(v) OVER (PARTITION BY call_id, pos) AS v FROM x), lv AS (SELECT call_id, pos, sqrt(avg(v * v)) AS rms FROM x GROUP BY call_id, pos),
+ac AS (SELECT a.call_id, a.pos, b.i - a.i AS lag, sum(a.v * b.v) AS r FROM ce a JOIN ce b ON a.call_id = b.call_id AND a.pos = b.pos AND (b.i - a.i = 0 OR b.i - a.i BETWEEN 20 AND 114) GROUP BY 1, 2, 3),
+bs AS (SELECT call_id, pos, max(CASE WHEN lag = 0 THEN r END) AS e, max(CASE WHEN lag > 0 THEN r END) AS m, min_by(lag, -r) FILTER (WHERE lag > 0) AS lag FROM ac GROUP BY call_id, pos),
+tr AS (SELECT bs.call_id, bs.pos, CASE WHEN e > 1e-12 THEN 8000.0 / lag ELSE 0 END AS f0, CASE WHEN e > 1e-12 AND m / e > 1e-6 AND m / e < 0.999 THEN 10 * log10((m / e) / (1 - m / e)) ELSE 0 END AS hnr, rms FROM bs JOIN lv ON lv.call_id = bs.call_id AND lv.pos = bs.pos),
+fj AS (SELECT call_id, avg(abs(f0 - p)) / avg(f0) AS jitter, stddev_pop(f0) AS s, stddev_pop(f0) / avg(f0) AS c FROM (SELECT call_id, f0, lag(f0) OVER (PARTITION BY call_id ORDER BY pos) AS p FROM tr WHERE f0 > 0) q GROUP BY call_id),
+sh AS (SELECT call_id, avg(abs(rms - p)) / avg(rms) AS shimmer FROM (SELECT call_id, rms, lag(rms) OVER (PARTITION BY call_id ORDER BY pos) AS p FROM tr WHERE rms > 0) q GROUP BY call_id),
+hn AS (SELECT call_id, avg(hnr) AS m, stddev_pop(hnr) AS s FROM tr WHERE hnr > 0 GROUP BY call_id)
+SELECT lg.call_id, round(coalesce(jitter, 0), 4) + 0.0 AS caller_pitch_jitter, round(coalesce(shimmer, 0), 4) + 0.0 AS caller_pitch_shimmer, round(coalesce(fj.s, 0), 2) + 0.0 AS caller_f0_std, round(coalesce(c, 0), 4) + 0.0 AS caller_f0_cv, round(coalesce(m, 0), 4) + 0.0 AS caller_hnr_mean, round(coalesce(hn.s, 0), 4) + 0.0 AS caller_hnr_std
+FROM lg LEFT JOIN fj ON fj.call_id = lg.call_id LEFT JOIN sh ON sh.call_id = lg.call_id LEFT JOIN hn ON hn.call_id = lg.call_id""")
+def micro_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pitch columns of the micro layer; all of it is computed."""
+    heard = sounds(spark, sf_dir)
+    found = layers.micro_features(heard, eighths(layers.calls_of(heard)))
+    places = {"caller_pitch_jitter": 4, "caller_pitch_shimmer": 4, "caller_f0_std": 2, "caller_f0_cv": 4, "caller_hnr_mean": 4, "caller_hnr_std": 4}
+    return found.select("call_id", *[(F.round(n, k) + 0.0).alias(n) for n, k in places.items()])
+
+
 # statistics
 
 #: How often row i counts in run r of bootstrap_moments.
