@@ -197,6 +197,20 @@ def evaluate(scored: DataFrame, p: str, truth: Column) -> dict[str, float]:
     return found | {"auc": auc(scored, p, truth).first()["auc"]}
 
 
+def evaluate_all(scored: DataFrame, scores: Sequence[str], truth: Column) -> dict[str, dict[str, dict[str, float]]]:
+    """evaluate() of several scores p_<part> of both splits at once: by split and part, from one aggregate over the long form and one AUC."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(p.removeprefix("p_")).alias("part"), F.col(p).alias("p")) for p in scores]))
+    long = scored.where("split in ('train', 'val')").select("split", truth.alias("truth"), pairs.alias("s")).select("split", "truth", "s.*")
+    rates = confusion(F.col("truth"), F.col("p") >= 0.5)
+    names = ("accuracy", "precision", "recall", "f1")
+    found = long.groupBy("split", "part").agg(*[rates[n].alias(n) for n in names]).join(auc(long, "p", F.col("truth"), ["split", "part"]), ["split", "part"]).collect()
+    nothing = dict.fromkeys(names, 0.0) | {"auc": 0.5}
+    out = {s: {p.removeprefix("p_"): dict(nothing) for p in scores} for s in ("train", "val")}
+    for r in found:
+        out[r["split"]][r["part"]] = {n: r[n] for n in (*names, "auc")}
+    return out
+
+
 def train(rows: DataFrame, key: str = "call_id", acoustic: Sequence[str] = ACOUSTIC_HEAD, behavioural: Sequence[str] = BEHAVIOURAL_HEAD) -> dict:
     """A model document from feature rows with split and label.
 
@@ -207,8 +221,7 @@ def train(rows: DataFrame, key: str = "call_id", acoustic: Sequence[str] = ACOUS
     features = {"acoustic": acoustic, "behavioral": behavioural, "concatenated": [*acoustic, *[n for n in behavioural if n not in acoustic]], "fusion": FUSION_HEAD}
     # the columns of the heads alone, read many times from here on
     rows = rows.select(key, "split", *features["concatenated"], is_positive().cast("double").alias("y")).persist()
-    train_rows, val = rows.where("split = 'train'"), rows.where("split = 'val'")
-    dealt = folded(train_rows, key)
+    dealt = folded(rows.where("split = 'train'"), key)
     k = dealt.agg(F.max("fold")).first()[0] + 1
     whole = F.explode(F.array(*[F.lit(n) for n in ("acoustic", "behavioral", "concatenated")]))
     held = [dealt.where(F.col("fold") != f).withColumn("model", F.lit(f"{head}#{f}")) for f in range(k) for head in ("acoustic", "behavioral")]
@@ -221,11 +234,9 @@ def train(rows: DataFrame, key: str = "call_id", acoustic: Sequence[str] = ACOUS
     stacked = dealt.select("y", by_fold("acoustic").alias("p_acoustic"), by_fold("behavioral").alias("p_behavioral"), F.lit("fusion").alias("model"))
     model = {n: found[n] for n in ("acoustic", "behavioral", "concatenated")} | {"fusion": fitted(stacked, features, size)["fusion"]}
     model |= {"fusion_type": "stacked", "vad_backend": "hybrid", "disagree_unsure": UNSURE, "quiet_patient": QUIET}
-    truth, metrics = F.col("y") == 1.0, {}
-    for split, part in (("train", train_rows), ("val", val)):
-        heads = part.withColumns({n: logistic(model[h]) for n, h in zip(FUSION_HEAD, ("acoustic", "behavioral"))})
-        heads = heads.withColumns({"p_stacked": logistic(model["fusion"]), "p_concatenated": logistic(model["concatenated"])})
-        metrics[split] = {p.removeprefix("p_"): evaluate(heads, p, truth) for p in (*FUSION_HEAD, "p_stacked", "p_concatenated")}
+    heads = rows.withColumns({n: logistic(model[h]) for n, h in zip(FUSION_HEAD, ("acoustic", "behavioral"))})
+    heads = heads.withColumns({"p_stacked": logistic(model["fusion"]), "p_concatenated": logistic(model["concatenated"])})
+    metrics = evaluate_all(heads, (*FUSION_HEAD, "p_stacked", "p_concatenated"), F.col("y") == 1.0)
     if metrics["val"]["stacked"]["auc"] < metrics["val"]["concatenated"]["auc"] - MARGIN:
         model["fusion_type"] = "concatenated"
     rows.unpersist()

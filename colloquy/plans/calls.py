@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import functools
-import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.stats import or_zero
 from colloquy.operators import backends
 from colloquy.operators.evaluation import vad_benchmark
-from colloquy.operators.layers import LAYERS, LEAST_S, calls_of, good, heard, voice_activity
+from colloquy.operators.layers import LAYERS, LEAST_S, good, heard, segments_of, voice_activity
 from colloquy.operators.ledger import FRAME_S, conversation_metrics, ledger
 from colloquy.operators.scoring import score, train
 from colloquy.operators.timing import spoken, with_ratios
 from colloquy.operators.transcripts import semantic_features
 from colloquy.schemas import FEATURE_NAMES, INTERACTION_NAMES, MICRO_NAMES, RECOVERY_NAMES, TIMING_NAMES
+from colloquy.session import settled
 from colloquy.sources.audio import requests
 from colloquy.sources.dataset import Dataset
 
@@ -99,15 +99,10 @@ def train_from(data: Dataset, backend: str = "hybrid", **heads) -> dict:
 
 
 def benchmark_detectors(data: Dataset, split: str = "val", backends: Sequence[str] = ("energy", "hybrid")) -> DataFrame:
-    """vad_benchmark() of a split against its turn files. A latency is the mean time of a call of the whole run."""
+    """vad_benchmark() of a split against its turn files. A call's latency is the time that its detection took in its task."""
     audio, predicted, runs = data.audio(split), [], []
     for name in backends:
-        began = time.perf_counter()
-        found = voice_activity(audio, name).select(F.lit(name).alias("backend"), "call_id", "seq", "channel", "start", "end").persist()
-        found.count()
-        spent = (time.perf_counter() - began) * 1000
-        predicted.append(found)
-        runs.append(calls_of(audio).select("call_id", F.lit(name).alias("backend"), F.lit(spent).alias("spent")))
-    every = functools.reduce(DataFrame.unionByName, runs)
-    every = every.withColumn("latency_ms", F.col("spent") / F.count("*").over(Window.partitionBy("backend")))
-    return vad_benchmark(functools.reduce(DataFrame.unionByName, predicted), data.turns(), every)
+        found = settled(heard(good(audio), backend=name))  # so that segments and latencies are of one run
+        predicted.append(segments_of(found).withColumn("backend", F.lit(name)))
+        runs.append(found.select("call_id", F.lit(name).alias("backend"), F.col("times.segments").alias("latency_ms")))
+    return vad_benchmark(functools.reduce(DataFrame.unionByName, predicted), data.turns(), functools.reduce(DataFrame.unionByName, runs))

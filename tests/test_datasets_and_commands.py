@@ -113,6 +113,7 @@ def test_pages(spark):
 def test_benchmark_of_detectors(spark, folder):
     got = calls.benchmark_detectors(dataset.resolve(spark, str(folder)), "val").collect()
     assert {r["backend"] for r in got} == {"energy", "hybrid"} and all(r["num_calls"] == 4 and 0 < r["mean_overall_iou"] <= 1 for r in got)
+    assert all(0 < r["mean_latency_ms"] and 0 < r["p95_latency_ms"] < 60_000 for r in got)  # each call's own time
 
 
 def test_own_backend_as_plan_function_and_benchmark(spark, folder):
