@@ -185,6 +185,26 @@ def micro_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("call_id", *[(F.round(n, k) + 0.0).alias(n) for n, k in places.items()])
 
 
+@query(f"""WITH {SPANS}, iv AS (SELECT call_id, j FROM sg WHERE j * 0.5 + 0.5 <= d),
+yd AS (SELECT iv.call_id, j, sqrt(avg(x * x) FILTER (WHERE n < j * 4000 + 2300)) AS e, sqrt(avg(x * x) FILTER (WHERE n >= j * 4000 + 2900)) AS l FROM iv JOIN pcm ON pcm.call_id = iv.call_id AND channel = 0 AND n BETWEEN j * 4000 + 2000 AND j * 4000 + 3199 GROUP BY iv.call_id, j),
+ym AS (SELECT call_id, avg(y) AS m, stddev_pop(y) AS s FROM (SELECT call_id, CASE WHEN e > 1e-12 THEN 20 * log10(greatest(l, 1e-12) / e) ELSE 0 END AS y FROM yd) q GROUP BY call_id),
+cl AS (SELECT iv.call_id, j, channel, n - j * 4000 - 3000 AS i, x - avg(x) OVER (PARTITION BY iv.call_id, j, channel) AS x FROM iv JOIN pcm ON pcm.call_id = iv.call_id AND n BETWEEN j * 4000 + 3000 AND j * 4000 + 3999),
+nr AS (SELECT call_id, j, sqrt(sum(x * x) FILTER (WHERE channel = 0)) * sqrt(sum(x * x) FILTER (WHERE channel = 1)) AS s FROM cl GROUP BY call_id, j),
+cc AS (SELECT a.call_id, a.j, a.i - b.i AS lag, sum(a.x * b.x) AS r FROM cl a JOIN cl b ON a.call_id = b.call_id AND a.j = b.j AND a.channel = 0 AND b.channel = 1 AND a.i - b.i BETWEEN 40 AND 250 GROUP BY 1, 2, 3),
+bl AS (SELECT call_id, avg(p) AS m FROM (SELECT cc.call_id, cc.j, CASE WHEN max(s) > 1e-12 THEN max(abs(r)) / max(s) ELSE 0 END AS p FROM cc JOIN nr ON nr.call_id = cc.call_id AND nr.j = cc.j GROUP BY cc.call_id, cc.j) q GROUP BY call_id)
+SELECT lg.call_id, round(coalesce(ym.m, 0), 4) + 0.0 AS caller_yield_decay_mean_db, round(coalesce(ym.s, 0), 4) + 0.0 AS caller_yield_decay_std_db, round(coalesce(bl.m, 0), 4) + 0.0 AS caller_agent_bleed_correlation, 0.0::DOUBLE AS caller_breath_event_rate, 0.0::DOUBLE AS caller_breath_gap_ratio
+FROM lg LEFT JOIN ym ON ym.call_id = lg.call_id LEFT JOIN bl ON bl.call_id = lg.call_id""")
+def interaction_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the caller yields to an agent who breaks in, and what of the agent is heard in the caller's channel; breath is always 0."""
+    heard = sounds(spark, sf_dir)
+    caller = eighths(layers.calls_of(heard).withColumn("duration", F.col("duration") - 0.125))
+    # the agent begins in the middle of each of the caller's segments and goes on for a quarter of a second
+    agent = caller.select("call_id", (F.col("seq") + 1_000_000).alias("seq"), F.lit(1).alias("channel"), (F.col("start") + 0.125).alias("start"), (F.col("end") + 0.125).alias("end"))
+    found = layers.interaction_features(heard, caller.unionByName(agent))
+    names = ("caller_yield_decay_mean_db", "caller_yield_decay_std_db", "caller_agent_bleed_correlation", "caller_breath_event_rate", "caller_breath_gap_ratio")
+    return found.select("call_id", *[(F.round(n, 4) + 0.0).alias(n) for n in names])
+
+
 # statistics
 
 #: How often row i counts in run r of bootstrap_moments.
