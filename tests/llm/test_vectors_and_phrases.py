@@ -226,3 +226,25 @@ def test_sketch_never_counts_too_little(spark):
             cut = collocations.Cut(lang, " ".join(phrase).encode(), 0)
             for row, at in zip(full, collocations.cells_of(cut.grams(len(phrase)), cells)):
                 assert (row[at[0] >> 3] >> (at[0] & 7)) & 1
+
+
+def test_sql_of_collocations():
+    import duckdb
+    import pandas as pd
+
+    docs = texts(6)
+    with duckdb.connect() as connection:
+        connection.register("documents", pd.DataFrame({"doc_id": range(len(docs)), "text": pd.array([t for t, _ in docs], "string"), "lang": pd.array([k for _, k in docs], "string")}))
+        found = connection.sql(collocations.oracle_sql()).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").fetchall()
+    assert found and sorted(found) == sorted(brute_collocations(docs))
+
+
+def test_sql_of_hard_negatives():
+    import duckdb
+    import pyarrow as pa
+
+    rows = [r for r in vectors(420)[:-4] if r[1] is not None and r[2] != []]  # its SQL looks rows up by vec_id and takes vectors of one length
+    with duckdb.connect() as connection:
+        connection.register("embeddings", pa.table({"vec_id": [r[1] for r in rows], "embedding": pa.array([r[2] for r in rows], pa.list_(pa.float32())), "label": pa.array([r[3] for r in rows], pa.int32())}))
+        found = connection.sql(negatives.oracle_sql()).fetchall()
+    assert found and sorted(found) == sorted(brute_negatives(rows))
