@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import arrow_schema, partitions, typed
+from colloquy.llm.common import arrow_schema, forget, partitions, sliced, typed
 
 LEAF = 160
 #: Hex digits of a node below the root as text.
@@ -179,8 +179,9 @@ def neighbour_prints(docs: DataFrame) -> DataFrame:
     schema = arrow_schema(docs.sparkSession, PRINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         last, out = None, []
-        for batch in batches:
+        for batch in sliced(batches, 500):
             for doc, text, range_, copy in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "range", "copy"))):
                 if copy and (last is None or last[2] != range_):
                     continue  # a later tie of the document that follows
