@@ -170,7 +170,7 @@ def test_five_suites_with_transcripts(spark, folder, tmp_path, capsys):
         said = [{"channel": 1, "start": 0.0, "end": 1.0, "text": "¿sí o no?" if i % 2 else "hola"}, {"channel": 0, "start": 1.0, "end": 2.0, "text": "eh este pues" * (i % 3)}]
         said += [{"channel": 1, "start": 2.0, "end": 3.0, "text": "¿rojo o azul?"}] * (i == 3)
         (texts / f"call_{i}.json").write_text(json.dumps({"turns": said}))
-    for more, status in ((["--transcripts", str(texts)], "ok"), ([], "skipped"), (["--transcripts", str(tmp_path / "none")], "skipped")):
+    for more, status in ((["--transcripts", str(texts)], "ok"), (["--transcripts", str(tmp_path / "none")], "skipped")):
         cli.main(["benchmark", "--root", str(folder), *more], spark)
         found = {x["id"]: x for x in json.loads(capsys.readouterr().out)}
         assert list(found) == ["vad", "acoustic", "semantic", "behavioral", "tandem"] and found["semantic"]["status"] == status

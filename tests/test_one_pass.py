@@ -80,7 +80,7 @@ def recorded(spark, tmp_path_factory):
 
 def test_features_are_those_of_the_layers(recorded):
     """One pass gives what each layer gives by itself, over detected and over given segments."""
-    ends = calls.calls_of(recorded)
+    ends = layers.calls_of(recorded)
     found = layers.energy_segments(recorded)
     for given in (None, found):
         got = {r["call_id"]: r for r in calls.features(recorded, given).collect()}
