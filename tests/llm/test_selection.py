@@ -1,5 +1,6 @@
 """Importance resampling, near-duplicates, url filters and the pipeline."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -202,6 +203,61 @@ def test_url_model_learns(spark):
     assert got[80] == "allow" and got[81] == "block"
 
 
+def model_of_loops(counted: dict[str, int], symbols: int):
+    """The likelihood of a gram's last character, by recursion over counts of (url with marks: times)."""
+    seen: dict[str, dict[str, int]] = {}
+    for text, times in counted.items():
+        for i in range(urls.ORDERS, len(text)):
+            for size in range(urls.ORDERS + 1):
+                after = seen.setdefault(text[i - size : i], {})
+                after[text[i]] = after.get(text[i], 0) + times
+
+    def likelihood(context: str, character: str) -> float:
+        shorter = likelihood(context[1:], character) if context else 1 / symbols
+        after = seen.get(context, {})
+        return (after.get(character, 0) + len(after) * shorter) / (sum(after.values()) + len(after)) if after else shorter
+
+    return likelihood
+
+
+@pytest.mark.parametrize("shares", [1, 7, urls.SHARES])
+def test_url_scores_against_loops(spark, shares):
+    """Drawn urls, many repeated, with characters of one to four bytes, against recursive models; tables of common keys of all sizes."""
+    drawn = np.random.default_rng(5)
+    word = lambda: "".join(drawn.choice(list("ab7_%Aé字🙂^"), drawn.integers(0, 5)))
+    found = [f"x://{word()}{host}{path}{word()}" for host, path in [(".net", "/de/"), (".com", "/en/"), (".info", "/fr/")] for _ in range(30)]
+    found += ["x://a.net/de/"] * 40 + [None, "", "x://", "x://" + "long.org/es/" * 300]
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    rows = urls.judge_urls(pages, shares=shares).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(len(found)))
+    held = lambda text: hashlib.md5(text.encode()).hexdigest() < urls.HELD
+    marked = lambda text: urls.START * urls.ORDERS + text + urls.END
+    ruled, learnt = {r["host"] + r["path"]: r["verdict"] for r in rows if r["rule"]}, {"allow": {}, "block": {}}
+    for r in rows:
+        if r["rule"] and not held(text := r["host"] + r["path"]):
+            learnt[r["verdict"]][marked(text)] = learnt[r["verdict"]].get(marked(text), 0) + 1
+    symbols = len({c for kind in learnt.values() for text in kind for c in text[urls.ORDERS :]}) + 1
+    allow, block = (model_of_loops(learnt[kind], symbols) for kind in ("allow", "block"))
+    for r in rows:
+        text = marked(r["host"] + r["path"])
+        ratios = [np.log(allow(text[i - urls.ORDERS : i], text[i])) - np.log(block(text[i - urls.ORDERS : i], text[i])) for i in range(urls.ORDERS, len(text))]
+        assert r["score"] == pytest.approx(np.mean(ratios), abs=1e-9)
+    out = {kind: [r["score"] for r in rows if r["rule"] and r["verdict"] == kind and held(r["host"] + r["path"])] for kind in learnt}
+    assert out["allow"] and out["block"] and ruled
+    spread = {kind: np.std(out[kind]) for kind in out}
+    limit = (np.mean(out["allow"]) * spread["block"] + np.mean(out["block"]) * spread["allow"]) / (spread["allow"] + spread["block"])
+    for r in rows:
+        if not r["rule"] and abs(r["score"] - limit) > 1e-9:
+            assert r["verdict"] == ("allow" if r["score"] >= limit else "block")
+
+
+def test_urls_that_differ_in_a_digit_or_script_score_apart(spark):
+    found = [f"http://a{i}.net/de/{i}" for i in range(20)] + [f"http://b{i}.com/en/{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate([*found, "http://q/1", "http://q/8", "http://q/_", "http://q/字"])), "page_id long, url string")
+    scores = [r["score"] for r in urls.judge_urls(pages).where("page_id >= 40").collect()]
+    assert len(set(scores)) >= 3
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
