@@ -48,6 +48,71 @@ def test_models_and_keys_against_brute_force(spark):
     assert keys[good] < bound <= keys[good - 1]
 
 
+def test_weights_from_their_definition(spark):
+    """Counts of words and pairs in dictionaries, the ratio of two models, toxic peaks, limits of held-out text, noise."""
+    for start in range(50):  # words and pairs that share no slot, so that dictionaries say the same
+        vocabulary = [f"{kind}{start}x{i}" for kind, n in (("good", 4), ("junk", 4), ("vile", 2)) for i in range(n)]
+        every = [s for w in vocabulary for s in importance.slots(w.encode())] + [importance.slots(f"{a} {b}".encode())[2] for a in vocabulary for b in vocabulary]
+        if len(set(every)) == len(every):
+            break
+    draw, rows = random.Random(6), []
+    for i in range(600):
+        odds = (8, 1) if i % 5 else (1, 8)
+        text = draw.choices(vocabulary[:8], [odds[0]] * 4 + [odds[1]] * 4, k=draw.randint(1, 60))
+        text += draw.choices(vocabulary[8:], k=draw.randint(1, 3)) if i % 9 == 0 else []
+        rows.append((i, " ".join(text)))
+    rows += [rows[3], rows[3], (None, "unseen"), (600, None)]
+    labels = {i: (int(i % 5 > 0), int(i % 9 == 0)) for i in range(0, 600, 2)}
+    ids = spark.createDataFrame([(i,) for i in labels], "l long").selectExpr("l", f"xxhash64({importance.SEED}, l) % 2 = 0 AS held").collect()
+    held, texts = {r["l"]: r["held"] for r in ids}, {i: (text or "").split() for i, text in rows if i is not None}
+    grams = lambda words: [*words, *zip(words, words[1:])]
+    is_good, is_bad, is_toxic = ({i for i, (q, t) in labels.items() if test(q, t)} for test in (lambda q, t: q and not t, lambda q, t: not q, lambda q, t: t))
+    raw = Counter(g for _, text in rows for g in grams((text or "").split()))
+    # a doc_id that repeats is labelled with each of its rows
+    times = Counter(i for i, _ in rows)
+    target, checked = (Counter(g for i in is_good if held[i] == side for g in grams(texts[i]) * times[i]) for side in (False, True))
+    size, aim = raw.total(), target.total()
+
+    def ratio(gram):
+        share = (raw[gram] + 1 / importance.SLOTS) / (size + 1)
+        return math.log(0.75 * target[gram] / aim + 0.25 * share) - math.log(share)
+
+    mean = sum(n * ratio(g) for g, n in checked.items()) / checked.total()
+    clean, vile = ({i for i in kind - other if not held[i]} for kind, other in ((is_good, is_toxic), (is_toxic, is_good)))
+    with_word = lambda kind, w: sum(times[i] for i in kind if w in texts[i])
+    n_clean, n_vile = (sum(times[i] for i in kind) for kind in (clean, vile))
+    tells = {w: max(0.0, math.log((with_word(vile, w) + 0.5) / (n_vile + 1)) - math.log((with_word(clean, w) + 0.5) / (n_clean + 1))) if with_word(vile, w) else 0.0 for w in vocabulary}
+
+    def scores(words):
+        found = [ratio(g) for g in grams(words)]
+        peaks = sorted((tells.get(w, 0.0) for w in set(words)), reverse=True)
+        return [(sum(found) - mean * len(found)) / (len(found) + 20) ** 0.75, *(-sum(peaks[:k]) for k in (1, 2, 3))]
+
+    of = lambda kind: np.array([scores(texts[i]) for i in kind if held[i] for _ in range(times[i])])
+    good, least = of(is_good), []
+    for at in range(4):
+        low, high = np.quantile(good[:, at], 0.005), np.quantile(of(is_toxic if at else is_bad)[:, at], 0.995)
+        least.append((low + high) / 2 if high < low else low)
+    least[0] = min(0.0, least[0])
+    weight = lambda words: 10 * min((x - low) / max(sd, 1e-6) for x, low, sd in zip(scores(words), least, good.std(axis=0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judged = spark.createDataFrame([(i, *x) for i, x in labels.items()], "doc_id long, quality int, toxic int")
+    model, bound = importance.selected(docs, judged)
+    found = importance.weighed(docs, model).collect()
+    wanted = {i: weight(words) for i, words in texts.items()}
+    for r in found:
+        if r["doc_id"] is not None:
+            assert r["log_weight"] == pytest.approx(wanted[r["doc_id"]], rel=2e-4, abs=2e-3)
+    noise = np.array([r["key"] - r["log_weight"] for r in found])
+    assert abs(noise.mean() - 0.5772) < 0.2 and abs(noise.std() - math.pi / 6**0.5) < 0.2
+    k = sum(r["log_weight"] >= 0 for r in found)
+    largest = sorted((r["key"] for r in found), reverse=True)[:k]
+    assert sorted((r["key"] for r in importance.resample(docs, judged).collect()), reverse=True)[:k] == pytest.approx(largest)
+    # what is drawn leaves out most of the rejected and hardly any of the good
+    drawn = {r["doc_id"] for r in found if r["key"] >= bound}
+    assert len({i for i in range(600) if i % 9 == 0} & drawn) <= 4 and len({i for i in range(600) if i % 5 and i % 9} & drawn) >= 400
+
+
 def test_kth_largest(spark):
     values = [float(x) for x in [5, 5, 5, 1, 2, -3, 9, 9]]
     keys = spark.createDataFrame([(v,) for v in values], "key double")
@@ -281,7 +346,8 @@ def test_pipeline_stages(spark, tmp_path):
     packed = held["best-fit packing"].collect()
     assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in held["mixing sources"].collect()}
-    assert corpus_pipeline.run(spark, SF).count() == len(packed)
+    pieces = lambda rows: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    assert pieces(corpus_pipeline.run(spark, SF).collect()) == pieces(packed)
 
 
 def test_short_junk_is_judged_like_long_junk(spark):
