@@ -46,13 +46,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality classifier", quality), ("minhash near-dedup", near_dedup), ("secret scans", secrets), ("mixing sources", mixing), ("best-fit packing", packing)]
 
 #: The stages draw, hash and tokenise, which SQL cannot express; tests hold near-dedup against brute force over its
-#: predecessor's rows, the other stages against their operators or properties, and run() by its number of rows.
+#: predecessor's rows, the quality stage's weights against their definition, the other stages against their operators or
+#: properties, and the rows of run() against those of the stages one by one.
 ORACLE_SQL = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where stages are written: the cluster's shared checkpoint folder, or the warehouse where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """Where stages are written: in the cluster's shared checkpoint folder; only a session of this machine alone may name none."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if folder is None:
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     return f"{folder.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
 
 
