@@ -128,9 +128,15 @@ def segments_mask(segments: DataFrame, calls: DataFrame, frame: float = FRAME_S)
     """(call_id, channel, idx, active) for every frame of both channels of calls (call_id, duration): active where a segment touches it."""
     frames = calls.select("call_id", F.greatest(F.ceil(F.col("duration") / F.lit(frame)), F.lit(1)).cast("long").alias("n"))
     spans = on_grid(segments, frame).join(frames, "call_id").select("call_id", "channel", F.greatest("start", F.lit(0)).alias("low"), (F.least("end", "n") - 1).alias("high")).where("low <= high")
-    hit = spans.select("call_id", "channel", F.explode(F.sequence("low", "high")).alias("idx")).distinct().withColumn("active", F.lit(True))
-    grid = frames.select("call_id", F.explode(F.array(F.lit(CALLER), F.lit(AGENT))).alias("channel"), "n").select("call_id", "channel", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
-    return grid.join(hit, ["call_id", "channel", "idx"], "left").select("call_id", "channel", "idx", F.coalesce("active", F.lit(False)).alias("active"))
+    # a span behind the last frame, so that what no span touches is the gap before one; frames are made where their span is, and not joined
+    ends = frames.select("call_id", F.explode(F.array(F.lit(CALLER), F.lit(AGENT))).alias("channel"), F.col("n").alias("low"), (F.col("n") - 1).alias("high"))
+    order = Window.partitionBy("call_id", "channel").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.max("high").over(order), F.lit(-1)) + 1
+    spans = spans.where(F.col("channel").isin(CALLER, AGENT)).unionByName(ends).withColumn("after", after)
+    piece = lambda active, first, last: F.struct(F.lit(active).alias("active"), first.alias("first"), last.alias("last"))
+    pieces = F.array(piece(False, F.col("after"), F.col("low") - 1), piece(True, F.greatest("low", "after"), F.col("high")))
+    found = spans.select("call_id", "channel", F.explode(pieces).alias("piece")).where("piece.first <= piece.last")
+    return found.select("call_id", "channel", F.explode(F.sequence("piece.first", "piece.last")).alias("idx"), "piece.active")
 
 
 def resample_mask(mask: DataFrame, source: float, target: float, frames: DataFrame) -> DataFrame:

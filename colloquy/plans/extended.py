@@ -119,9 +119,10 @@ def live_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = ledger.segments_mask(segs, derived.calls(segs), FRAME_CS)
     at = lambda idx: F.timestamp_millis(F.lit(1_700_000_000_000) + idx * live.FRAME_MS)
     frames = mask.select(F.col("call_id").cast("string").alias("call_id"), "channel", "idx", "active", at(F.col("idx")).alias("ts"))
-    # a frame of another call, long after: time goes on, so that calls end
-    later = frames.groupBy().agg(F.max("idx").alias("n")).select(F.lit("later").alias("call_id"), F.lit(0).alias("channel"), F.lit(0).cast("long").alias("idx"), F.lit(False).alias("active"), at(F.col("n") + 100_000).alias("ts"))
     frames.write.parquet(f"{folder}/frames/now")
+    # a frame of another call, long after: time goes on, so that calls end
+    written = spark.read.parquet(f"{folder}/frames/now")
+    later = written.groupBy().agg(F.max("idx").alias("n")).select(F.lit("later").alias("call_id"), F.lit(0).alias("channel"), F.lit(0).cast("long").alias("idx"), F.lit(False).alias("active"), at(F.col("n") + 100_000).alias("ts"))
     later.write.parquet(f"{folder}/frames/later")
     source = spark.readStream.schema(live.FRAMES).option("recursiveFileLookup", True).parquet(f"{folder}/frames")
     live.live_ledger(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()

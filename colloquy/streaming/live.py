@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ STATE = (
     "next long, end long, newest long, origin long, events int, type string, channel int, first long, caller_talk long, agent_talk long, overlap long, silence long, interruptions int, "
     "caller_open int, caller_ends long, agent_open int, agent_ends long, caller_waits int, caller_wait long, agent_waits int, agent_wait long, touching int, touch_at long, late int"
 )
+#: Frames that wait for the watermark are kept so many together, two bits each.
+BLOCK = 4096
 NAMES = [c.strip().split()[0] for c in STATE.split(",")]
 OUT = [c.strip().split()[0] for c in LIVE.split(",")]
 
@@ -43,9 +46,10 @@ class Ledger:
     def __init__(self, values: dict | None = None):
         self.s = values or dict.fromkeys(NAMES, 0) | {"type": None, "channel": None, "newest": -1, "origin": 0, "end": -1}
 
-    def frame(self, caller: bool, agent: bool) -> tuple | None:
-        """Takes the next frame; the run that it closes, if it does."""
+    def take(self, bits: int, count: int) -> tuple | None:
+        """Takes the next frames, which are alike: 1 in bits is the caller's speech, 2 the agent's; the run that they close, if they do."""
         s = self.s
+        caller, agent = bits & 1, bits & 2
         kind = OVERLAP if caller and agent else SPEECH if caller or agent else SILENCE
         channel = (CALLER if caller else AGENT) if kind == SPEECH else None
         closed = None
@@ -56,7 +60,7 @@ class Ledger:
             closed = self.close()
             s["type"], s["channel"], s["first"] = kind, channel, s["next"]
             self.opened()
-        s["next"] += 1
+        s["next"] += count
         return closed
 
     def opened(self) -> None:
@@ -99,15 +103,24 @@ class Ledger:
         return call_id, index, channel, first, last, kind, *totals, final
 
 
+def packed(frames: np.ndarray) -> bytes:
+    return np.packbits(np.stack([frames & 1, frames >> 1], 1)).tobytes()
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    sides = np.unpackbits(np.frombuffer(block, np.uint8)).reshape(-1, 2)
+    return sides[:, 0] | sides[:, 1] << 1
+
+
 class LiveCall(StatefulProcessor):
-    """State of a call: its ledger and the frames that wait for the watermark, two bits each: seen channels' activity."""
+    """State of a call: its ledger and the frames that wait for the watermark, in blocks, so that state is asked for a few times a call and not a frame."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ledger, self.waiting = handle.getValueState("ledger", STATE), handle.getMapState("waiting", "idx long", "bits int")
+        self.ledger, self.waiting = handle.getValueState("ledger", STATE), handle.getMapState("waiting", "block long", "frames binary")
 
     def known(self) -> Ledger:
         return Ledger(dict(zip(NAMES, self.ledger.get()))) if self.ledger.exists() else Ledger()
@@ -115,33 +128,47 @@ class LiveCall(StatefulProcessor):
     def keep(self, own: Ledger) -> None:
         self.ledger.update(tuple(own.s[n] for n in NAMES))
 
-    def advance(self, call_id: str, own: Ledger, upto: int) -> list[tuple]:
-        """Takes frames up to number upto; the runs that they close."""
+    def block(self, number: int) -> np.ndarray:
+        return unpacked(bytes(self.waiting.getValue((number,))[0])) if self.waiting.containsKey((number,)) else np.zeros(BLOCK, np.uint8)
+
+    def advance(self, call_id: str, own: Ledger, upto: int, fresh: dict[int, np.ndarray]) -> list[tuple]:
+        """Takes frames up to number upto, of fresh blocks or of those in state; the runs that they close."""
         out = []
         while own.s["next"] < upto:
-            key = (own.s["next"],)
-            bits = self.waiting.getValue(key)[0] if self.waiting.containsKey(key) else 0
-            if self.waiting.containsKey(key):
-                self.waiting.removeKey(key)
-            if run := own.frame(bool(bits & 1), bool(bits & 2)):
-                out.append(own.row(call_id, run))
+            number, at = divmod(own.s["next"], BLOCK)
+            last = min(BLOCK, upto - number * BLOCK)
+            frames = (fresh[number] if number in fresh else self.block(number))[at:last]
+            cuts = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(frames)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if run := own.take(int(frames[a]), b - a):
+                    out.append(own.row(call_id, run))
+            if last == BLOCK:
+                fresh.pop(number, None)
+                if self.waiting.containsKey((number,)):
+                    self.waiting.removeKey((number,))
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         own, fresh, mark = self.known(), {}, timerValues.getCurrentWatermarkInMs()
         s = own.s
         for part in rows:
-            for channel, idx, active, ts in zip(part["channel"], part["idx"], part["active"], part["ts"]):
-                s["origin"] = int(ts.timestamp() * 1000) - int(idx) * FRAME_MS  # all frames of a call say the same
-                s["newest"] = max(s["newest"], int(idx))
-                if idx < s["next"]:
-                    s["late"] += 1
-                elif active:
-                    fresh[int(idx)] = fresh.get(int(idx), 0) | (1 << int(channel))
-        for idx, bits in fresh.items():
-            before = self.waiting.getValue((idx,))[0] if self.waiting.containsKey((idx,)) else 0
-            self.waiting.updateValue((idx,), (before | bits,))
-        out = self.advance(key[0], own, min(s["newest"] + 1, max(0, (mark - s["origin"]) // FRAME_MS)) if mark > 0 else 0)
+            if not len(part):
+                continue
+            idx, bits = part["idx"].to_numpy(np.int64), (1 << part["channel"].to_numpy(np.int64)) & 3
+            s["origin"] = int(part["ts"].iloc[-1].timestamp() * 1000) - int(idx[-1]) * FRAME_MS  # all frames of a call say the same
+            s["newest"] = max(s["newest"], int(idx.max()))
+            late = idx < s["next"]
+            s["late"] += int(late.sum())
+            active = part["active"].eq(True).to_numpy(bool) & ~late
+            idx, bits = idx[active], bits[active].astype(np.uint8)
+            numbers = idx // BLOCK
+            for number in np.unique(numbers).tolist():
+                if number not in fresh:
+                    fresh[number] = self.block(number)
+                np.bitwise_or.at(fresh[number], idx[numbers == number] - number * BLOCK, bits[numbers == number])
+        out = self.advance(key[0], own, min(s["newest"] + 1, max(0, (mark - s["origin"]) // FRAME_MS)) if mark > 0 else 0, fresh)
+        for number, frames in fresh.items():
+            self.waiting.updateValue((number,), (packed(frames),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(s["origin"] + (s["newest"] + 1) * FRAME_MS + self.idle_ms, mark + 1))
@@ -152,7 +179,7 @@ class LiveCall(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """No frame has come for a while: the call is over."""
         own = self.known()
-        out = self.advance(key[0], own, own.s["newest"] + 1)
+        out = self.advance(key[0], own, own.s["newest"] + 1, {})
         if own.s["type"] is not None:
             out.append(own.row(key[0], own.close(), final=True))
         self.ledger.clear()
