@@ -143,6 +143,7 @@ def heard(audio: DataFrame, segments: DataFrame | None = None, layers: Sequence[
         return row.call_id, None, duration, [dict(zip(("start", "seq", "channel", "end"), s)) for s in spoken], *columns, dict(zip(timed, times))
 
     def run(batches):
+        backends.DETECTORS.clear()  # a worker is used again, and may know one that is no longer registered
         backends.DETECTORS.update(known)  # those of the driver
         names = ["call_id", "error", "duration", "segments", *asked, "times"]
         for batch in batches:

@@ -156,6 +156,20 @@ def test_neural_detector_stands_in_where_energy_finds_nothing(spark, folder):
         backends.DETECTORS.pop("neural")
 
 
+def test_detectors_of_a_stage_before_do_not_stay_in_workers(spark, folder):
+    from colloquy.operators import backends
+
+    audio = dataset.resolve(spark, str(folder)).audio("val").repartition(16)
+    backends.register("neural", lambda sound, rate, least: [(7, 1.0, 2.0)])
+    try:
+        layers.voice_activity(audio, "neural").collect()
+    finally:
+        backends.DETECTORS.pop("neural")
+    energy, hybrid = (sorted(map(tuple, layers.voice_activity(audio, b, 100.0).collect())) for b in ("energy", "hybrid"))
+    assert hybrid == energy == []
+
+
+
 def test_reports_say_what_they_do_not_show(spark):
     rows = spark.range(205).select(F.col("id").alias("n"))
     assert tables.markdown(rows).endswith("| 199 |\n(5 more rows are not shown)") and "more rows" not in tables.markdown(rows, 205) and tables.markdown(rows, 300).count("\n") == 206
