@@ -21,6 +21,7 @@ from colloquy.functions.stats import or_zero
 from colloquy.operators import backends
 from colloquy.operators.timing import caller_gaps
 from colloquy.schemas import ACOUSTIC_NAMES, AGENT, CALLER, INTERACTION_NAMES, MICRO_NAMES
+from colloquy.session import small_batches
 from colloquy.sources.audio import signal
 
 #: Energy detection: frame and hop in seconds, then gap joined and least length of a segment; quantile of the floor and margin over it in dB.
@@ -49,7 +50,7 @@ def energy_levels(audio: DataFrame) -> DataFrame:
                     db = dsp.energy_levels(signal(pcm), row.sample_rate, FRAME_S, HOP_S)
                     yield pd.DataFrame({"call_id": row.call_id, "channel": ch, "idx": np.arange(len(db)), "db": db.astype(np.float64)})
 
-    return good(audio).select("call_id", "pcm0", "pcm1", "sample_rate").mapInPandas(run, "call_id string, channel int, idx long, db double")
+    return small_batches(good(audio).select("call_id", "pcm0", "pcm1", "sample_rate")).mapInPandas(run, "call_id string, channel int, idx long, db double")
 
 
 def voiced(sound: np.ndarray, rate: int, least: float = LEAST_S) -> list[tuple[int, float, float]]:
@@ -155,7 +156,7 @@ def heard(audio: DataFrame, segments: DataFrame | None = None, layers: Sequence[
     if given:
         mine = segments.groupBy("call_id").agg(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "channel", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))).alias("given"))
         wanted = wanted.join(mine, "call_id", "left")
-    return wanted.mapInPandas(run, schema)
+    return small_batches(wanted).mapInPandas(run, schema)
 
 
 def segments_of(rows: DataFrame) -> DataFrame:

@@ -14,10 +14,13 @@ from colloquy.operators import evaluation, layers
 from colloquy.plans import derived
 from colloquy.plans.catalogue import FEA, SEG, query, rounded, six
 from colloquy.schemas import REQUESTS, SEGMENTS
+from colloquy.session import small_batches
 from colloquy.sources import audio
 
 #: Embeddings of a recording, and how often each of them sounds.
 VECTORS, TIMES, RATE = 50, 16, 8000
+#: Recordings that leave the stage at once.
+TOGETHER = 20
 
 
 def recordings(spark: SparkSession, sf_dir: str, count: int = VECTORS, times: int = TIMES) -> DataFrame:
@@ -36,11 +39,13 @@ def recordings(spark: SparkSession, sf_dir: str, count: int = VECTORS, times: in
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"call_id": batch["call_id"], "content": [wav([v["embedding"] for v in vectors]) for vectors in batch["vectors"]]})
+            for at in range(0, len(batch), TOGETHER):  # a recording is many times its vectors
+                some = batch.iloc[at : at + TOGETHER]
+                yield pd.DataFrame({"call_id": some["call_id"], "content": [wav([v["embedding"] for v in vectors]) for vectors in some["vectors"]]})
 
     rows = derived.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / count).cast("string").alias("call_id"), F.struct("vec_id", "embedding").alias("vector"))
     grouped = rows.groupBy("call_id").agg(F.sort_array(F.collect_list("vector")).alias("vectors"))  # count of them
-    return grouped.mapInPandas(run, "call_id string, content binary")
+    return small_batches(grouped).mapInPandas(run, "call_id string, content binary")
 
 
 def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from colloquy.plans import derived
 from colloquy.plans.catalogue import FEA, FRAME_CS, ORACLES, SEG, query, rounded, sides, six
 from colloquy.plans.evaluations import PCM, SPANS, eighths, sounds
 from colloquy.schemas import REQUESTS, SEMANTIC_NAMES
-from colloquy.session import scratch
+from colloquy.session import scratch, small_batches
 from colloquy.sources import audio, spool, wav
 
 # calls dealt to buckets of time
@@ -89,7 +89,7 @@ def wav_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield batch[["call_id", "n0", "s0", "s1"]]
 
     back = spark.read.format("wav_calls").load(folder).where(F.col("call_id").startswith("1"))
-    return rounded(back.mapInPandas(run, "call_id string, n0 long, s0 double, s1 double"))
+    return rounded(small_batches(back).mapInPandas(run, "call_id string, n0 long, s0 double, s1 double"))
 
 
 NO_MODEL = {"fusion_type": "concatenated", **{n: {"feature_names": [], "weights": [], "mean": [], "std": [], "bias": 0.0} for n in ("acoustic", "behavioral", "concatenated")}}

@@ -23,6 +23,18 @@ def session(name: str = "colloquy", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of rows that a Python stage over sound takes together.
+BATCH_BYTES = "4m"
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """rows, in a session whose Python stages are handed BATCH_BYTES at a time, if it has no bound yet: 10,000 recordings at once would be gigabytes."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return rows
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share, beside the session's checkpoints; a session of one machine may have none set."""
     folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.schemas import AUDIO
+from colloquy.session import small_batches
 from colloquy.sources.wav import RATES, decode  # noqa: F401  what may be asked here too
 
 
@@ -24,7 +25,7 @@ def decoded(files: DataFrame) -> DataFrame:
             rows = [(call, *decode(content)) for call, content in zip(batch["call_id"], batch["content"])]
             yield pd.DataFrame(rows, columns=["call_id", "pcm0", "pcm1", "n0", "n1", "sample_rate", "error"]).astype({"sample_rate": "Int32"})
 
-    return files.select("call_id", "content").mapInPandas(run, AUDIO)
+    return small_batches(files.select("call_id", "content")).mapInPandas(run, AUDIO)
 
 
 def wav_files(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
