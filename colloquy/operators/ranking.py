@@ -151,11 +151,16 @@ def confusion(truth: Column, said: Column) -> dict[str, Column]:
     }
 
 
+#: Groups whose ranges are small enough to be sent to every task.
+FEW_GROUPS = 100_000
+
+
 def nearest_rank(rows: DataFrame, value: str, position: Column, by: Sequence[str] = (), bins: int = 256) -> DataFrame:
     """(by, value): the value at a 0-based position among the sorted, position being a function of n.
 
     Found by histograms: values of each group are counted in bins of their range, the bin that holds the position becomes the range, and
-    so on until its values are equal. Each step is a sum that tasks begin by themselves; no group is ever put in order.
+    so on until its values are equal. Each step is a sum that tasks begin by themselves; no group is ever put in order. Up to FEW_GROUPS
+    groups' ranges go to every task, so that rows stay where they are and a large group is not one task's.
     """
     keys = list(by) or ["group_"]
     plain = rows.where(F.col(value).isNotNull()).select(*(by or [F.lit(0).alias("group_")]), F.col(value).cast("double").alias("v_"))
@@ -164,11 +169,12 @@ def nearest_rank(rows: DataFrame, value: str, position: Column, by: Sequence[str
     state = settled(state.withColumn("left_", position.cast("long")).where((F.col("left_") >= 0) & (F.col("left_") < F.col("n"))))
     done = state.where("low_ = high_")
     open_ = state.where("low_ < high_")
-    while not open_.isEmpty():
+    while count := open_.count():
         of = open_.select(*[F.col(k).alias(f"of_{k}") for k in keys], "n", "low_", "high_", "left_")
         same = (F.col("v_") >= F.col("low_")) & (F.col("v_") <= F.col("high_"))
         for k in keys:
             same &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        of = F.broadcast(of) if count <= FEW_GROUPS else of
         bin_ = F.least(F.floor((F.col("v_") - F.col("low_")) / (F.col("high_") - F.col("low_")) * bins), F.lit(bins - 1)).alias("bin_")
         counted = plain.join(of, same).groupBy(*keys, "n", "left_", bin_).agg(F.count("*").alias("c_"), F.min("v_").alias("low_"), F.max("v_").alias("high_"))
         upto = F.sum("c_").over(Window.partitionBy(*keys).orderBy("bin_"))  # of bins many rows
