@@ -198,6 +198,7 @@ def judge_scores(answers: DataFrame) -> DataFrame:
     Accuracy is over answers; accuracy_all counts what was not answered as wrong. Brier score and AUC need a
     confidence, read as the probability of what was said, with every answer.
     """
+    answers = settled(answers.select("truth", "said", "confidence", "latency_s"))  # scores, ranges and ranks each read them
     answered = F.col("said").isNotNull()
     p = F.when(F.col("said"), F.col("confidence")).otherwise(1 - F.col("confidence"))
     complete = F.count_if(answered & F.col("confidence").isNull()) == 0
