@@ -14,7 +14,7 @@ from colloquy.operators import evaluation, layers
 from colloquy.plans import derived
 from colloquy.plans.catalogue import FEA, SEG, query, rounded, six
 from colloquy.schemas import REQUESTS, SEGMENTS
-from colloquy.session import small_batches
+from colloquy.session import settled, small_batches
 from colloquy.sources import audio
 
 #: Embeddings of a recording, and how often each of them sounds.
@@ -228,7 +228,7 @@ def explore_both(spark, sf_dir):
 @query()
 def layer_benchmark(spark, sf_dir):
     """Detectors, two guarded heads, one suite that must be skipped, and the training."""
-    rows = derived.feature_rows(spark, sf_dir)
+    rows = settled(derived.feature_rows(spark, sf_dir))  # texts are read once for all of them
     suites = {"marks": derived.FEATURES, "sizes": ("chars", "spaces")}
     found = evaluation.layer_benchmark(rows, suites, _benchmark(spark, sf_dir), (("chars", "lines"), ("commas", "spaces", "stops"))) + evaluation.layer_benchmark(rows.where("split = 'val'"), {"alone": ("chars",)}, tandem=None)
     out = [(x["id"], x["status"], x.get("best") or ",".join(x.get("features_used", [])), float((x.get("val") or x.get("metrics", {}).get("val", {}).get("stacked", {})).get("accuracy", 0))) for x in found]
